@@ -8,7 +8,7 @@ case-insensitive flag.  ``(?Ud)`` gives Unicode ``\\w \\d \\s \\b`` and makes
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -53,6 +53,11 @@ def total(columns: Iterable[Column]) -> Column:
     return reduce(lambda a, b: a + b, columns)
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """Evaluate ``value`` once and use it several times inside one expression."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def text_or_empty(c: Column) -> Column:
     return F.coalesce(c, F.lit(""))
 
@@ -64,17 +69,39 @@ def strip(c: Column) -> Column:
 
 def fold(c: Column) -> Column:
     """Lower case plus the folds that Unicode matching applies to ASCII letters."""
-    special = any_of(c.contains(ch) for ch in "İıſK")
-    return F.when(special, F.lower(F.translate(c, "İıſK", "iisk"))).otherwise(F.lower(c))
+    return F.when(contains_any(c, "İıſK"), F.lower(F.translate(c, "İıſK", "iisk"))).otherwise(F.lower(c))
+
+
+def quote(value: str) -> str:
+    """SQL string literal."""
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-def contains_any(c: Column, literals: Iterable[str]) -> Column:
-    return any_of(c.contains(x) for x in literals)
+def literals(values: Iterable[str]) -> Column:
+    """Constant array of strings (folded to one literal by the optimizer)."""
+    return F.expr("array(" + ", ".join(map(quote, values)) + ")")
 
 
-def contains_count(c: Column, literals: Iterable[str]) -> Column:
-    """How many of the literals occur (presence, not occurrences)."""
-    return total(F.when(c.contains(x), 1).otherwise(0) for x in literals)
+def one_of(c: Column, values: Iterable[str]) -> Column:
+    return F.array_contains(literals(values), c)
+
+
+def contains_any(c: Column | str, words: Iterable[str]) -> Column:
+    """True if any word occurs.
+
+    A column *name* gives a flat OR of byte searches that compiles into the
+    stage (use it for long texts); a Column works inside lambdas too.
+    """
+    if isinstance(c, str):
+        return F.expr(" OR ".join(f"contains({c}, {quote(w)})" for w in words))
+    return F.exists(literals(words), lambda w: c.contains(w))
+
+
+def contains_count(c: Column | str, words: Iterable[str]) -> Column:
+    """How many of the words occur (presence, not occurrences)."""
+    if isinstance(c, str):
+        return F.expr(" + ".join(f"CAST(contains({c}, {quote(w)}) AS INT)" for w in words))
+    return F.size(F.filter(literals(words), lambda w: c.contains(w)))
 
 
 def matches(c: Column, pattern: str) -> Column:
@@ -92,18 +119,23 @@ def char_count(c: Column, ascii_chars: str) -> Column:
     )
 
 
-def rule_count(folded: Column, rule: Rule) -> Column:
+def as_column(c: Column | str) -> Column:
+    return F.col(c) if isinstance(c, str) else c
+
+
+def rule_count(folded: Column | str, rule: Rule) -> Column:
+    hits = match_count(as_column(folded), rule.pattern)
     if not rule.anchors:
-        return match_count(folded, rule.pattern)
-    return F.when(contains_any(folded, rule.anchors), match_count(folded, rule.pattern)).otherwise(0)
+        return hits
+    return F.when(contains_any(folded, rule.anchors), hits).otherwise(0)
 
 
-def rule_hit(folded: Column, rule: Rule) -> Column:
-    hit = matches(folded, rule.scan or rule.pattern)
+def rule_hit(folded: Column | str, rule: Rule) -> Column:
+    hit = matches(as_column(folded), rule.scan or rule.pattern)
     return (contains_any(folded, rule.anchors) & hit) if rule.anchors else hit
 
 
-def family_count(folded: Column, family: Iterable[Rule]) -> Column:
+def family_count(folded: Column | str, family: Iterable[Rule]) -> Column:
     """Sum of match counts.  One pass per pattern: overlapping patterns count twice."""
     return total(rule_count(folded, r) for r in family)
 
@@ -134,8 +166,7 @@ def clean(c: Column) -> Column:
 
 def drop_stop_words(cleaned: Column, stop_words: Iterable[str]) -> Column:
     """Remove stop words from a cleaned text (single blanks between words)."""
-    stops = list(stop_words)
-    return F.array_join(F.filter(F.split(cleaned, " "), lambda w: ~w.isin(stops)), " ")
+    return F.array_join(F.filter(F.split(cleaned, " "), lambda w: ~one_of(w, stop_words)), " ")
 
 
 def strip_accents(c: Column) -> Column:
@@ -154,22 +185,19 @@ def ngrams(tokens: Column, low: int, high: int) -> Column:
     ``tokens`` must be an existing column, not an expression: it is used once
     per n and per offset.
     """
-    parts = []
-    for n in range(low, high + 1):
+    def of_size(n: int) -> Column:
         if n == 1:
-            parts.append(tokens)
-            continue
+            return tokens
         last = F.size(tokens) - (n - 1)
-        parts.append(
-            F.when(
-                last >= 1,
-                F.transform(
-                    F.sequence(F.lit(1), last),
-                    lambda i, n=n: F.concat_ws(" ", *[F.element_at(tokens, i + k) for k in range(n)]),
-                ),
-            ).otherwise(F.array().cast("array<string>"))
+
+        def term(i: Column) -> Column:
+            return F.concat_ws(" ", *[F.element_at(tokens, i + k) for k in range(n)])
+
+        return F.when(last >= 1, F.transform(F.sequence(F.lit(1), last), term)).otherwise(
+            F.array().cast("array<string>")
         )
-    return parts[0] if len(parts) == 1 else F.concat(*parts)
+
+    return F.concat(*[of_size(n) for n in range(low, high + 1)])
 
 
 def extract_urls(c: Column) -> Column:
@@ -221,7 +249,7 @@ def entropy(c: Column) -> Column:
     ).otherwise(F.lit(0.0))
 
 
-def scan_type(stripped: Column, folded: Column) -> Column:
+def scan_type(stripped: Column, folded: Column | str) -> Column:
     """url / sms / email, from the look of the text."""
     is_url = (stripped.startswith("http://") | stripped.startswith("https://")) & (
         F.size(F.split(stripped, FLAGS + SPACE + "+", rules.URL_MAX_TOKENS + 1)) <= rules.URL_MAX_TOKENS

@@ -81,6 +81,11 @@ def domain_parts(hostname: Column, suffix: Column) -> Column:
     )
 
 
+def host_parts(url: Column, suffixes: Iterable[str]) -> Column:
+    """Struct subdomain, domain, suffix of a URL."""
+    return tx.let(host(url), lambda h: tx.let(longest_suffix(h, suffixes), lambda s: domain_parts(h, s)))
+
+
 def has_ip_host(netloc: Column) -> Column:
     """IPv4 prefix, or the loose IPv6 form that any host starting with a hex digit meets."""
     h = F.substring_index(netloc, ":", 1)
@@ -116,8 +121,8 @@ def brand_pattern(brands: Iterable[str]) -> str:
     return r"\b(" + "|".join(brands) + r")\b"
 
 
-def has_brand(folded: Column, brands: Iterable[str]) -> Column:
-    return tx.contains_any(folded, brands) & tx.matches(folded, brand_pattern(brands))
+def has_brand(folded: Column | str, brands: Iterable[str]) -> Column:
+    return tx.contains_any(folded, brands) & tx.matches(tx.as_column(folded), brand_pattern(brands))
 
 
 def flag(condition: Column) -> Column:
@@ -136,7 +141,7 @@ def analyse(urls: Column, suffixes: Iterable[str]) -> Column:
         lambda u: F.struct(
             u.alias("url"),
             tx.fold(u).alias("low"),
-            domain_parts(host(u), longest_suffix(host(u), suffixes)).alias("dom"),
+            host_parts(u, suffixes).alias("dom"),
         ),
     )
 
@@ -145,7 +150,7 @@ def analyse(urls: Column, suffixes: Iterable[str]) -> Column:
         keywords = tx.contains_count(low, rules.DETECTOR_URL_KEYWORDS)
         return [
             (url.rlike(r"(?U)^https?://\d+\.\d+\.\d+\.\d+"), w["ip"], F.lit(rules.REASON_IP)),
-            (F.lower(dom["suffix"]).isin(*rules.DETECTOR_SUSPICIOUS_TLDS), w["tld"],
+            (tx.one_of(F.lower(dom["suffix"]), rules.DETECTOR_SUSPICIOUS_TLDS), w["tld"],
              F.concat(F.lit(rules.REASON_TLD), dom["suffix"])),
             (has_brand(tx.fold(dom["subdomain"]), rules.DETECTOR_BRANDS), w["brand_subdomain"],
              F.lit(rules.REASON_BRAND)),
@@ -174,7 +179,7 @@ def analyse(urls: Column, suffixes: Iterable[str]) -> Column:
             (s["raw"] >= rules.URL_SUSPICIOUS_AT).alias("is_suspicious"),
             F.least(s["raw"], F.lit(1.0)).alias("score"),
             s["reasons"].alias("reasons"),
-            F.lower(s["dom"]["suffix"]).isin(*rules.DETECTOR_SUSPICIOUS_TLDS).alias("bad_tld"),
+            tx.one_of(F.lower(s["dom"]["suffix"]), rules.DETECTOR_SUSPICIOUS_TLDS).alias("bad_tld"),
             tx.contains_any(s["low"], rules.DETECTOR_SHORTENERS).alias("shortened"),
             F.concat_ws(".", s["dom"]["domain"], s["dom"]["suffix"]).alias("registered"),
         ),

@@ -65,7 +65,7 @@ def _text_columns(t: Column, low: Column, words: Column, urls: Column, families:
         "capitalized_word_ratio": F.regexp_count(
             t, F.lit(rf"(?U)(?<!{tx.NON_SPACE})\p{{IsUppercase}}")
         ) / n_words,
-        "has_currency": ux.flag(tx.contains_any(t, tx.CURRENCY_CHARS)),
+        "has_currency": ux.flag(tx.contains_any("__t", tx.CURRENCY_CHARS)),
         "has_percentage": ux.flag(t.contains("%") & tx.matches(t, r"\d%")),
         "digit_ratio": tx.digit_count(t) / n,
         "phishing_indicator_score": tx.total(
@@ -81,7 +81,7 @@ def with_text_features(df: DataFrame, text: str, prefix: str = "") -> DataFrame:
         {"__low": tx.fold(F.col("__t")), "__words": tx.words(F.col("__t")), "__urls": tx.extract_urls(F.col("__t"))}
     ).withColumns(
         {"__fam": F.struct(*[
-            tx.family_count(F.col("__low"), family).cast("double").alias(name)
+            tx.family_count("__low", family).cast("double").alias(name)
             for name, family in rules.EXTRACTOR_FAMILIES.items()
         ])}
     )
@@ -91,7 +91,7 @@ def with_text_features(df: DataFrame, text: str, prefix: str = "") -> DataFrame:
     ).drop("__t", "__low", "__words", "__urls", "__fam")
 
 
-def _url_columns(u: Column, low: Column, parts: Column, dom: Column) -> dict[str, Column]:
+def _url_columns(u: Column, parts: Column, dom: Column) -> dict[str, Column]:
     return {
         "url_length": F.length(u),
         "domain_length": F.length(parts["netloc"]),
@@ -110,11 +110,11 @@ def _url_columns(u: Column, low: Column, parts: Column, dom: Column) -> dict[str
         "has_at_symbol": ux.flag(u.contains("@")),
         "has_double_slash": ux.flag(parts["path"].contains("//")),
         "has_hexadecimal": ux.flag(u.rlike("%[0-9a-fA-F]{2}")),
-        "suspicious_tld": ux.flag(F.lower(dom["suffix"]).isin(*rules.EXTRACTOR_SUSPICIOUS_TLDS)),
+        "suspicious_tld": ux.flag(tx.one_of(F.lower(dom["suffix"]), rules.EXTRACTOR_SUSPICIOUS_TLDS)),
         "tld_length": F.length(dom["suffix"]),
-        "has_brand_name": ux.flag(ux.has_brand(low, rules.EXTRACTOR_BRANDS)),
-        "suspicious_keyword_count": tx.contains_count(low, rules.EXTRACTOR_URL_KEYWORDS),
-        "is_shortened": ux.flag(tx.contains_any(low, rules.EXTRACTOR_SHORTENERS)),
+        "has_brand_name": ux.flag(ux.has_brand("__low", rules.EXTRACTOR_BRANDS)),
+        "suspicious_keyword_count": tx.contains_count("__low", rules.EXTRACTOR_URL_KEYWORDS),
+        "is_shortened": ux.flag(tx.contains_any("__low", rules.EXTRACTOR_SHORTENERS)),
         "domain_entropy": tx.entropy(dom["domain"]),
         "url_entropy": tx.entropy(u),
         "has_hyphen_in_domain": ux.flag(dom["domain"].contains("-")),
@@ -133,7 +133,7 @@ def with_url_features(
         .withColumns({"__suffix": ux.longest_suffix(F.col("__host"), suffixes)})
         .withColumns({"__dom": ux.domain_parts(F.col("__host"), F.col("__suffix"))})
     )
-    cols = _url_columns(*[F.col(c) for c in ("__u", "__low", "__parts", "__dom")])
+    cols = _url_columns(*[F.col(c) for c in ("__u", "__parts", "__dom")])
     usable = (F.col("__u") != "") & F.col("__parts.valid")
     return staged.withColumns(
         {prefix + k: F.when(usable, cols[k].cast("double")).otherwise(0.0) for k in URL_FEATURES}

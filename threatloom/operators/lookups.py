@@ -82,9 +82,7 @@ def drop_listed(df: DataFrame, key: Column, listed: DataFrame, column: str) -> D
 
 def registered_domain(url: Column, suffixes: Iterable[str]) -> Column:
     """Lower-cased domain.suffix of a URL."""
-    h = ux.host(url)
-    dom = ux.domain_parts(h, ux.longest_suffix(h, suffixes))
-    return F.lower(F.concat_ws(".", dom["domain"], dom["suffix"]))
+    return F.lower(tx.let(ux.host_parts(url, suffixes), lambda d: F.concat_ws(".", d["domain"], d["suffix"])))
 
 
 def map_labels(df: DataFrame, label: str, mapping: DataFrame) -> DataFrame:

@@ -17,7 +17,7 @@ from threatloom.functions import text as tx
 from threatloom.functions import url as ux
 
 
-def rule_counts(low: Column) -> Column:
+def rule_counts(low: Column | str) -> Column:
     """Struct of hit counts per family plus the number of suspicious phrases."""
     return F.struct(
         *[
@@ -49,9 +49,9 @@ def rule_indicators(counts: Column) -> Column:
     return F.array_compact(F.array(*found))
 
 
-def brand_mentions(low: Column, urls: Column) -> Column:
+def brand_mentions(low: Column | str, urls: Column) -> Column:
     """Brand words in the text and, once more, in its URLs."""
-    both = F.concat_ws(" ", low, tx.fold(F.array_join(urls, " ")))
+    both = F.concat_ws(" ", tx.as_column(low), tx.fold(F.array_join(urls, " ")))
     return F.when(
         tx.contains_any(low, rules.DETECTOR_BRANDS),
         F.regexp_extract_all(both, F.lit(tx.FLAGS + ux.brand_pattern(rules.DETECTOR_BRANDS)), F.lit(1)),
@@ -138,7 +138,7 @@ def recommendation(level: Column) -> Column:
 
 def phishing_probability(label: Column, score: Column) -> Column:
     """Turn a classifier's (label, score) into the probability of phishing."""
-    return F.when(F.lower(label).isin(*rules.PHISHING_POSITIVE_LABELS), score).otherwise(1.0 - score)
+    return F.when(tx.one_of(F.lower(label), rules.PHISHING_POSITIVE_LABELS), score).otherwise(1.0 - score)
 
 
 def with_phishing_result(
@@ -167,10 +167,10 @@ def with_phishing_result(
             "__urls": tx.extract_urls(c("__t")),
         })
         .withColumns({
-            "__counts": rule_counts(c("__low")),
+            "__counts": rule_counts("__low"),
             "__ua": ux.analyse(c("__urls"), suffixes),
-            "__mentions": brand_mentions(c("__low"), c("__urls")),
-            "__scan": F.when(asked == "auto", tx.scan_type(c("__t"), c("__low"))).otherwise(asked),
+            "__mentions": brand_mentions("__low", c("__urls")),
+            "__scan": F.when(asked == "auto", tx.scan_type(c("__t"), "__low")).otherwise(asked),
         })
         .withColumns({"__brand": top_brand(c("__mentions")), "__rule": rule_score(c("__counts"))})
         .withColumns({
@@ -254,5 +254,4 @@ def legacy_flags(low: Column, urls: Column, suffixes: Iterable[str] = rules.DEFA
 
 def is_suspicious_domain(u: Column, suffixes: Iterable[str] = rules.DEFAULT_SUFFIXES) -> Column:
     """Case-sensitive test of the suffix as written."""
-    h = ux.host(u)
-    return ux.domain_parts(h, ux.longest_suffix(h, suffixes))["suffix"].isin(*rules.DETECTOR_SUSPICIOUS_TLDS)
+    return tx.one_of(ux.host_parts(u, suffixes)["suffix"], rules.DETECTOR_SUSPICIOUS_TLDS)

@@ -14,7 +14,7 @@ from threatloom.operators import features as fe
 _STRINGS = "array<string>"
 
 
-def category_matches(low: Column) -> Column:
+def category_matches(low: Column | str) -> Column:
     """Array of (category, count, patterns) for the categories that match, in order."""
     entries = []
     for category, family in rules.THREAT_CATEGORIES.items():
@@ -86,7 +86,7 @@ def with_threat_result(
             "__pos": F.coalesce(c("__label").isin(*rules.THREAT_POSITIVE_LABELS), F.lit(False)),
         })
         .withColumns({
-            "__m": category_matches(c("__low")),
+            "__m": category_matches("__low"),
             "__u": url_risk(c("__urls")),
             "__s": fe.statistics(c("__t")),
         })

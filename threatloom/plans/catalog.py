@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from threatloom.plans import ingest
+from threatloom.plans import detect, ingest, texts
 
-MODULES = (ingest,)
+MODULES = (ingest, texts, detect)
 QUERIES = {k: v for m in MODULES for k, v in m.QUERIES.items()}
 ORACLES = {k: v for m in MODULES for k, v in m.ORACLES.items()}

@@ -18,17 +18,17 @@ PHRASES = (
     "URGENT! Your account suspended, verify your account today",
     "You are a WINNER! Claim your prize of $500 now",
     "Please confirm your password at http://paypal.secure-login.tk/verify",
-    "Dear customer, click here http://192.168.1.1/login",
+    "Dear customer, click here http://192.168.1.1/login or http://www.example.com/google",
     "amazon refund: visit https://bit.ly/a1b2",
     "Send bitcoin within 2 hours or a wire transfer today!!!!",
     "txt WIN to claim, call 0123456789012",
-    "Buy a gift card for the director, urgent",
+    "Buy a gift card for the director, urgent; enter your pin",
     "download the file now setup.exe",
-    "http://user@evil.example.com/a//b?x=1&x=2&y=",
+    "http://user@evil.example.com/a//b%20c?x=1&x=2&y=",
     "Are we still on for lunch",
     "The report is attached for review",
     "Write to jane.doe@example.org or call 555-123-4567",
-    "See https://www.example.com/docs/page",
+    "See https://www.example.com/docs/page on Google and microsoft",
     "Discount is 20% on Friday?",
 )
 PAYLOADS = (
