@@ -27,10 +27,12 @@ def with_ngrams(df: DataFrame, cleaned: str, longest: int, out: str = "terms") -
 
 def term_counts(df: DataFrame, key: str, terms: str = "terms") -> DataFrame:
     """key, term, tf.  Counted inside the row: sort the array, keep run starts - no shuffle."""
-    staged = df.select(key, F.sort_array(terms).alias("__s")).filter(F.size("__s") > 0)
+    # No filter on the computed array: predicate pushdown would copy the whole
+    # n-gram expression below it.  Rows without terms vanish in ``inline``.
+    staged = df.select(key, F.sort_array(terms).alias("__s"))
     n = F.size("__s")
     starts = F.filter(
-        F.sequence(F.lit(1), n),
+        F.when(n > 0, F.sequence(F.lit(1), n)),
         lambda i: (i == 1) | (F.element_at("__s", i) != F.element_at("__s", F.greatest(i - 1, F.lit(1)))),
     )
     runs = staged.withColumns({"__b": starts})

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from threatloom.plans import detect, ingest, texts
+from threatloom.plans import detect, ingest, learn, streams, texts
 
-MODULES = (ingest, texts, detect)
+MODULES = (ingest, texts, detect, learn, streams)
 QUERIES = {k: v for m in MODULES for k, v in m.QUERIES.items()}
 ORACLES = {k: v for m in MODULES for k, v in m.ORACLES.items()}

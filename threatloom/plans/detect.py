@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from threatloom import rules
@@ -63,10 +63,10 @@ def det_url_score(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-@query(_det("SELECT msg_id, brand, hit FROM b"))
+@query(_det("SELECT msg_id, brand, coalesce(hit, false) AS hit FROM m LEFT JOIN b USING (msg_id)"))
 def det_brand_impersonation(spark: SparkSession, folder: str) -> DataFrame:
     a = _analysed(spark, folder).withColumns({"brand": ph.top_brand(ph.brand_mentions(F.col("low"), F.col("urls")))})
-    return a.filter(F.col("brand").isNotNull()).select("msg_id", "brand", ph.impersonated(F.col("brand"), F.col("ua")).alias("hit"))
+    return a.select("msg_id", "brand", ph.impersonated(F.col("brand"), F.col("ua")).alias("hit"))
 
 
 @query(_det("""SELECT brand, count(*) AS mentions, count(DISTINCT msg_id) AS messages FROM mentions GROUP BY brand
@@ -95,18 +95,25 @@ def agg_url_any_all(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-@query(_det("SELECT msg_id, round(score, 9) AS score FROM d WHERE NOT skip"))
+_ML_SQL = "(('0x' || substr(md5(msg_id::VARCHAR), 1, 8))::BIGINT % 100)::DOUBLE / 100"
+_TR_SQL = "coalesce(CASE WHEN msg_id % 2 = 0 THEN (('0x' || substr(md5('t' || msg_id), 1, 8))::BIGINT % 100)::DOUBLE / 100 END, 0.5::DOUBLE)"
+
+
+def _model_columns() -> tuple[Column, Column]:
+    """A model probability per message, and a transformer one that is missing for every other message."""
+    key = F.col("msg_id").cast("string")
+    ml = fx.hash_int(key) % 100 / 100.0
+    return ml, F.when(F.col("msg_id") % 2 == 0, fx.hash_int(F.concat(F.lit("t"), key)) % 100 / 100.0)
+
+
+@query(with_views(sq.prepared("inbox") + ",\n" + sq.detector(ml=_ML_SQL, transformer=_TR_SQL)
+                  + " SELECT msg_id, is_phishing, confidence, threat_level FROM (SELECT msg_id, NOT skip AND score >= 0.5 AS is_phishing,"
+                  " CASE WHEN skip THEN 0 ELSE round(score, 4) END AS confidence, level AS threat_level FROM d)", "inbox"))
 def det_ensemble_score(spark: SparkSession, folder: str) -> DataFrame:
-    """Ensemble of rule, URL and brand scores with neutral models."""
-    a = _analysed(spark, folder).filter(F.length("t") >= rules.MIN_ANALYSED_CHARS)
-    a = a.withColumns({"brand": ph.top_brand(ph.brand_mentions(F.col("low"), F.col("urls")))}).withColumns({
-        "hit": ph.impersonated(F.col("brand"), F.col("ua")),
-        "rule": ph.rule_score(F.col("counts")),
-        "url": F.coalesce(F.array_max(F.transform("ua", lambda u: u["score"])), F.lit(0.0)),
-    })
-    neutral = F.lit(rules.NEUTRAL_SCORE)
-    score = ph.ensemble(neutral, F.col("rule"), F.col("url"), F.col("hit"), neutral)
-    return a.select("msg_id", F.round(score, 9).alias("score"))
+    """Ensemble with model and transformer probabilities; a missing one counts as neutral."""
+    ml, transformer = _model_columns()
+    out = ph.with_phishing_result(fx.inbox(spark, folder), "text", ml=ml, transformer=transformer)
+    return out.select("msg_id", "is_phishing", "confidence", "threat_level")
 
 
 @query(_det("SELECT msg_id, array_to_string(CASE WHEN skip THEN [] ELSE ind END, '; ') AS indicators, CASE WHEN skip THEN 0 ELSE len(ind) END AS n FROM d"))
@@ -145,12 +152,12 @@ def det_phishing_full(spark: SparkSession, folder: str) -> DataFrame:
     return _flat(_scored(spark, folder), "msg_id")
 
 
-@query(with_views("inbox AS (SELECT url_id AS msg_id, url AS text FROM urls),\n" + sq.prepared("inbox") + ",\n" + sq.detector()
+@query(with_views("inbox AS (SELECT url_id AS msg_id, url AS text FROM urls),\n" + sq.prepared("inbox") + ",\n" + sq.detector(ml=_ML_SQL)
                   .replace("'sms' ELSE 'email' END AS scan", "'url' ELSE 'url' END AS scan") + " " + _FULL, "urls"))
 def det_scan_url(spark: SparkSession, folder: str) -> DataFrame:
     """URL-only scan."""
     u = fx.urls(spark, folder).select(F.col("url_id").alias("msg_id"), F.col("url").alias("text"))
-    return _flat(ph.with_phishing_result(u, "text", scan_type="url"), "msg_id")
+    return _flat(ph.with_phishing_result(u, "text", scan_type="url", ml=_model_columns()[0]), "msg_id")
 
 
 @query(_det("SELECT count(*) AS total, count(*) FILTER (NOT skip AND score >= 0.5) AS phishing_detected, count(*) FILTER (skip OR score < 0.5) AS safe FROM d"))

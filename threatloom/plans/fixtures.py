@@ -17,7 +17,7 @@ from threatloom.session import spread, table
 PHRASES = (
     "URGENT! Your account suspended, verify your account today",
     "You are a WINNER! Claim your prize of $500 now",
-    "Please confirm your password at http://paypal.secure-login.tk/verify",
+    "Urgent: please confirm your account and verify your account at http://paypal.secure-login.tk/verify",
     "Dear customer, click here http://192.168.1.1/login or http://www.example.com/google",
     "amazon refund: visit https://bit.ly/a1b2",
     "Send bitcoin within 2 hours or a wire transfer today!!!!",
@@ -29,7 +29,7 @@ PHRASES = (
     "The report is attached for review",
     "Write to jane.doe@example.org or call 555-123-4567",
     "See https://www.example.com/docs/page on Google and microsoft",
-    "Discount is 20% on Friday?",
+    "Discount is 20% on Friday? See https://www.spotify.com/offers",
 )
 PAYLOADS = (
     "' OR '1'='1", "x'; DROP TABLE t", "1 union select 2", "<ScRiPt>alert(1)</sCrIpT>",
@@ -61,7 +61,7 @@ def messages(spark: SparkSession, folder: str) -> DataFrame:
         F.concat_ws(" ", pick(PHRASES, n % 15), "text").alias("text"),
         F.when(n % 15 < 10, 1).otherwise(0).alias("label"),
         pick(("sms", "email", "url"), n % 3).alias("source"),
-        (F.lit("2024-01-01 00:00:00").cast("timestamp") + F.make_interval(mins=n.cast("int"))).alias("ts"),
+        (F.lit("2024-01-01 00:00:00").cast("timestamp") + F.make_interval(hours=n.cast("int"))).alias("ts"),
     )
 
 
@@ -195,7 +195,7 @@ SQL = {
   SELECT doc_id AS msg_id, ({_q(PHRASES)})[doc_id % 15 + 1] || ' ' || text AS text,
          CASE WHEN doc_id % 15 < 10 THEN 1 ELSE 0 END AS label,
          (['sms', 'email', 'url'])[doc_id % 3 + 1] AS source,
-         TIMESTAMP '2024-01-01 00:00:00' + to_minutes(doc_id) AS ts
+         TIMESTAMP '2024-01-01 00:00:00' + to_hours(doc_id) AS ts
   FROM documents)""",
     "inbox": """inbox AS (
   SELECT msg_id, text FROM messages UNION ALL SELECT -doc_id - 1, lang FROM documents)""",

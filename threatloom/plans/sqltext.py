@@ -145,7 +145,7 @@ LEFT JOIN entropies d ON d.url_id = parts.url_id AND d.kind = 'domain'
 LEFT JOIN entropies u ON u.url_id = parts.url_id AND u.kind = 'url'"""
 
 
-def detector(suffixes=rules.DEFAULT_SUFFIXES) -> str:
+def detector(suffixes=rules.DEFAULT_SUFFIXES, ml: str = "0.5::DOUBLE", transformer: str = "0.5::DOUBLE") -> str:
     """CTEs after ``m``: per-URL results (ua), brand (b), rule counts (rc) and everything joined (d)."""
     fams = {n: family("a", f[0]) for n, f in rules.DETECTOR_FAMILIES.items()}
     tlds = ", ".join(f"'{x}'" for x in rules.DETECTOR_SUSPICIOUS_TLDS)
@@ -167,10 +167,10 @@ ua AS (SELECT *, 0::DOUBLE + ip::INT * 0.4::DOUBLE + tld::INT * 0.3::DOUBLE + su
 um AS (SELECT msg_id, max(least(raw, 1)) AS url_score, bool_and(raw >= 0.3::DOUBLE) AS all_bad, bool_or(raw >= 0.3::DOUBLE) AS any_bad,
     bool_or(short) AS any_short, list(DISTINCT {lit(rules.INDICATOR_DOMAIN)} || registered) FILTER (tld) AS domains FROM ua GROUP BY msg_id),
 mentions AS (SELECT msg_id, unnest(regexp_extract_all(low || ' ' || lower(array_to_string(urls, ' ')), {lit(brand(rules.DETECTOR_BRANDS))})) AS brand FROM m),
-tb AS (SELECT * FROM (SELECT msg_id, brand, row_number() OVER (PARTITION BY msg_id ORDER BY count(*) DESC, brand) AS r
-    FROM mentions GROUP BY ALL) WHERE r = 1),
+mc AS (SELECT msg_id, brand, count(*) AS c FROM mentions GROUP BY msg_id, brand),
+tb AS (SELECT msg_id, brand FROM (SELECT *, row_number() OVER (PARTITION BY msg_id ORDER BY c DESC, brand) AS r FROM mc) WHERE r = 1),
 b AS (SELECT tb.msg_id, tb.brand, coalesce(bool_or(NOT contains(lower(registered), tb.brand)), false) AS hit
-  FROM tb LEFT JOIN flags USING (msg_id) GROUP BY ALL),
+  FROM tb LEFT JOIN flags USING (msg_id) GROUP BY tb.msg_id, tb.brand),
 rc AS (SELECT msg_id, {fams['urgency']} AS urg, {fams['credential']} AS cred, {fams['financial']} AS fin,
     {contains_count('low', rules.SUSPICIOUS_PHRASES)} AS phr FROM m),
 rs AS (SELECT *, least(0.25::DOUBLE, urg * 0.1::DOUBLE) + least(0.3::DOUBLE, cred * 0.15::DOUBLE) + least(0.2::DOUBLE, fin * 0.1::DOUBLE)
@@ -190,8 +190,8 @@ j AS (SELECT m.msg_id, t, length(t) < 3 AS skip, urls, rule_score, found, coales
 d AS (SELECT *, CASE WHEN skip THEN 'NONE' WHEN score >= 0.85 OR len(ind) >= 5 THEN 'CRITICAL' WHEN score >= 0.7 OR len(ind) >= 3 THEN 'HIGH'
     WHEN score >= 0.5 OR len(ind) >= 2 THEN 'MEDIUM' WHEN score >= 0.3 OR len(ind) >= 1 THEN 'LOW' ELSE 'NONE' END AS level,
     CASE WHEN skip THEN 'NONE' WHEN scan = 'url' OR all_bad THEN 'URL' WHEN scan = 'sms' THEN 'SMS' ELSE 'EMAIL' END AS ptype FROM (
-  SELECT *, least(1, CASE WHEN (rule_score > 0.3::DOUBLE)::INT + (url_score > 0.3::DOUBLE)::INT + hit::INT >= 3 THEN base * 1.2::DOUBLE ELSE base END) AS score FROM (
-    SELECT *, 0.3::DOUBLE * 0.5 + 0.25::DOUBLE * rule_score + 0.2::DOUBLE * url_score + 0.1::DOUBLE * (hit::INT * 0.8::DOUBLE) + 0.15::DOUBLE * 0.5 AS base FROM j)))"""
+  SELECT *, least(1, CASE WHEN (ml > 0.6::DOUBLE)::INT + (tr > 0.6::DOUBLE)::INT + (rule_score > 0.3::DOUBLE)::INT + (url_score > 0.3::DOUBLE)::INT + hit::INT >= 3 THEN base * 1.2::DOUBLE ELSE base END) AS score FROM (
+    SELECT *, 0.3::DOUBLE * ml + 0.25::DOUBLE * rule_score + 0.2::DOUBLE * url_score + 0.1::DOUBLE * (hit::INT * 0.8::DOUBLE) + 0.15::DOUBLE * tr AS base FROM (SELECT *, {ml} AS ml, {transformer} AS tr FROM j))))"""
 
 
 def threat() -> str:
