@@ -29,11 +29,17 @@ from threatloom.operators import terms as tm
 
 @dataclass(frozen=True)
 class Estimator:
-    """Classifier settings by name.  ``trees`` and ``rounds`` can be lowered for trial runs."""
+    """Classifier settings by name.
+
+    The size fields default to the full settings (None: 100 trees of depth 30,
+    or 200 of depth 20 for the bounded forest) and can be lowered for trial runs.
+    """
 
     name: str = "naive_bayes"
-    trees: int = 100
+    trees: int | None = None
+    depth: int | None = None
     rounds: int = 200
+    iterations: int = 1000
 
     def build(self, n_train: int):
         common = {"featuresCol": "features", "labelCol": "label"}
@@ -42,17 +48,20 @@ class Estimator:
         if self.name == "logistic_regression":
             # C = 1.0 as a penalty per row
             return LogisticRegression(
-                maxIter=1000, regParam=1.0 / max(n_train, 1), elasticNetParam=0.0, standardization=False, **common
+                maxIter=self.iterations, tol=1e-4, regParam=1.0 / max(n_train, 1), elasticNetParam=0.0,
+                standardization=False, **common
             )
         if self.name == "random_forest":
-            return RandomForestClassifier(numTrees=self.trees, maxDepth=30, seed=rules.SEED, **common)
+            return RandomForestClassifier(
+                numTrees=self.trees or 100, maxDepth=self.depth or 30, seed=rules.SEED, **common
+            )
         if self.name == "random_forest_bounded":
             return RandomForestClassifier(
-                numTrees=self.trees, maxDepth=20, minInstancesPerNode=2, seed=rules.SEED, **common
+                numTrees=self.trees or 200, maxDepth=self.depth or 20, minInstancesPerNode=2, seed=rules.SEED, **common
             )
         if self.name == "boosted_trees":
             return GBTClassifier(
-                maxIter=self.rounds, maxDepth=6, stepSize=0.1, subsamplingRate=0.8,
+                maxIter=self.rounds, maxDepth=self.depth or 6, stepSize=0.1, subsamplingRate=0.8,
                 featureSubsetStrategy="0.8", seed=rules.SEED, **common
             )
         raise ValueError(f"unknown model: {self.name}")

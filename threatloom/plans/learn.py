@@ -151,7 +151,7 @@ def ml_logistic_regression(spark: SparkSession, folder: str) -> DataFrame:
 
 @query()
 def ml_random_forest(spark: SparkSession, folder: str) -> DataFrame:
-    return _spam_metrics(spark, folder, md.Estimator("random_forest", trees=20))
+    return _spam_metrics(spark, folder, md.Estimator("random_forest", trees=10, depth=8))
 
 
 @query()
@@ -194,7 +194,9 @@ def ml_assembled_features(spark: SparkSession, folder: str) -> DataFrame:
     return out.select("key", F.col("j.v.size").alias("size"), F.size("j.v.values").alias("stored"))
 
 
-_TRIAL = md.Estimator("boosted_trees", rounds=5)  # the pipeline default is 200 rounds
+# Fewer rounds than the defaults (200 rounds, 1,000 iterations): the queries show the pipelines
+_TRIAL = md.Estimator("boosted_trees", rounds=3, depth=4)
+_TRIAL_LR = md.Estimator("logistic_regression", iterations=30)
 
 
 @query()
@@ -208,7 +210,7 @@ def ml_gbt(spark: SparkSession, folder: str) -> DataFrame:
 def ml_train_stats(spark: SparkSession, folder: str) -> DataFrame:
     """Training statistics: sample counts and validation metrics."""
     parts = _phishing_parts(spark, folder)
-    model = md.train_phishing(parts["train"], "key", md.Estimator("random_forest_bounded", trees=20))
+    model = md.train_phishing(parts["train"], "key", md.Estimator("random_forest_bounded", trees=10, depth=8))
     n = parts["train"].count()
     return md.evaluate(md.predict(model, parts["val"]), "val_samples").withColumns({
         "model_type": F.lit("random_forest"), "train_samples": F.lit(n)
@@ -219,7 +221,7 @@ def ml_train_stats(spark: SparkSession, folder: str) -> DataFrame:
 def ml_pipeline_splits(spark: SparkSession, folder: str) -> DataFrame:
     """Training from given splits: fit on train, metrics on val and test."""
     parts = _phishing_parts(spark, folder)
-    model = md.train_phishing(parts["train"], "key", md.Estimator("logistic_regression"))
+    model = md.train_phishing(parts["train"], "key", _TRIAL_LR)
     rows = [md.evaluate(md.predict(model, parts[n]), "samples").withColumns({"split": F.lit(n)}) for n in ("val", "test")]
     return ds.union_all(rows)
 
@@ -241,5 +243,5 @@ def ml_pipeline_unified(spark: SparkSession, folder: str) -> DataFrame:
 def top_feature_importance(spark: SparkSession, folder: str) -> DataFrame:
     """Top 20 features by absolute coefficient."""
     parts = _phishing_parts(spark, folder)
-    model = md.train_phishing(parts["train"], "key", md.Estimator("logistic_regression"))
+    model = md.train_phishing(parts["train"], "key", _TRIAL_LR)
     return md.feature_importance(spark, model)
