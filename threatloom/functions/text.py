@@ -223,8 +223,10 @@ def at_token_count(c: Column) -> Column:
     return F.when(c.contains("@"), match_count(c, AT_TOKEN_PATTERN)).otherwise(0)
 
 
-def phone_count(c: Column) -> Column:
-    return match_count(c, PHONE_PATTERN)
+def phone_count(c: Column, digits: Column | None = None) -> Column:
+    """Phone numbers; texts with fewer than ten digits skip the regex when the digit count is at hand."""
+    found = match_count(c, PHONE_PATTERN)
+    return found if digits is None else F.when(digits >= 10, found).otherwise(0)
 
 
 def upper_count(c: Column) -> Column:
@@ -237,16 +239,16 @@ def digit_count(c: Column) -> Column:
 
 def entropy(c: Column) -> Column:
     """Base-2 character entropy of the lower-cased text, relative to the original length."""
-    low, n = F.lower(c), F.length(c).cast("double")
+    def of(low: Column) -> Column:
+        n, n_low = F.length(c).cast("double"), F.length(low)
 
-    def term(acc: Column, ch: Column) -> Column:
-        p = (F.length(low) - F.length(F.replace(low, ch, F.lit("")))) / n
-        return acc - p * F.log2(p)
+        def term(acc: Column, ch: Column) -> Column:
+            p = (n_low - F.length(F.replace(low, ch, F.lit("")))) / n
+            return acc - p * F.log2(p)
 
-    return F.when(
-        F.length(c) > 0,
-        F.aggregate(F.array_distinct(F.split(low, "")), F.lit(0.0), term),
-    ).otherwise(F.lit(0.0))
+        return F.aggregate(F.array_distinct(F.split(low, "")), F.lit(0.0), term)
+
+    return F.when(F.length(c) > 0, let(F.lower(c), of)).otherwise(F.lit(0.0))
 
 
 def scan_type(stripped: Column, folded: Column | str) -> Column:

@@ -164,7 +164,17 @@ def _keys(df: DataFrame, stratum: str, key: str, seed: int) -> DataFrame:
     )
 
 
-def rank_thresholds(df: DataFrame, stratum: str, key: str, cuts: dict[str, Column], seed: int = rules.SEED) -> DataFrame:
+MAX_BROADCAST_STRATA = 10_000
+
+
+def _few_strata(df: DataFrame, stratum: str) -> bool:
+    """Checked before any broadcast: a one-column scan with a map-side distinct."""
+    some = df.select(stratum).distinct().limit(MAX_BROADCAST_STRATA + 1)
+    return some.count() <= MAX_BROADCAST_STRATA
+
+
+def rank_thresholds(df: DataFrame, stratum: str, key: str, cuts: dict[str, Column], seed: int = rules.SEED,
+                    few: bool = False) -> DataFrame:
     """stratum -> one threshold hash per cut: the first ``cut`` rows in hash order lie below it.
 
     ``cuts`` maps a name to an expression over ``n`` (rows in the stratum).
@@ -184,13 +194,12 @@ def rank_thresholds(df: DataFrame, stratum: str, key: str, cuts: dict[str, Colum
     )
     buckets = edges.select("__s", "__b", "__start").distinct()
     in_order = Window.partitionBy("__s", "__b").orderBy("__h")
-    # at most one row per stratum and cut: safe to broadcast
-    ranked = keys.join(F.broadcast(buckets), ["__s", "__b"]).withColumns({
+    # one row per stratum and cut: broadcast when the caller has checked the strata
+    small = F.broadcast if few else (lambda x: x)
+    ranked = keys.join(small(buckets), ["__s", "__b"]).withColumns({
         "__rank": F.col("__start") + F.row_number().over(in_order) - 1
     })
-    found = ranked.join(
-        F.broadcast(edges.select("__s", "__name", "__at")), "__s"
-    ).filter(F.col("__rank") == F.col("__at"))
+    found = ranked.join(small(edges.select("__s", "__name", "__at")), "__s").filter(F.col("__rank") == F.col("__at"))
     per_cut = [F.max(F.when(F.col("__name") == name, F.col("__h"))).alias(f"__{name}") for name in cuts]
     # every stratum keeps a row, also when none of its cuts has a threshold
     return (
@@ -207,17 +216,21 @@ def below(hash_value: Column, threshold: Column) -> Column:
 def ranked_split(df: DataFrame, stratum: str, key: str, cuts: dict[str, Column], last: str, seed: int = rules.SEED) -> DataFrame:
     """Assign each row to the first cut (in order) whose threshold exceeds its hash, else ``last``.
 
-    The rows are scanned once and meet a broadcast of one row per stratum; the
-    number of strata (class labels) is the size bound.
+    The rows are scanned once and meet one row per stratum.  That side is
+    broadcast when the number of strata passes a check (class labels do), so
+    the wide rows do not shuffle; otherwise it is an ordinary join.
     """
-    limits = rank_thresholds(df, stratum, key, cuts, seed)
+    few = _few_strata(df, stratum)
+    limits = rank_thresholds(df, stratum, key, cuts, seed, few)
+    if few:
+        limits = F.broadcast(limits)
     h = hash_order(F.col(key), seed)
     split = None
     for name in cuts:
         hit = below(h, F.col(f"__{name}"))
         split = F.when(hit, name) if split is None else split.when(hit, name)
     return (
-        df.join(F.broadcast(limits), stratum)
+        df.join(limits, stratum)
         .withColumns({"split": split.otherwise(last)})
         .drop(*[f"__{name}" for name in cuts])
     )

@@ -39,7 +39,8 @@ COMBINED_FEATURES = [f"text_{n}" for n in TEXT_FEATURES] + [f"url_{n}" for n in
 def _text_columns(t: Column, low: Column, words: Column, urls: Column, families: Column) -> dict[str, Column]:
     n = F.greatest(F.length(t), F.lit(1))
     n_words = F.greatest(F.size(words), F.lit(1))
-    emails, phones = tx.email_count(low), tx.phone_count(t)
+    digits = F.col("__digits")
+    emails, phones = tx.email_count(low), tx.phone_count(t, digits)
     caps = F.filter(words, lambda w: (F.length(w) > 1) & (F.lower(w) != w) & (F.upper(w) == w))
     out: dict[str, Column] = {
         "text_length": F.length(t),
@@ -67,7 +68,7 @@ def _text_columns(t: Column, low: Column, words: Column, urls: Column, families:
         ) / n_words,
         "has_currency": ux.flag(tx.contains_any("__t", tx.CURRENCY_CHARS)),
         "has_percentage": ux.flag(t.contains("%") & tx.matches(t, r"\d%")),
-        "digit_ratio": tx.digit_count(t) / n,
+        "digit_ratio": digits / n,
         "phishing_indicator_score": tx.total(
             families[name] * F.lit(weight) for name, weight in rules.INDICATOR_WEIGHTS
         ),
@@ -80,7 +81,7 @@ def with_text_features(df: DataFrame, text: str, prefix: str = "") -> DataFrame:
     staged = df.withColumns({"__t": tx.strip(tx.text_or_empty(F.col(text)))}).withColumns(
         {"__low": tx.fold(F.col("__t")), "__words": tx.words(F.col("__t")), "__urls": tx.extract_urls(F.col("__t"))}
     ).withColumns(
-        {"__fam": F.struct(*[
+        {"__digits": tx.digit_count(F.col("__t")), "__fam": F.struct(*[
             tx.family_count("__low", family).cast("double").alias(name)
             for name, family in rules.EXTRACTOR_FAMILIES.items()
         ])}
@@ -88,7 +89,7 @@ def with_text_features(df: DataFrame, text: str, prefix: str = "") -> DataFrame:
     cols = _text_columns(*[F.col(c) for c in ("__t", "__low", "__words", "__urls", "__fam")])
     return staged.withColumns(
         {prefix + k: cols[k].cast("double") for k in TEXT_FEATURES}
-    ).drop("__t", "__low", "__words", "__urls", "__fam")
+    ).drop("__t", "__low", "__words", "__urls", "__digits", "__fam")
 
 
 def _url_columns(u: Column, parts: Column, dom: Column) -> dict[str, Column]:
