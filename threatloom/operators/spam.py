@@ -37,14 +37,3 @@ def with_spam_result(
         "error": F.when(t.isNull(), "text is null").when(p.isNull(), "probability is null"),
     })
 
-
-def transcripts(turns: DataFrame, key: str, order: str, text: str) -> DataFrame:
-    """One row per dialogue: turns joined by line breaks in turn order.
-
-    A dialogue is one unit of text, so folding it needs its turns together;
-    ``collect_list`` partial-aggregates before the shuffle.
-    """
-    folded = F.array_sort(F.collect_list(F.struct(order, text)))
-    return turns.groupBy(key).agg(
-        F.array_join(F.transform(folded, lambda s: s[text]), "\n").alias("dialogue")
-    )

@@ -258,7 +258,7 @@ _ATTACKS = ", ".join(
 @query(f"WITH {_PAYLOADS}, f AS (SELECT id, concat_ws('|', {_ATTACKS}) AS attack_types FROM payloads)" + """
 SELECT id, attack_types, attack_types <> '' AS is_intrusion, CASE WHEN attack_types <> '' THEN 0.9 ELSE 0.1 END::DOUBLE AS confidence FROM f""")
 def det_intrusion(spark: SparkSession, folder: str) -> DataFrame:
-    c = spread(table(spark, folder, "conversations"), "conv_id")
+    c = spread(table(spark, folder, "conversations"), "conv_id", "turn")
     key = F.col("conv_id") * 1000 + F.col("turn")
     talk = c.select(key.alias("id"), F.concat_ws(" ", fx.pick(fx.PAYLOADS, key % 12), "text").alias("payload"))
     html = spread(table(spark, folder, "pages").select((-F.col("page_id") - 1).alias("id"), F.col("html").alias("payload")), "id")

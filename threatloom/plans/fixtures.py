@@ -172,13 +172,11 @@ def known_hashes(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def dialogue_rows(spark: SparkSession, folder: str) -> DataFrame:
-    """One row per conversation with a label and a phrase in front."""
-    from threatloom.operators.spam import transcripts
-
-    c = spread(table(spark, folder, "conversations").select("conv_id", "turn", "text"), "conv_id")
-    n = F.col("conv_id")
-    return transcripts(c, "conv_id", "turn", "text").select(
-        "conv_id", F.concat_ws(" ", pick(PHRASES, n % 15), "dialogue").alias("dialogue"),
+    """Every conversation turn behind a phrase, with a label."""
+    c, n = spread(table(spark, folder, "conversations").select("conv_id", "turn", "text"), "conv_id", "turn"), F.col("conv_id")
+    return c.select(
+        F.concat_ws("-", n.cast("string"), F.col("turn").cast("string")).alias("talk_id"),
+        F.concat_ws(" ", pick(PHRASES, n % 15), "text").alias("dialogue"),
         F.when(n % 15 < 10, 1).otherwise(0).alias("label"),
     )
 
@@ -249,9 +247,8 @@ records AS (
          CASE WHEN url_id % 4 <> 0 THEN 'Other' END AS target
   FROM urls)""",
     "dialogues": f"""dialogues AS (
-  SELECT conv_id, ({_q(PHRASES)})[conv_id % 15 + 1] || ' ' || d AS dialogue,
-         CASE WHEN conv_id % 15 < 10 THEN 1 ELSE 0 END AS label
-  FROM (SELECT conv_id, string_agg(text, chr(10) ORDER BY turn) AS d FROM conversations GROUP BY conv_id))""",
+  SELECT conv_id || '-' || turn AS talk_id, ({_q(PHRASES)})[conv_id % 15 + 1] || ' ' || text AS dialogue,
+         CASE WHEN conv_id % 15 < 10 THEN 1 ELSE 0 END AS label FROM conversations)""",
 }
 _NEEDS = {"inbox": ("messages",), "records": ("feed",), "scores": ("messages",), "phish_feed": ("urls",)}
 

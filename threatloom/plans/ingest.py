@@ -11,7 +11,6 @@ from threatloom.functions import url as ux
 from threatloom.operators import dataset as ds
 from threatloom.operators import lookups as lk
 from threatloom.operators import metrics as mt
-from threatloom.operators import phishing as ph
 from threatloom.operators import spam as sp
 from threatloom.operators import threats as th
 from threatloom.plans import fixtures as fx
@@ -440,11 +439,11 @@ def top_head_then_filter(spark: SparkSession, folder: str) -> DataFrame:
     return rd.phish_records(rd.head(fx.phish_feed(spark, folder), "seq", 100)).select("seq", "url")
 
 
-@query(with_views("""SELECT msg_id AS id, text, label, NULL AS dialogue FROM messages
-  UNION ALL SELECT conv_id, NULL, label, dialogue FROM dialogues""", "messages", "dialogues"))
+@query(with_views("""SELECT 'm' || msg_id AS id, text, label, NULL AS dialogue FROM messages
+  UNION ALL SELECT talk_id, NULL, label, dialogue FROM dialogues""", "messages", "dialogues"))
 def set_union_all(spark: SparkSession, folder: str) -> DataFrame:
-    m = fx.messages(spark, folder).select(F.col("msg_id").alias("id"), "text", "label")
-    d = fx.dialogue_rows(spark, folder).select(F.col("conv_id").alias("id"), "label", "dialogue")
+    m = fx.messages(spark, folder).select(F.concat(F.lit("m"), F.col("msg_id").cast("string")).alias("id"), "text", "label")
+    d = fx.dialogue_rows(spark, folder).select(F.col("talk_id").alias("id"), "label", "dialogue")
     return ds.union_all([m, d])
 
 
@@ -554,12 +553,12 @@ def det_spam_threshold(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-@query(with_views("""p AS (SELECT conv_id, dialogue, (('0x' || substr(md5(conv_id::VARCHAR), 1, 8))::BIGINT % 1000)::DOUBLE / 1000 AS prob FROM dialogues)
-SELECT conv_id, dialogue AS transcribed_text, prob >= 0.75 AS is_spam, round(CASE WHEN prob >= 0.75 THEN prob ELSE 1 - prob END, 9) AS confidence FROM p""", "dialogues"))
+@query(with_views("""p AS (SELECT talk_id, dialogue, (('0x' || substr(md5(talk_id), 1, 8))::BIGINT % 1000)::DOUBLE / 1000 AS prob FROM dialogues)
+SELECT talk_id, dialogue AS transcribed_text, prob >= 0.75 AS is_spam, round(CASE WHEN prob >= 0.75 THEN prob ELSE 1 - prob END, 9) AS confidence FROM p""", "dialogues"))
 def det_transcripts(spark: SparkSession, folder: str) -> DataFrame:
     """Spam decision over transcripts, keeping the transcribed text."""
-    prob = fx.hash_int(F.col("conv_id").cast("string")) % 1000 / 1000.0
+    prob = fx.hash_int(F.col("talk_id")) % 1000 / 1000.0
     d = fx.dialogue_rows(spark, folder).withColumns({"prob": prob})
     return sp.with_spam_result(d, "dialogue", "prob").select(
-        "conv_id", F.col("dialogue").alias("transcribed_text"), "is_spam", F.round("confidence", 9).alias("confidence")
+        "talk_id", F.col("dialogue").alias("transcribed_text"), "is_spam", F.round("confidence", 9).alias("confidence")
     )

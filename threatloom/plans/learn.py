@@ -85,17 +85,17 @@ def ml_tfidf_weights(spark: SparkSession, folder: str) -> DataFrame:
     return tm.tfidf(counts, vocab, "msg_id").select("msg_id", "term", F.round("weight", 9).alias("weight"))
 
 
-_CLEAN_DIALOGUE = CLEAN_SQL.replace("cleaned AS (SELECT msg_id, label", "cleaned AS (SELECT conv_id, label").replace(
+_CLEAN_DIALOGUE = CLEAN_SQL.replace("cleaned AS (SELECT msg_id, label", "cleaned AS (SELECT talk_id, label").replace(
     "lower(text)", "lower(dialogue)").replace("FROM messages", "FROM dialogues")
 
 
-@query(with_views(_CLEAN_DIALOGUE + ",\n" + _terms_sql("cleaned", "conv_id", 3) + ",\n" + _vocab_sql("cleaned", tm.DIALOGUE_SETTINGS) + ",\n" + WEIGHTS_SQL
-                  + " SELECT k AS conv_id, term, round(weight, 9) AS weight FROM weights", "dialogues"))
+@query(with_views(_CLEAN_DIALOGUE + ",\n" + _terms_sql("cleaned", "talk_id", 3) + ",\n" + _vocab_sql("cleaned", tm.DIALOGUE_SETTINGS) + ",\n" + WEIGHTS_SQL
+                  + " SELECT k AS talk_id, term, round(weight, 9) AS weight FROM weights", "dialogues"))
 def ml_tfidf_dialogue(spark: SparkSession, folder: str) -> DataFrame:
     """TF-IDF weights of the dialogues (1-3-grams, 5,000 terms)."""
     d = md.prepare_spam(fx.dialogue_rows(spark, folder), "dialogue", tm.DIALOGUE_SETTINGS)
-    counts, vocab = _vocabulary(d, "conv_id", tm.DIALOGUE_SETTINGS)
-    return tm.tfidf(counts, vocab, "conv_id").select("conv_id", "term", F.round("weight", 9).alias("weight"))
+    counts, vocab = _vocabulary(d, "talk_id", tm.DIALOGUE_SETTINGS)
+    return tm.tfidf(counts, vocab, "talk_id").select("talk_id", "term", F.round("weight", 9).alias("weight"))
 
 
 @query(with_views(CLEAN_SQL + ",\n" + _terms_sql("cleaned", "msg_id", 2) + ",\n" + _vocab_sql("cleaned", tm.SMS_SETTINGS) + ",\n" + WEIGHTS_SQL + """,
@@ -230,7 +230,7 @@ def ml_pipeline_splits(spark: SparkSession, folder: str) -> DataFrame:
 def ml_pipeline_unified(spark: SparkSession, folder: str) -> DataFrame:
     """One classifier on messages and dialogues together (1-3-grams, 5,000 terms)."""
     sms = fx.messages(spark, folder).select(F.concat(F.lit("m"), "msg_id").alias("key"), F.col("text").alias("message"), "label")
-    talk = fx.dialogue_rows(spark, folder).select(F.concat(F.lit("d"), "conv_id").alias("key"), F.col("dialogue").alias("message"), "label")
+    talk = fx.dialogue_rows(spark, folder).select(F.col("talk_id").alias("key"), F.col("dialogue").alias("message"), "label")
     corpus = rd.combined_corpus(sms, talk)
     rows = materialize(md.prepare_spam(corpus, "message", tm.DIALOGUE_SETTINGS), "unified")
     split = materialize(ds.holdout_split(rows, "key"), "unified-split")

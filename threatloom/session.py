@@ -61,7 +61,7 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def spread(df: DataFrame, key: str) -> DataFrame:
+def spread(df: DataFrame, *keys: str) -> DataFrame:
     """Use all cores when a small input arrives in fewer splits than there are cores.
 
     Large inputs already have more splits than cores and pass through without
@@ -70,7 +70,7 @@ def spread(df: DataFrame, key: str) -> DataFrame:
     cores = df.sparkSession.sparkContext.defaultParallelism
     if df.rdd.getNumPartitions() >= cores:
         return df
-    return df.repartition(cores, key)
+    return df.repartition(cores, *keys)
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
