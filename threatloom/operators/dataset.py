@@ -48,8 +48,12 @@ def nonblank(df: DataFrame, text: str) -> DataFrame:
 
 # ------------------------------------------------------------------ dedup
 def ingest_order(priority: Column, seq: Column) -> Column:
-    """One BIGINT that sorts by source priority, then row order (fast hash-aggregate buffer)."""
-    return F.shiftleft(priority.cast("long"), 48) + seq.cast("long")
+    """One BIGINT that sorts by source priority, then row order (fast hash-aggregate buffer).
+
+    7 bits of priority and 56 bits of row order: enough for
+    ``monotonically_increasing_id`` over eight million partitions.
+    """
+    return F.shiftleft(priority.cast("long"), 56) + seq.cast("long")
 
 
 def first_wins(df: DataFrame, key: Column, order: str) -> DataFrame:

@@ -214,7 +214,7 @@ SQL = {
   SELECT doc_id, text, ({_q(RAW_LABELS)})[doc_id % 7 + 1] AS label,
          ({_q([s for s, _, _ in rules.FEED_SOURCES])})[doc_id % 4 + 1] AS source,
          ({_q([k for _, k, _ in rules.FEED_SOURCES])})[doc_id % 4 + 1] AS content_type,
-         (doc_id % 4) * 281474976710656 + doc_id AS ord
+         (doc_id % 4) * 72057594037927936 + doc_id AS ord
   FROM documents)""",
     "records": r"""seen AS (
   SELECT *, regexp_replace(text, '^\s+|\s+$', '', 'g') AS stripped FROM feed),

@@ -20,6 +20,8 @@ def local_session(cores: str = "8", app: str = "threatloom") -> SparkSession:
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        # the JVM leaves methods over 8,000 bytes uncompiled: run such stages operator by operator
+        .config("spark.sql.codegen.hugeMethodLimit", "8000")
         # large generated expressions: skip the call-site capture per Column call
         .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .getOrCreate()

@@ -27,13 +27,14 @@ AGGREGATED_SCHEMA = T.StructType([T.StructField(n, T.StringType()) for n in AGGR
 BINARY_SCHEMA = "path string, modificationTime timestamp, length bigint, content binary"
 
 
-def read_csv(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
+def read_csv(spark: SparkSession, path: str, schema: T.StructType | None = None, multi_line: bool = True) -> DataFrame:
     """Header CSV, every field a string, quoted line breaks allowed.
 
-    Quoted line breaks make a single file unsplittable, so write feeds as many
-    part files; parallelism is one task per file.
+    Quoted line breaks make a single file unsplittable (one task per file), so
+    write such feeds as many part files; pass ``multi_line=False`` for feeds
+    that have one record per line, whose files then split freely.
     """
-    reader = spark.read.option("header", True).option("multiLine", True).option("escape", '"').option("quote", '"')
+    reader = spark.read.option("header", True).option("multiLine", multi_line).option("escape", '"').option("quote", '"')
     return (reader.schema(schema) if schema is not None else reader.option("inferSchema", False)).csv(path)
 
 
@@ -85,22 +86,22 @@ def resolve_columns(df: DataFrame, text_col: str = "text", label_col: str = "lab
 
 
 def read_feed(spark: SparkSession, path: str, source: str, content_type: str, priority: int,
-              text_col: str = "text", label_col: str = "label") -> DataFrame:
+              text_col: str = "text", label_col: str = "label", multi_line: bool = True) -> DataFrame:
     """One labelled CSV feed tagged with source, content type and ingest order.
 
     The row order inside a feed is the scan position; materialise the result
     before several passes read it.
     """
-    raw = resolve_columns(read_csv(spark, path), text_col, label_col)
+    raw = resolve_columns(read_csv(spark, path, multi_line=multi_line), text_col, label_col)
     return raw.withColumns({
         "source": F.lit(source), "content_type": F.lit(content_type),
-        "order": ds.ingest_order(F.lit(priority), F.monotonically_increasing_id() % F.lit(1 << 48)),
+        "order": ds.ingest_order(F.lit(priority), F.monotonically_increasing_id()),
     })
 
 
-def read_feeds(spark: SparkSession, manifest: Iterable[tuple[str, str, str, int]]) -> DataFrame:
+def read_feeds(spark: SparkSession, manifest: Iterable[tuple[str, str, str, int]], multi_line: bool = True) -> DataFrame:
     """Union of feeds (path, source, content type, priority)."""
-    return ds.union_all(read_feed(spark, p, s, t, k) for p, s, t, k in manifest)
+    return ds.union_all(read_feed(spark, p, s, t, k, multi_line=multi_line) for p, s, t, k in manifest)
 
 
 def aggregated_rows(df: DataFrame) -> DataFrame:
