@@ -61,7 +61,7 @@ def messages(spark: SparkSession, folder: str) -> DataFrame:
         F.concat_ws(" ", pick(PHRASES, n % 15), "text").alias("text"),
         F.when(n % 15 < 10, 1).otherwise(0).alias("label"),
         pick(("sms", "email", "url"), n % 3).alias("source"),
-        (F.lit("2024-01-01 00:00:00").cast("timestamp") + F.make_interval(hours=n.cast("int"))).alias("ts"),
+        (F.lit("2024-01-01 00:00:00+00:00").cast("timestamp") + F.make_interval(hours=n.cast("int"))).alias("ts"),
     )
 
 

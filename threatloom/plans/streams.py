@@ -53,7 +53,7 @@ def str_score_stream(spark: SparkSession, folder: str) -> DataFrame:
 def str_dedup(spark: SparkSession, folder: str) -> DataFrame:
     """First-seen deduplication; the delay exceeds the time span, so the hashes are the distinct ones."""
     m = fx.documents(spark, folder).select(
-        "text", (F.lit("2024-01-01").cast("timestamp") + F.make_interval(mins=F.col("doc_id").cast("int"))).alias("ts")
+        "text", (F.lit("2024-01-01 00:00:00+00:00").cast("timestamp") + F.make_interval(mins=F.col("doc_id").cast("int"))).alias("ts")
     )
     seen = jobs.first_seen(_landed(m, "messages"), "text", "ts", "3650 days")
     return _finish(seen.select("text_hash"), "hashes")
@@ -73,7 +73,9 @@ def str_level_counts(spark: SparkSession, folder: str) -> DataFrame:
     landed = _landed(fx.messages(spark, folder).select("msg_id", "text", "ts"), "messages", None)
     counts = jobs.level_counts(jobs.score_stream(landed).select("ts", "threat_level"), "ts", "1 day")
     out = _finish(counts, "levels")
-    return out.select(F.date_format("window_start", "yyyy-MM-dd").alias("day"), "threat_level", "n")
+    # the UTC day, whatever the session time zone
+    day = F.date_from_unix_date(F.floor(F.unix_seconds("window_start") / 86400).cast("int"))
+    return out.select(day.cast("string").alias("day"), "threat_level", "n")
 
 
 @query(with_views("SELECT url_id, url IN (SELECT url FROM phish_feed WHERE verified = 'yes' AND url <> '') AS is_listed FROM urls", "phish_feed"))
