@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threatloom.llm import mixing, packing, simhash
+from threatloom.llm import chat, embeddings, html, langid, lines, mixing, packing, pii, quality, simhash
 from threatloom.session import table
 
 QUERIES, ORACLES = {}, {}
@@ -65,3 +65,93 @@ def op3_simhash(spark: SparkSession, folder: str) -> DataFrame:
 def op6_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     """Places of all documents' pieces in sequences of at most 4,096 tokens."""
     return packing.pack_documents(table(spark, folder, "documents"), TOKENIZER).withColumnRenamed("key", "doc_id")
+
+
+@query()
+def op1_html_main_text(spark: SparkSession, folder: str) -> DataFrame:
+    """Main text of every page."""
+    return html.with_main_text(table(spark, folder, "pages")).select("page_id", "url", "text", "n_chars")
+
+
+@query()
+def op4_embedding_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    """Links and component of every embedding."""
+    return embeddings.near_duplicates(table(spark, folder, "embeddings")).select(
+        F.col("key").alias("vec_id"), "n_links", F.col("component").alias("component_id"), "kept")
+
+
+@query()
+def op5_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    """Base statistics, base check and the learned verdict of every document."""
+    docs = table(spark, folder, "documents")
+    rules = quality.fit_rules(docs, table(spark, folder, "labels"))
+    return quality.with_verdict(docs, rules).select(
+        "doc_id", *[f"stats.{n}" for n in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")],
+        "base_failed", "kept", F.col("rule").cast("bigint").alias("rule"))
+
+
+@query()
+def op7_personal_data(spark: SparkSession, folder: str) -> DataFrame:
+    """Counts, digest of the base spans and all spans of personal data of every document."""
+    found = pii.find_personal_data(table(spark, folder, "documents"))
+    return found.select(
+        F.col("key").alias("doc_id"), "n_email", "n_ip", "n_card", "n_phone",
+        F.sha2(pii.span_text(F.col("base")), 256).alias("base_sha256"), pii.span_text(F.col("spans")).alias("spans"))
+
+
+LINES_SQL = r"""
+WITH pages AS (SELECT DISTINCT source, text FROM documents WHERE text IS NOT NULL),
+totals AS (SELECT source, count(*) AS n FROM (SELECT DISTINCT source, text FROM documents) GROUP BY source),
+lines AS (SELECT DISTINCT source, text, unnest(string_split(text, chr(10))) AS line FROM pages),
+often AS (SELECT l.source, line FROM lines l JOIN totals t ON l.source IS NOT DISTINCT FROM t.source
+  WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY l.source, line, n HAVING count(*) >= 5 AND count(*) > 0.02 * n),
+split AS (SELECT row_number() OVER () AS r, doc_id, source, text, string_split(text, chr(10)) AS parts FROM documents),
+each AS (SELECT r, unnest(parts) AS line, generate_subscripts(parts, 1) AS i FROM split),
+kept AS (SELECT e.r, string_agg(e.line, chr(10) ORDER BY i) AS text, count(*) AS n FROM each e JOIN split s ON e.r = s.r
+  LEFT JOIN often o ON o.source IS NOT DISTINCT FROM s.source AND o.line = e.line WHERE o.line IS NULL GROUP BY e.r)
+SELECT doc_id, CASE WHEN s.text IS NULL THEN NULL ELSE coalesce(k.text, '') END AS text,
+  coalesce(len(parts) - coalesce(k.n, 0), 0)::BIGINT AS n_dropped FROM split s LEFT JOIN kept k ON s.r = k.r"""
+
+
+@query(LINES_SQL)
+def op8_site_lines(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document without its site's boilerplate lines."""
+    return lines.with_clean_lines(table(spark, folder, "documents")).select("doc_id", "text", "n_dropped")
+
+
+#: Schemas of the calls that plain turns make.
+TURN_SCHEMAS = [
+    ("reply", '{"type":"object","required":["text","turn"],"additionalProperties":false,"properties":'
+              '{"text":{"type":"string","minLength":1},"turn":{"type":"integer","minimum":0}}}'),
+    ("configure", '{"type":"object","required":["text","turn"],"properties":{"turn":{"type":"integer","maximum":0}}}'),
+]
+
+CHAT_SQL = r"""
+WITH calls AS (SELECT conv_id AS conv, turn, conv_id || '-' || turn AS id, text,
+    CASE role WHEN 'system' THEN 'configure' ELSE 'reply' END AS name FROM conversations WHERE role IN ('user', 'system')),
+results AS (SELECT conv_id AS conv, turn, conv_id || '-' || (turn - 1) AS id, text FROM conversations WHERE role = 'assistant')
+SELECT conv, turn, 0 AS seq, 'call' AS kind, id,
+  CASE WHEN id IN (SELECT id FROM results) THEN 'linked' ELSE 'unanswered' END AS status, 0 AS level,
+  CASE WHEN name = 'configure' THEN CASE WHEN turn > 0 THEN '$.turn: out of range' END
+    WHEN text IS NULL THEN '$.text: not string' WHEN text = '' THEN '$.text: length' WHEN turn < 0 THEN '$.turn: out of range' END AS error,
+  '{"arguments":{"text":' || coalesce(to_json(text)::VARCHAR, 'null') || ',"turn":' || turn || '},"id":"' || id || '","name":"' || name || '"}' AS json
+FROM calls UNION ALL
+SELECT conv, turn, 0, 'result', id, CASE WHEN id IN (SELECT id FROM calls) THEN 'linked' ELSE 'orphan' END, 0, NULL,
+  '{"content":' || coalesce(to_json(text)::VARCHAR, 'null') || ',"id":"' || id || '"}' FROM results"""
+
+
+@query(CHAT_SQL)
+def op9_tool_calls(spark: SparkSession, folder: str) -> DataFrame:
+    """Calls and results of all conversations, linked, ordered, validated and serialised: tool calls, and turns as calls."""
+    messages = table(spark, folder, "conversations")
+    calls, results = (a.union(b) for a, b in zip(chat.parse_messages(messages), chat.turns_as_calls(messages)))
+    return chat.link_calls(calls, results, spark.createDataFrame(TURN_SCHEMAS, "name string, schema string"))
+
+
+@query()
+def op10_language(spark: SparkSession, folder: str) -> DataFrame:
+    """Language of every document, learned from those outside of the held-out fold."""
+    docs = table(spark, folder, "documents")
+    fold = F.crc32(F.col("doc_id").cast("string")) % 4
+    model = langid.fit(docs.where(fold != 2))
+    return langid.with_language(docs, model).select("doc_id", F.coalesce(fold == 2, F.lit(False)).alias("held_out"), "lang_pred", "score")
