@@ -18,8 +18,8 @@ FIT_ROWS = 20_000
 #: Conditions of a rule, and rules of a list, at most.
 MAX_CONDITIONS = 3
 MAX_RULES = 12
-#: A rule must be right on this share of the rejected pruning rows, by its lower confidence bound.
-MIN_PRECISION = 0.95
+#: A rule must be right on this share of the rows that it covers, as (right + 1) / (covered + 2).
+MIN_PRECISION = 0.9
 
 STATISTICS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_bangs", "n_upper", "n_digits")
 _BLANKS = b" \t\n\r\x0b\x0c"
@@ -100,12 +100,17 @@ def _covers(rule: Rule, x: dict[str, np.ndarray], n: int) -> np.ndarray:
     return hit
 
 
-def _bound(right: int, all_: int) -> float:
-    """Lower end of the 95 % Wilson interval of a precision."""
-    if not all_:
-        return 0.0
-    p, z = right / all_, 1.96
-    return (p + z * z / (2 * all_) - z * np.sqrt(p * (1 - p) / all_ + z * z / (4 * all_ * all_))) / (1 + z * z / all_)
+def _precision(covered: np.ndarray, bad: np.ndarray) -> float:
+    """Laplace estimate of the share of bad rows among covered ones."""
+    return (int((covered & bad).sum()) + 1) / (int(covered.sum()) + 2)
+
+
+def _centred(rule: Rule, i: int, x: dict[str, np.ndarray], left: np.ndarray) -> tuple[str, str, float]:
+    """The rule's i-th condition, its cut moved to the middle of the gap between the values on both sides."""
+    name, op, cut = rule[i]
+    values = x[name][left & _covers(rule[:i] + rule[i + 1:], x, len(left))]
+    below, above = values[values < cut], values[values >= cut]
+    return name, op, float(below.max() + above.min()) / 2 if len(below) and len(above) else cut
 
 
 def learn_rules(statistics: dict[str, np.ndarray], bad: np.ndarray, part: np.ndarray, max_rules: int = MAX_RULES,
@@ -114,9 +119,9 @@ def learn_rules(statistics: dict[str, np.ndarray], bad: np.ndarray, part: np.nda
 
     Each rule grows on the rows with ``part`` 0 or 1: the condition ``feature >= cut`` or ``< cut`` of most information
     gain is added while the rule covers good rows, cuts being quantiles of the bad rows left. It is pruned on the rows
-    with ``part`` 2: last conditions go while that doesn't lower its bound there. A rule joins the list if its precision,
-    by the lower 95 % bound on all rows, is at least ``min_precision`` and it is right on more than half of the pruning
-    rows that it covers; its rows leave and the search goes on. Few or one-sided labels give few rules or none.
+    with ``part`` 2: last conditions go while that doesn't lower its precision there. A rule joins the list if its
+    precision is at least ``min_precision`` on all rows left and it is right on no less than half of the pruning rows
+    that it covers, after each cut has moved to the middle of its gap; its rows leave and the search goes on. Few or one-sided labels give few rules or none.
     """
     x = features(lambda k: statistics[k].astype(float))
     n = len(bad)
@@ -144,15 +149,16 @@ def learn_rules(statistics: dict[str, np.ndarray], bad: np.ndarray, part: np.nda
             rule.append(best[1])
             hit = best[2]
         while len(rule) > 1:
-            scores = [_bound(int((c := prune & _covers(r, x, n)).__and__(bad).sum()), int(c.sum())) for r in (rule, rule[:-1])]
-            if scores[1] < scores[0]:
+            longer, shorter = (_precision(prune & _covers(r, x, n), bad) for r in (rule, rule[:-1]))
+            if shorter < longer:
                 break
             rule = rule[:-1]
         if not rule:
             break
+        rule = [_centred(rule, i, x, left) for i in range(len(rule))]
         hit = left & _covers(rule, x, n)
         held = hit & prune
-        if _bound(int((hit & bad).sum()), int(hit.sum())) < min_precision or 2 * int((held & bad).sum()) < int(held.sum()):
+        if _precision(hit, bad) < min_precision or 2 * int((held & bad).sum()) < int(held.sum()):
             break
         rules.append(rule)
         left &= ~hit
