@@ -195,16 +195,13 @@ def near_duplicates(vectors: DataFrame, key: str = "vec_id", embedding: str = "e
     jobs = pairs.join(blocks.select("block", "classes", "mults", "sizes", "u", "p"), "block").join(other, "block2")
     links = materialize(jobs.mapInPandas(join, "class bigint, links bigint, peer bigint"), "vector-links")
 
-    lows = units.select("class", "low")
-    edges = links.where("class <> peer").join(lows, "class").withColumnRenamed("low", "lu").join(
-        lows.select(F.col("class").alias("peer"), F.col("low").alias("lv")), "peer")
-    roots = connected_components(edges.select(F.col("lu").alias("u"), F.col("lv").alias("v")), "vectors")
+    roots = connected_components(links.select(F.col("class").alias("u"), F.col("peer").alias("v")), "vectors")
     sums = links.groupBy("class").agg(F.sum("links").alias("links"))
-    named = (
-        units.select("class", "raw", "low", "mult").join(sums, "class", "left")
-        .join(roots, F.col("low") == F.col("node"), "left")
-        .select("raw", (F.coalesce("links", F.lit(0)) + F.col("mult") - 1).alias("n"), F.coalesce("root", "low").alias("component"))
-    )
+    rooted = units.select("class", "raw", "low", "mult").join(roots, F.col("class") == F.col("node"), "left").withColumn(
+        "root", F.coalesce("root", "class"))
+    lowest = rooted.groupBy("root").agg(F.min("low").alias("component"))
+    named = rooted.join(lowest, "root").join(sums, "class", "left").select(
+        "raw", (F.coalesce("links", F.lit(0)) + F.col("mult") - 1).alias("n"), "component")
     return (
         rows.withColumn("e", F.when(F.col("ok"), F.col("e")))
         .join(named, F.col("e") == F.col("raw"), "left")
