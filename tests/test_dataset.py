@@ -120,12 +120,14 @@ def test_metrics_guard_zero_division(spark):
 def test_suffix_table_equals_row_local_split(spark):
     from threatloom.functions import url as ux
 
-    hosts = spark.createDataFrame([("a.b.co.uk",), ("x.example.com",), ("10.0.0.1",), ("nosuffix",), ("com",)], "host string")
-    suffixes = spark.createDataFrame([("com",), ("co.uk",), ("uk",)], "suffix string")
+    hosts = spark.createDataFrame([("a.b.co.uk",), ("x.example.com",), ("10.0.0.1",), ("nosuffix",), ("com",), ("www.ck",), ("a.www.ck",), ("b.c.ck",), ("c.ck",), ("ck",), ("y.x.example.com",)], "host string")
+    suffixes = spark.createDataFrame([("com",), ("co.uk",), ("uk",), ("*.ck",), ("!www.ck",), ("*.example.com",)], "suffix string")
     joined = {r["host"]: (r["subdomain"], r["domain"], r["suffix"]) for r in lk.split_hosts(hosts, "host", suffixes).collect()}
     known = lk.load_suffixes(suffixes)
     local = {r[0]: tuple(r[1]) for r in hosts.select("host", ux.domain_parts(F.col("host"), ux.longest_suffix(F.col("host"), known))).collect()}
     assert joined == local
+    assert joined["a.www.ck"] == ("a", "www", "ck") and joined["b.c.ck"] == ("", "b", "c.ck")
+    assert joined["y.x.example.com"] == ("", "y", "x.example.com") and joined["a.b.co.uk"] == ("a", "b", "co.uk")
 
 
 def test_line_parsers(spark):
@@ -169,3 +171,45 @@ def test_late_rows_are_dropped_and_open_windows_held_back(spark):
         jobs.run_to_table(counts, out, checkpoint).awaitTermination()
     got = {(r["window_start"].day, r["threat_level"]): r["n"] for r in spark.read.parquet(out).collect()}
     assert got == {(1, "LOW"): 2, (3, "HIGH"): 1}
+
+
+def test_open_windows_are_upserted(spark):
+    path, out, checkpoint = (scratch_path(spark, n) for n in ("stream", "levels", "check"))
+    for rows in ([("2024-01-01 10:00", "LOW")], [("2024-01-01 12:00", "LOW"), ("2024-01-02 12:00", "HIGH")]):
+        df = spark.createDataFrame(rows, "ts string, threat_level string")
+        df.select(F.col("ts").cast("timestamp"), "threat_level").coalesce(1).write.mode("append").parquet(path)
+        counts = jobs.level_counts(jobs.stream_files(spark, path, "ts timestamp, threat_level string"), "ts", "1 day")
+        jobs.run_upserts(counts, out, checkpoint).awaitTermination()
+    got = {(r["window_start"].day, r["threat_level"]): r["n"] for r in jobs.latest(spark, out, ["window_start", "threat_level"]).collect()}
+    assert got == {(1, "LOW"): 2, (2, "HIGH"): 1}
+
+
+def test_hot_text_is_seen_once(spark):
+    path, out, checkpoint = (scratch_path(spark, n) for n in ("stream", "seen", "check"))
+    df = spark.range(3000).select(
+        F.when(F.col("id") % 3 == 0, "Hot ").otherwise(F.col("id").cast("string")).alias("text"),
+        F.timestamp_seconds(F.col("id") + 1_700_000_000).alias("ts"))
+    df.write.parquet(path)
+    seen = jobs.first_seen(jobs.stream_files(spark, path, df.schema, files_per_batch=2), "text", "ts", "30 days")
+    jobs.run_to_table(seen.select("text_hash"), out, checkpoint).awaitTermination()
+    hashes = [r[0] for r in spark.read.parquet(out).collect()]
+    assert len(hashes) == len(set(hashes)) == 2001
+
+
+def test_rows_without_a_stratum_are_split_too(spark):
+    df = spark.createDataFrame([(f"k{i}", "a" if i % 4 else None) for i in range(100)], "key string, label string")
+    got = {(r["label"], r["split"]): r["count"] for r in ds.stratified_split(df, "key").groupBy("label", "split").count().collect()}
+    assert got == {("a", "train"): 52, ("a", "val"): 11, ("a", "test"): 12, (None, "train"): 17, (None, "val"): 4, (None, "test"): 4}
+
+
+def test_oversample_then_split_is_exact(spark):
+    rows = ds.balance(labelled(spark, {"phishing": 37, "legitimate": 400}), "key", strategy="oversample")
+    split = ds.stratified_split(rows.withColumns({"key": ds.copy_key("key")}), "key")
+    got = {(r["label"], r["split"]): r["count"] for r in split.groupBy("label", "split").count().collect()}
+    assert got == {(c, s): n for c in ("phishing", "legitimate") for s, n in (("train", 280), ("val", 60), ("test", 60))}
+
+
+def test_ingest_order_bounds(spark):
+    df = spark.createDataFrame([(128, 0)], "p int, s bigint").select(ds.ingest_order(F.col("p"), F.col("s")))
+    with pytest.raises(Exception, match="out of range"):
+        df.collect()

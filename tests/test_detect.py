@@ -6,17 +6,18 @@ from pyspark.sql import functions as F
 from threatloom import rules
 from threatloom.functions import url as ux
 from threatloom.operators import features as fe
+from threatloom.plans import fixtures as fx
 from threatloom.operators import phishing as ph
 from threatloom.operators import spam as sp
 from threatloom.operators import threats as th
 
 
 def verdict(spark, text, **kw):
-    return ph.with_phishing_result(spark.createDataFrame([(text,)], "text string"), "text", **kw).first()
+    return ph.with_phishing_result(spark.createDataFrame([(text,)], "text string"), "text", suffixes=fx.DETECTOR_SUFFIXES, **kw).first()
 
 
 def url_row(spark, url):
-    return fe.with_url_features(spark.createDataFrame([(url,)], "u string"), "u").first()
+    return fe.with_url_features(spark.createDataFrame([(url,)], "u string"), "u", suffixes=fx.DETECTOR_SUFFIXES).first()
 
 
 @pytest.mark.parametrize("url, flag", [
@@ -46,7 +47,7 @@ def test_unparsable_url_gives_zeros(spark):
 ])
 def test_host_parts(spark, host, parts):
     got = spark.createDataFrame([(f"http://{host}/p",)], "u string").select(
-        ux.host_parts(F.col("u"), rules.DEFAULT_SUFFIXES)).first()[0]
+        ux.host_parts(F.col("u"), fx.DETECTOR_SUFFIXES)).first()[0]
     assert tuple(got) == parts
 
 

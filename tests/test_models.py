@@ -49,17 +49,18 @@ def test_spam_models_separate(parts, estimator):
 
 def test_exact_naive_bayes_separates(parts):
     train, test = parts
-    counts = tm.term_counts(train, "msg_id")
-    vocab = tm.vocabulary(tm.term_statistics(counts), train.count(), *tm.SMS_SETTINGS[:3])
+    vectorizer = md.fit_vectorizer(train, "msg_id", "terms", tm.SMS_SETTINGS)
+    terms = md.leaves(vectorizer)[0].vocabulary
     labels = train.select("msg_id", "label")
-    model = tm.naive_bayes(tm.tfidf(counts, vocab, "msg_id"), labels, vocab, "msg_id")
-    weights = tm.tfidf(tm.term_counts(test, "msg_id"), vocab, "msg_id")
+    vocab = train.sparkSession.createDataFrame([(t,) for t in terms], "term string")
+    model = tm.naive_bayes(tm.tfidf(vectorizer.transform(train), terms, "tfidf", "msg_id", "label"), vocab)
+    weights = tm.tfidf(vectorizer.transform(test), terms, "tfidf", "msg_id")
     out = tm.naive_bayes_scores(weights, test, tm.log_priors(labels), model, "msg_id").join(test.select("msg_id", "label"), "msg_id")
     assert out.count() == test.count() and out.filter("prediction <> label").count() == 0
 
 
 def test_phishing_trees_importances_and_persistence(spark, messages):
-    rows = materialize(md.prepare_phishing(messages, "text"), "phishing")
+    rows = materialize(md.prepare_phishing(messages, "text", ("com", "tk")), "phishing")
     model = md.train_phishing(rows, "msg_id", md.Estimator("boosted_trees", rounds=2, depth=3))
     path = scratch_path(spark, "model")
     md.save_model(model, path, md.model_stats(spark, model))

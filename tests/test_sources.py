@@ -82,6 +82,20 @@ def test_feeds_keep_source_priority(spark):
     assert rows(ds.aggregate_feeds(feeds), "label", "source", "content_type") == [("phishing", "a", "url")]
 
 
+def test_first_row_wins_over_files_of_any_size(spark):
+    base = scratch_path(spark, "feeds")
+    import pathlib
+
+    folder = pathlib.Path(base)
+    folder.mkdir(parents=True)
+    filler = "".join(f"filler {i},ham\n" for i in range(40_000))
+    for name, body in (("part-0.csv", "same text,spam\n"), ("part-1.csv", filler + "same text,ham\n"), ("part-2.csv", "same text,ham\nother,spam\n")):
+        (folder / name).write_text("text,label\n" + body)
+    feeds = rd.read_feed(spark, base, "a", "url", 0)
+    assert rows(ds.aggregate_feeds(feeds).filter("text = 'same text'"), "label") == [("phishing",)]
+    assert ds.ingest_summary(feeds).first()["duplicates_removed"] == 2
+
+
 def test_binary_files_and_oversized(spark, tmp_path):
     (tmp_path / "a.bin").write_bytes(b"x" * 10)
     (tmp_path / "b.bin").write_bytes(b"y" * 100)

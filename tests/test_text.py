@@ -1,6 +1,7 @@
 """Hand-computed cases for text functions, features and the rule guards."""
 
 import re
+import unicodedata
 
 import pytest
 from hypothesis import given, settings
@@ -72,7 +73,7 @@ def test_entropy(spark):
 
 def test_empty_and_null_texts_give_zero_vectors(spark):
     df = spark.createDataFrame([("",), (None,), ("  ",)], "t string")
-    for row in fe.with_combined_features(df, "t").select(*fe.COMBINED_FEATURES).collect():
+    for row in fe.with_combined_features(df, "t", suffixes=("com",)).select(*fe.COMBINED_FEATURES).collect():
         assert all(v == 0.0 for v in row)
     assert len(fe.COMBINED_FEATURES) == 51
 
@@ -127,16 +128,27 @@ def test_scan_form_equals_pattern(spark, rule):
     ("motoring", "motor"), ("sing", "sing"), ("hopping", "hop"), ("falling", "fall"), ("filing", "file"),
     ("happy", "happi"), ("sky", "sky"), ("relational", "relat"), ("conditional", "condit"), ("triplicate", "triplic"),
     ("hopefulness", "hope"), ("adjustment", "adjust"), ("adoption", "adopt"), ("controll", "control"), ("rate", "rate"),
+    ("today", "today"), ("pay", "pay"), ("enjoy", "enjoy"), ("dies", "die"), ("died", "die"), ("flies", "fli"), ("skies", "sky"),
+    ("dying", "die"), ("news", "news"), ("generally", "gener"), ("fully", "fulli"), ("geologi", "geolog"), ("is", "is"), ("", ""),
+    ("tanned", "tan"), ("hissing", "hiss"), ("fizzed", "fizz"), ("bled", "bled"), ("feed", "feed"), ("rational", "ration"),
+    ("yes", "ye"), ("syzygy", "syzygi"), ("cease", "ceas"), ("probate", "probat"), ("irritant", "irrit"), ("replacement", "replac"),
 ])
-def test_porter(word, stem):
-    assert tm.porter(word) == stem
+def test_stems(spark, word, stem):
+    assert tm.stem_vocabulary(spark.createDataFrame([(word,)], "word string")).first()["stem"] == stem
 
 
 def test_stem_texts(spark):
-    df = spark.createDataFrame([("running cats",), (None,), ("",)], "t string")
-    assert [r[0] for r in tm.stem_texts(df, "t", "s").select("s").collect()] == ["run cat", None, ""]
+    df = spark.createDataFrame([("running cats",), (None,), ("",), ("running cats",)], "t string")
+    assert sorted((r[0] or "-" if r[0] is not None else "null") for r in tm.stem_texts(df, "t", "s").select("s").collect()) == ["-", "null", "run cat", "run cat"]
 
 
 def test_term_counts(spark):
     df = spark.createDataFrame([(1, ["b", "a", "b"]), (2, [])], "k int, terms array<string>")
     assert sorted(map(tuple, tm.term_counts(df, "k").collect())) == [(1, "a", 1), (1, "b", 2)]
+
+
+def test_accents_follow_unicode(spark):
+    texts = ["Příliš Łódź Ő Ş ﬁ ½ ² Ǆ ㌀", "e\u0301 한국어 각", "plain", "", None, "ﷺ x"]
+    want = [None if t is None else "".join(c for c in unicodedata.normalize("NFKD", t.lower()) if not unicodedata.combining(c)) for t in texts]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    assert [r[0] for r in df.select(tx.strip_accents(F.col("t"))).collect()] == want

@@ -8,8 +8,9 @@ case-insensitive flag.  ``(?Ud)`` gives Unicode ``\\w \\d \\s \\b`` and makes
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Callable, Iterable
-from functools import reduce
+from functools import cache, reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -39,9 +40,6 @@ LONG_NUMBER_PATTERN = r"\b\d{10,}\b"
 # a whitespace-delimited token with an inner '@', anchored at the token start
 AT_TOKEN_PATTERN = rf"(?<!{NON_SPACE}){NON_SPACE}[^\s\x1c-\x1f@]*+@{NON_SPACE}+"
 CURRENCY_CHARS = ("$", "£", "€", "¥")
-# Accented letters and their plain forms (NFKD minus marks, lower case)
-ACCENTED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ"
-PLAIN = "aaaaaaceeeeiiiinooooouuuuyy"
 
 
 def any_of(conditions: Iterable[Column]) -> Column:
@@ -169,9 +167,49 @@ def drop_stop_words(cleaned: Column, stop_words: Iterable[str]) -> Column:
     return F.array_join(F.filter(F.split(cleaned, " "), lambda w: ~one_of(w, stop_words)), " ")
 
 
+@cache
+def _unmarked() -> tuple[str, str, dict[str, str]]:
+    """Characters whose compatibility decomposition without marks is one character, those characters (marks have
+    none), and the others with their longer forms; Hangul syllables apart.  Made from the Unicode tables."""
+    one, to, marks, longer = [], [], [], {}
+    for code in (*range(0x80, 0xAC00), *range(0xD7A4, 0xD800), *range(0xE000, 0x110000)):
+        c = chr(code)
+        if unicodedata.combining(c):
+            marks.append(c)
+            continue
+        plain = "".join(x for x in unicodedata.normalize("NFKD", c) if not unicodedata.combining(x))
+        if plain == c:
+            continue
+        if len(plain) == 1:
+            one.append(c)
+            to.append(plain)
+        else:
+            longer[c] = plain
+    return "".join(one + marks), "".join(to), longer
+
+
+@cache
+def _hangul() -> tuple[str, list[str]]:
+    """Hangul syllables and, in the same order, their first, second and third letters (blank: none)."""
+    syllables = [chr(x) for x in range(0xAC00, 0xD7A4)]
+    parts = [unicodedata.normalize("NFKD", s).ljust(3) for s in syllables]
+    return "".join(syllables), ["".join(p[i] for p in parts) for i in range(3)]
+
+
 def strip_accents(c: Column) -> Column:
-    """Lower case without accents (explicit table of Latin letters)."""
-    return F.translate(F.lower(c), ACCENTED, PLAIN)
+    """Lower case without accents: compatibility decomposition (NFKD), combining marks dropped."""
+    source, target, longer = _unmarked()
+    low = F.lower(c)
+    names = "".join(longer)
+    # a text with ligatures, fractions and the like is cut around them; few texts have any
+    pieces = F.split(low, rf"(?<=[{names}])|(?=[{names}])")
+    table = F.create_map(*[F.lit(x) for pair in longer.items() for x in pair])
+    long_form = F.array_join(F.transform(pieces, lambda p: F.coalesce(F.when(F.length(p) == 1, F.try_element_at(table, p)), p)), "")
+    plain = F.translate(F.when(low.rlike(f"[{names}]"), long_form).otherwise(low), source, target)
+    syllables, letters = _hangul()
+    split = F.split(plain, "(?<=[가-힣])|(?=[가-힣])")
+    spelt = F.array_join(F.transform(split, lambda p: F.when(p.rlike("^[가-힣]$"), F.rtrim(F.concat(*[F.translate(p, syllables, x) for x in letters]))).otherwise(p)), "")
+    return F.when(plain.rlike("[가-힣]"), spelt).otherwise(plain)
 
 
 def model_tokens(c: Column) -> Column:
@@ -272,6 +310,3 @@ def echo(c: Column) -> Column:
     n = rules.ECHO_CHARS
     return F.when(F.length(c) > n, F.concat(F.substring(c, 1, n), F.lit("..."))).otherwise(c)
 
-
-def model_input(c: Column) -> Column:
-    return F.substring(c, 1, rules.MODEL_INPUT_CHARS)

@@ -52,13 +52,30 @@ def suffix_candidates(host_labels: Column) -> Column:
 
 
 def longest_suffix(hostname: Column, suffixes: Iterable[str]) -> Column:
-    """Longest listed suffix of a host, '' if none (or an IPv4 address)."""
-    known = list(suffixes)
-    labels = F.split(F.lower(hostname), r"\.")
-    found = F.filter(suffix_candidates(labels), lambda c: c.isin(known))
-    return F.when(hostname.rlike(_IPV4), F.lit("")).otherwise(
-        F.coalesce(F.try_element_at(found, F.lit(1)), F.lit(""))
-    )
+    """Public suffix of a host by a rule list, '' if none (or an IPv4 address).
+
+    The longest matching rule counts: ``name`` matches itself, ``*.name`` one
+    label more; an exception ``!name`` wins and leaves out its first label.
+    """
+    known = set(suffixes)
+    plain = sorted(s for s in known if s[:1] not in "!*")
+    above = sorted(s[2:] for s in known if s.startswith("*."))
+    exceptions = sorted(s[1:] for s in known if s.startswith("!"))
+    candidates = suffix_candidates(F.split(F.lower(hostname), r"\."))
+
+    def listed(c: Column) -> Column:
+        hit = c.isin(plain)
+        return hit | (c.contains(".") & parent(c).isin(above)) if above else hit
+
+    found = F.try_element_at(F.filter(candidates, listed), F.lit(1))
+    if exceptions:
+        found = F.coalesce(parent(F.try_element_at(F.filter(candidates, lambda c: c.isin(exceptions)), F.lit(1))), found)
+    return F.when(hostname.rlike(_IPV4), F.lit("")).otherwise(F.coalesce(found, F.lit("")))
+
+
+def parent(name: Column) -> Column:
+    """A host name without its first label."""
+    return F.regexp_replace(name, r"^[^.]*\.", "")
 
 
 def domain_parts(hostname: Column, suffix: Column) -> Column:

@@ -7,6 +7,7 @@ comparison with a threshold key, so the (wide) rows themselves never shuffle.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, Window
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 
 from threatloom import rules
 from threatloom.functions import text as tx
+from threatloom.session import materialize
 
 UNKNOWN = "unknown"
 
@@ -51,13 +53,17 @@ def ingest_order(priority: Column, seq: Column) -> Column:
     """One BIGINT that sorts by source priority, then row order (fast hash-aggregate buffer).
 
     7 bits of priority and 56 bits of row order: enough for
-    ``monotonically_increasing_id`` over eight million partitions.
+    ``monotonically_increasing_id`` over eight million partitions.  Values
+    outside these bounds raise: they would sort anywhere.
     """
-    return F.shiftleft(priority.cast("long"), 56) + seq.cast("long")
+    p, s = priority.cast("long"), seq.cast("long")
+    fits = p.between(0, 127) & s.between(0, (1 << 56) - 1)
+    packed = F.shiftleft(p, 56) + s
+    return F.when(fits | p.isNull() | s.isNull(), packed).otherwise(F.raise_error(F.lit("priority or row order out of range")))
 
 
 def first_wins(df: DataFrame, key: Column, order: str) -> DataFrame:
-    """Keep, for every key, the row with the smallest ``order`` (unique BIGINT).
+    """Keep, for every key, the row with the smallest ``order`` (unique; a BIGINT or a struct).
 
     The winners are found by a partial-aggregated minimum (a key holding a
     third of all rows shrinks to one row per map task) and the rows are then
@@ -105,19 +111,20 @@ def source_counts(records: DataFrame) -> DataFrame:
     )
 
 
-def ingest_summary(feeds: DataFrame, aggregated: DataFrame) -> DataFrame:
-    """One row: total, phishing, legitimate, duplicates_removed."""
-    totals = aggregated.agg(
-        F.count("*").alias("total"),
+def ingest_summary(feeds: DataFrame, order: str = "order") -> DataFrame:
+    """One row: total, phishing, legitimate, duplicates_removed of ``aggregate_feeds(feeds)``.
+
+    One pass: per normalised text the number of rows and the label of the first one.
+    """
+    rows = nonblank(feeds, "text").select(
+        tx.norm_hash(F.col("text")).alias("h"), F.col(order).alias("o"), canonical_label(F.col("label")).alias("label")
+    )
+    texts = rows.groupBy("h").agg(F.count("*").alias("n"), F.min_by("label", "o").alias("label"))
+    return texts.agg(
+        F.coalesce(F.sum(_is(rules.POSITIVE) + _is(rules.NEGATIVE)), F.lit(0)).alias("total"),
         F.coalesce(F.sum(_is(rules.POSITIVE)), F.lit(0)).alias("phishing"),
         F.coalesce(F.sum(_is(rules.NEGATIVE)), F.lit(0)).alias("legitimate"),
-        F.lit(0).cast("long").alias("duplicates_removed"),
-    )
-    dups = duplicates_removed(feeds).select(
-        *[F.lit(0).cast("long").alias(n) for n in ("total", "phishing", "legitimate")], "duplicates_removed"
-    )
-    return totals.unionByName(dups).agg(
-        *[F.sum(n).alias(n) for n in ("total", "phishing", "legitimate", "duplicates_removed")]
+        F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("duplicates_removed"),
     )
 
 
@@ -139,6 +146,7 @@ def content_type_counts(splits: DataFrame) -> DataFrame:
 
 
 # ------------------------------------------------------------------ hash ranks
+BUCKET_ROWS = 50_000
 BUCKET_HEX = 3  # 4,096 buckets: the rank tables below stay tiny at any row count
 
 
@@ -164,29 +172,25 @@ def _bucket_starts(keys: DataFrame) -> DataFrame:
 def _keys(df: DataFrame, stratum: str, key: str, seed: int) -> DataFrame:
     h = hash_order(F.col(key), seed)
     return df.select(
-        F.col(stratum).alias("__s"), h.alias("__h"), F.substring(h, 1, BUCKET_HEX).alias("__b")
+        _stratum(stratum).alias("__s"), h.alias("__h"), F.substring(h, 1, BUCKET_HEX).alias("__b")
     )
 
 
-MAX_BROADCAST_STRATA = 10_000
-
+def _stratum(stratum: str) -> Column:
+    """A never-null name of the stratum: rows without one are a stratum of their own."""
+    return F.to_json(F.struct(F.col(stratum).alias("s")))
 
-def _few_strata(df: DataFrame, stratum: str) -> bool:
-    """Checked before any broadcast: a one-column scan with a map-side distinct."""
-    some = df.select(stratum).distinct().limit(MAX_BROADCAST_STRATA + 1)
-    return some.count() <= MAX_BROADCAST_STRATA
 
-
-def rank_thresholds(df: DataFrame, stratum: str, key: str, cuts: dict[str, Column], seed: int = rules.SEED,
-                    few: bool = False) -> DataFrame:
-    """stratum -> one threshold hash per cut: the first ``cut`` rows in hash order lie below it.
+def rank_thresholds(df: DataFrame, stratum: str, key: str, cuts: dict[str, Column], seed: int = rules.SEED) -> DataFrame:
+    """``__s`` -> one threshold hash per cut: the first ``cut`` rows in hash order lie below it.
 
     ``cuts`` maps a name to an expression over ``n`` (rows in the stratum).
-    ``key`` must be unique within the stratum.  Only the rows of the buckets
-    that contain a cut are ever ranked: 1/4,096 of a stratum per cut.  A cut
-    at or past the end has no threshold and admits every row.
+    ``key`` must be unique within the stratum.  The input is read once, to write
+    (stratum, hash); only the rows of the buckets that contain a cut are ever
+    ranked: 1/4,096 of a stratum per cut.  A cut at or past the end has no
+    threshold and admits every row.
     """
-    keys = _keys(df, stratum, key, seed)
+    keys = materialize(_keys(df, stratum, key, seed), "ranks")
     starts = _bucket_starts(keys)
     named = F.explode(F.array(*[
         F.struct(F.lit(name).alias("name"), expr.cast("long").alias("at")) for name, expr in cuts.items()
@@ -198,19 +202,13 @@ def rank_thresholds(df: DataFrame, stratum: str, key: str, cuts: dict[str, Colum
     )
     buckets = edges.select("__s", "__b", "__start").distinct()
     in_order = Window.partitionBy("__s", "__b").orderBy("__h")
-    # one row per stratum and cut: broadcast when the caller has checked the strata
-    small = F.broadcast if few else (lambda x: x)
-    ranked = keys.join(small(buckets), ["__s", "__b"]).withColumns({
+    ranked = keys.join(buckets, ["__s", "__b"]).withColumns({
         "__rank": F.col("__start") + F.row_number().over(in_order) - 1
     })
-    found = ranked.join(small(edges.select("__s", "__name", "__at")), "__s").filter(F.col("__rank") == F.col("__at"))
+    found = ranked.join(edges.select("__s", "__name", "__at"), "__s").filter(F.col("__rank") == F.col("__at"))
     per_cut = [F.max(F.when(F.col("__name") == name, F.col("__h"))).alias(f"__{name}") for name in cuts]
     # every stratum keeps a row, also when none of its cuts has a threshold
-    return (
-        starts.select("__s").distinct()
-        .join(found.groupBy("__s").agg(*per_cut), "__s", "left")
-        .withColumnRenamed("__s", stratum)
-    )
+    return starts.select("__s").distinct().join(found.groupBy("__s").agg(*per_cut), "__s", "left")
 
 
 def below(hash_value: Column, threshold: Column) -> Column:
@@ -220,26 +218,28 @@ def below(hash_value: Column, threshold: Column) -> Column:
 def ranked_split(df: DataFrame, stratum: str, key: str, cuts: dict[str, Column], last: str, seed: int = rules.SEED) -> DataFrame:
     """Assign each row to the first cut (in order) whose threshold exceeds its hash, else ``last``.
 
-    The rows are scanned once and meet one row per stratum.  That side is
-    broadcast when the number of strata passes a check (class labels do), so
-    the wide rows do not shuffle; otherwise it is an ordinary join.
+    The rows meet one row per stratum.  That table is written first, so its
+    size is known and Catalyst broadcasts it while it is small: the wide rows
+    then do not shuffle.  Rows with a NULL stratum are a stratum of their own.
     """
-    few = _few_strata(df, stratum)
-    limits = rank_thresholds(df, stratum, key, cuts, seed, few)
-    if few:
-        limits = F.broadcast(limits)
+    limits = materialize(rank_thresholds(df, stratum, key, cuts, seed), "thresholds")
     h = hash_order(F.col(key), seed)
     split = None
     for name in cuts:
         hit = below(h, F.col(f"__{name}"))
         split = F.when(hit, name) if split is None else split.when(hit, name)
     return (
-        df.join(limits, stratum)
+        df.withColumns({"__s": _stratum(stratum)}).join(limits, "__s")
         .withColumns({"split": split.otherwise(last)})
-        .drop(*[f"__{name}" for name in cuts])
+        .drop("__s", *[f"__{name}" for name in cuts])
     )
 
 
+def copy_key(key: str) -> Column:
+    """Unique key of a balanced row: the source row's key and the copy's number."""
+    return F.concat_ws("#", F.col(key).cast("string"), F.col("copy").cast("string"))
+
+
 def stratified_split(
     df: DataFrame, key: str, label: str = "label",
     train: float = rules.TRAIN_RATIO, validation: float = rules.VALIDATION_RATIO, seed: int = rules.SEED,
@@ -274,20 +274,19 @@ def sample_exact(df: DataFrame, key: str, size: int, seed: int = rules.SEED) ->
 
 
 def hash_ranks(df: DataFrame, key: str, seed: int = rules.SEED) -> DataFrame:
-    """Append ``rank`` (0-based, gap-free) of every row in hash order.
+    """``key``, ``rank`` (0-based, gap-free) of every row in hash order; only keys and hashes shuffle.
 
-    Two levels: a local row number per hash bucket plus the broadcast start of
-    the bucket (4,096 rows), so no task sees more than one bucket.
+    Two levels: a row number per hash bucket plus the start of the bucket.  The
+    bucket width follows the row count, so no task sorts more than about
+    ``BUCKET_ROWS`` rows.
     """
     h = hash_order(F.col(key), seed)
-    keyed = df.withColumns({"__s": F.lit(1), "__h": h, "__b": F.substring(h, 1, BUCKET_HEX)})
+    keyed = materialize(df.select(F.col(key), F.lit(1).alias("__s"), h.alias("__h")), "ranks")
+    digits = max(BUCKET_HEX, math.ceil(math.log(keyed.count() / BUCKET_ROWS + 1, 16)))
+    keyed = keyed.withColumns({"__b": F.substring("__h", 1, digits)})
     starts = _bucket_starts(keyed.select("__s", "__b")).select("__b", "__start")
     local = F.row_number().over(Window.partitionBy("__b").orderBy("__h"))
-    return (
-        keyed.join(F.broadcast(starts), "__b")
-        .withColumns({"rank": F.col("__start") + local - 1})
-        .drop("__s", "__h", "__b", "__start")
-    )
+    return keyed.join(starts, "__b").select(key, (F.col("__start") + local - 1).alias("rank"))
 
 
 def draw_ranks(spark, extra: int, n: int, seed: int = rules.SEED) -> DataFrame:
@@ -301,19 +300,21 @@ def draw_ranks(spark, extra: int, n: int, seed: int = rules.SEED) -> DataFrame:
 def oversample_exact(df: DataFrame, key: str, size: int, n: int, seed: int = rules.SEED) -> DataFrame:
     """Every original once plus seeded draws with replacement up to ``size`` rows.
 
-    ``copy`` is 0 for the original and 1.. for its draws.
+    ``copy`` is 0 for the original and 1.. for its draws.  ``key`` must be
+    unique: the copy counts join back on it, so the rows shuffle once at most.
     """
     extra = size - n
     if extra <= 0:
         return df.withColumns({"copy": F.lit(0)})
-    drawn = hash_ranks(df, key, seed).join(draw_ranks(df.sparkSession, extra, n, seed), "rank", "left")
+    counts = hash_ranks(df, key, seed).join(draw_ranks(df.sparkSession, extra, n, seed), "rank").select(key, "__copies")
+    drawn = df.join(counts, key, "left")
     copies = F.sequence(F.lit(0), F.coalesce("__copies", F.lit(0)).cast("int"))
-    return drawn.withColumns({"copy": F.explode(copies)}).drop("rank", "__copies")
+    return drawn.withColumns({"copy": F.explode(copies)}).select(*df.columns, "copy")
 
 
 def balance(records: DataFrame, key: str, ratio: float = 1.0, strategy: str = "undersample",
             seed: int = rules.SEED) -> DataFrame:
-    """Balance phishing against legitimate rows to ``ratio``; adds ``copy``.
+    """Balance phishing against legitimate rows to ``ratio``; adds ``copy`` (with it, keys repeat).
 
     Unknown strategies undersample; with an empty class nothing changes.
     Materialise ``records`` first when it is expensive: several passes read it.

@@ -124,7 +124,7 @@ def _url_columns(u: Column, parts: Column, dom: Column) -> dict[str, Column]:
 
 
 def with_url_features(
-    df: DataFrame, url: str, prefix: str = "", suffixes: Iterable[str] = rules.DEFAULT_SUFFIXES
+    df: DataFrame, url: str, prefix: str = "", *, suffixes: Iterable[str]
 ) -> DataFrame:
     """Append the 24 URL features of column ``url``; empty or unparsable URLs give zeros."""
     u = tx.strip(tx.text_or_empty(F.col(url)))
@@ -142,13 +142,13 @@ def with_url_features(
 
 
 def with_combined_features(
-    df: DataFrame, text: str, url: str | None = None, suffixes: Iterable[str] = rules.DEFAULT_SUFFIXES
+    df: DataFrame, text: str, url: str | None = None, *, suffixes: Iterable[str]
 ) -> DataFrame:
     """Append the 51 combined features: text, then the given URL or the first one in the text."""
     first = F.try_element_at(tx.extract_urls(F.col(text)), F.lit(1))
     chosen = first if url is None else F.coalesce(F.when(F.col(url) != "", F.col(url)), first)
     staged = with_text_features(df.withColumns({"__url": chosen}), text, "text_")
-    return with_url_features(staged, "__url", "url_", suffixes).drop("__url")
+    return with_url_features(staged, "__url", "url_", suffixes=suffixes).drop("__url")
 
 
 def explain_features(t: Column, folded: Column) -> Column:

@@ -36,18 +36,27 @@ def load_suffixes(table: DataFrame, column: str = "suffix") -> tuple[str, ...]:
 def split_hosts(df: DataFrame, host: str, suffixes: DataFrame) -> DataFrame:
     """Append subdomain, domain, suffix using a suffix *table* of any size.
 
-    Works on distinct hosts: explode the trailing label sequences, equi-join
-    the table, keep the longest match (partial aggregation), then join back.
+    Rules as in ``url.longest_suffix``: plain, ``*.name`` and ``!name``.  Works
+    on distinct hosts: explode the trailing label sequences, equi-join the
+    rules, keep the longest match (partial aggregation), then join back.
     """
     hosts = df.select(F.lower(host).alias("__h")).distinct()
     labels = F.split("__h", r"\.")
-    listed = suffixes.select(F.lower("suffix").alias("__c")).distinct()
+    rule = F.lower("suffix")
+    kind = F.when(rule.startswith("!"), 2).when(rule.startswith("*."), 1).otherwise(0)
+    name = F.when(kind == 2, F.expr("substring(lower(suffix), 2)")).when(kind == 1, F.expr("substring(lower(suffix), 3)")).otherwise(rule)
+    listed = suffixes.select(name.alias("__c"), kind.alias("__kind")).distinct()
+    # the candidate's own name for plain rules and exceptions, its parent's for wildcards
+    tried = hosts.select("__h", F.explode(ux.suffix_candidates(labels)).alias("__t")).select("__h", "__t", F.explode(F.array(
+        F.struct(F.col("__t").alias("name"), F.lit(False).alias("wild")),
+        F.struct(F.when(F.col("__t").contains("."), ux.parent(F.col("__t"))).alias("name"), F.lit(True).alias("wild")),
+    )).alias("__p"))
+    n = F.length("__t")
     hits = (
-        hosts.select("__h", F.explode(ux.suffix_candidates(labels)).alias("__c"))
-        .join(listed, "__c")
+        tried.join(listed, (F.col("__p.name") == F.col("__c")) & (F.col("__p.wild") == (F.col("__kind") == 1)))
         .groupBy("__h")
-        .agg(F.max(F.length("__c")).alias("__len"))
-        .select("__h", F.expr("right(__h, __len)").alias("__suffix"))
+        .agg(F.max(F.when(F.col("__kind") < 2, n)).alias("__len"), F.max(F.when(F.col("__kind") == 2, F.length(ux.parent(F.col("__t"))))).alias("__except"))
+        .select("__h", F.expr("right(__h, coalesce(__except, __len))").alias("__suffix"))
     )
     joined = df.withColumns({"__h": F.lower(host)}).join(hits, "__h", "left")
     ipv4 = F.col(host).rlike(ux._IPV4)

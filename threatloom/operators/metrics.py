@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from threatloom.session import materialize
+
 
 def _ratio(a: Column, b: Column) -> Column:
     """a / b, 0 where the denominator is 0."""
@@ -32,8 +34,13 @@ def confusion(df: DataFrame, label: str = "label", prediction: str = "prediction
 
 def binary_metrics(df: DataFrame, label: str = "label", prediction: str = "prediction") -> DataFrame:
     """One row: accuracy, precision, recall, f1 of class 1."""
+    return metrics_of(confusion(df, label, prediction))
+
+
+def metrics_of(matrix: DataFrame) -> DataFrame:
+    """The four metrics of a confusion row."""
     tn, fp, fn, tp = (F.col(c) for c in ("tn", "fp", "fn", "tp"))
-    return confusion(df, label, prediction).select(
+    return matrix.select(
         _ratio(tp + tn, tp + tn + fp + fn).alias("accuracy"),
         _ratio(tp, tp + fp).alias("precision"),
         _ratio(tp, tp + fn).alias("recall"),
@@ -78,9 +85,9 @@ def roc_auc(df: DataFrame, label: str = "label", score: str = "score") -> DataFr
     ranges below (256 rows).  The cut points only place the work; the result
     is exact wherever they fall.
     """
-    groups = df.groupBy(F.col(score).alias("__x")).agg(
+    groups = materialize(df.groupBy(F.col(score).alias("__x")).agg(
         _count(F.col(label) == 1).alias("__p"), _count(F.col(label) == 0).alias("__q")
-    )
+    ), "scores")
     quantiles = [F.lit(i / AUC_RANGES) for i in range(1, AUC_RANGES)]
     cuts = groups.agg(F.percentile_approx("__x", F.array(*quantiles)).alias("c")).first()["c"] or []
     inner = sorted(set(cuts))

@@ -25,6 +25,7 @@ from threatloom.functions import text as tx
 from threatloom.operators import features as fe
 from threatloom.operators import metrics as mt
 from threatloom.operators import terms as tm
+from threatloom.session import materialize
 
 
 @dataclass(frozen=True)
@@ -96,7 +97,7 @@ def prepare_spam(df: DataFrame, text: str, settings: tuple[int, int, float, int]
     return tm.with_ngrams(cleaned, "cleaned", settings[3])
 
 
-def prepare_phishing(df: DataFrame, text: str, suffixes=rules.DEFAULT_SUFFIXES) -> DataFrame:
+def prepare_phishing(df: DataFrame, text: str, suffixes) -> DataFrame:
     """Append the 51 combined features and ``terms`` of the accent-free raw text."""
     plain = fe.with_combined_features(df, text, suffixes=suffixes).withColumns(
         {"__plain": tx.strip_accents(F.col(text))}
@@ -140,11 +141,12 @@ def predict(model: PipelineModel, prepared: DataFrame) -> DataFrame:
 
 def evaluate(predicted: DataFrame, n_name: str = "test_samples") -> DataFrame:
     """One row: sample count, accuracy, precision, recall, f1, roc_auc, tn, fp, fn, tp."""
-    slim = predicted.select("label", "prediction", F.col("spam_prob").alias("score"))
-    matrix = mt.confusion(slim).withColumns({"k": F.lit(1)})
-    scores = mt.binary_metrics(slim).withColumns({"k": F.lit(1)})
+    # scored once: three narrow columns
+    slim = materialize(predicted.select("label", "prediction", F.col("spam_prob").alias("score")), "scored")
+    matrix = materialize(mt.confusion(slim), "confusion")
+    scores = mt.metrics_of(matrix).withColumns({"k": F.lit(1)})
     auc = mt.roc_auc(slim).withColumns({"k": F.lit(1)})
-    return matrix.join(scores, "k").join(auc, "k").select(
+    return matrix.withColumns({"k": F.lit(1)}).join(scores, "k").join(auc, "k").select(
         (F.col("tn") + F.col("fp") + F.col("fn") + F.col("tp")).alias(n_name),
         "accuracy", "precision", "recall", "f1", "roc_auc", "tn", "fp", "fn", "tp",
     )

@@ -147,7 +147,8 @@ def with_phishing_result(
     scan_type: str | Column = "auto",
     ml: Column | None = None,
     transformer: Column | None = None,
-    suffixes: Iterable[str] = rules.DEFAULT_SUFFIXES,
+    *,
+    suffixes: Iterable[str],
 ) -> DataFrame:
     """Append the full phishing verdict of column ``text``.
 
@@ -238,7 +239,7 @@ def level_map(scored: DataFrame) -> DataFrame:
     )
 
 
-def legacy_flags(low: Column, urls: Column, suffixes: Iterable[str] = rules.DEFAULT_SUFFIXES) -> Column:
+def legacy_flags(low: Column, urls: Column, suffixes: Iterable[str]) -> Column:
     """Struct of the four boolean checks: any suspicious URL, all checks on raw text."""
     def bad(u: Column) -> Column:
         return is_suspicious_domain(u, suffixes)
@@ -252,6 +253,6 @@ def legacy_flags(low: Column, urls: Column, suffixes: Iterable[str] = rules.DEFA
     )
 
 
-def is_suspicious_domain(u: Column, suffixes: Iterable[str] = rules.DEFAULT_SUFFIXES) -> Column:
+def is_suspicious_domain(u: Column, suffixes: Iterable[str]) -> Column:
     """Case-sensitive test of the suffix as written."""
     return tx.one_of(ux.host_parts(u, suffixes)["suffix"], rules.DETECTOR_SUSPICIOUS_TLDS)

@@ -3,13 +3,12 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from threatloom.functions import text as tx
+from threatloom.session import materialize
 
 # Vectoriser settings, (max terms, min df, max df share, longest n-gram)
 SMS_SETTINGS = (3000, 2, 0.8, 2)
@@ -63,16 +62,18 @@ def vocabulary(statistics: DataFrame, n_docs: int, max_terms: int, min_df: int,
     return top.select("term", "tf", "df", (F.log(F.lit(n_docs + 1) / (df + 1)) + 1).alias("idf"))
 
 
-def tfidf(counts: DataFrame, vocab: DataFrame, key: str) -> DataFrame:
-    """key, term, weight: tf * idf, normalised to unit length per key.
+def tfidf(vectors: DataFrame, terms: list[str], vector: str, *carried: str) -> DataFrame:
+    """``carried`` columns, term, weight: the entries of sparse unit-length TF-IDF vectors over ``terms``.
 
-    The vocabulary is bounded by ``max_terms``, so it is broadcast.
+    Row by row: nothing shuffles by key, and a label can be carried along.
     """
-    raw = counts.join(F.broadcast(vocab.select("term", "idf")), "term").withColumns(
-        {"__w": F.col("tf") * F.col("idf")}
+    v = F.unwrap_udt(vector)
+    names = F.array(*[F.lit(t) for t in terms])
+    entries = F.transform(
+        F.arrays_zip(v["indices"].alias("i"), v["values"].alias("x")),
+        lambda e: F.struct(F.element_at(names, e["i"] + 1).alias("term"), e["x"].alias("weight")),
     )
-    norm = F.sqrt(F.sum(F.col("__w") * F.col("__w")).over(Window.partitionBy(key)))
-    return raw.select(key, "term", (F.col("__w") / norm).alias("weight"))
+    return vectors.select(*carried, F.inline(entries))
 
 
 def log_priors(labels: DataFrame) -> tuple[float, float]:
@@ -84,14 +85,14 @@ def log_priors(labels: DataFrame) -> tuple[float, float]:
     return math.log((n - ones) / n), math.log(ones / n)
 
 
-def naive_bayes(weights: DataFrame, labels: DataFrame, vocab: DataFrame, key: str, alpha: float = 1.0) -> DataFrame:
+def naive_bayes(weights: DataFrame, vocab: DataFrame, alpha: float = 1.0) -> DataFrame:
     """Multinomial naive Bayes as grouped sums and logs: term, lp0, lp1.
 
-    ``weights`` joins ``labels`` on the row key; the per-term sums combine on
-    the map side, and from there on data is bounded by the vocabulary.
+    ``weights`` carries the label; the per-term sums combine on the map side,
+    and from there on data is bounded by the vocabulary.
     """
     by_class = [F.sum(F.when(F.col("label") == c, F.col("weight"))).alias(f"w{c}") for c in (0, 1)]
-    sums = weights.join(labels.select(key, "label"), key).groupBy("term").agg(*by_class)
+    sums = weights.groupBy("term").agg(*by_class)
     smoothed = [(F.coalesce(f"w{c}", F.lit(0.0)) + F.lit(alpha)).alias(f"w{c}") for c in (0, 1)]
     full = vocab.select("term").join(sums, "term", "left").select("term", *smoothed)
     everything = Window.partitionBy()  # at most max_terms rows
@@ -103,7 +104,7 @@ def naive_bayes(weights: DataFrame, labels: DataFrame, vocab: DataFrame, key: st
 def naive_bayes_scores(weights: DataFrame, keys: DataFrame, priors: tuple[float, float], likelihoods: DataFrame, key: str) -> DataFrame:
     """key, spam_prob, prediction; rows without known terms get the prior."""
     gain = F.sum(F.col("weight") * (F.col("lp1") - F.col("lp0"))).alias("gain")
-    per_row = weights.join(F.broadcast(likelihoods), "term").groupBy(key).agg(gain)
+    per_row = weights.join(likelihoods, "term").groupBy(key).agg(gain)
     margin = F.coalesce("gain", F.lit(0.0)) + F.lit(priors[1] - priors[0])
     return keys.select(key).join(per_row, key, "left").select(
         key, (1 / (1 + F.exp(-margin))).alias("spam_prob"), (margin > 0).cast("int").alias("prediction")
@@ -111,124 +112,100 @@ def naive_bayes_scores(weights: DataFrame, keys: DataFrame, priors: tuple[float,
 
 
 # ------------------------------------------------------------------ stemming
-def _measure(word: str) -> int:
-    """Number of vowel-consonant sequences."""
-    shape = "".join("v" if _vowel(word, i) else "c" for i in range(len(word)))
-    return sum(1 for a, b in zip(shape, shape[1:], strict=False) if a == "v" and b == "c")
-
-
-def _vowel(word: str, i: int) -> bool:
-    if word[i] in "aeiou":
-        return True
-    return word[i] == "y" and i > 0 and not _vowel(word, i - 1)
-
-
-def _has_vowel(word: str) -> bool:
-    return any(_vowel(word, i) for i in range(len(word)))
-
-
-def _double(word: str) -> bool:
-    return len(word) > 1 and word[-1] == word[-2] and not _vowel(word, len(word) - 1)
-
-
-def _cvc(word: str) -> bool:
-    n = len(word)
-    return (
-        n > 2 and not _vowel(word, n - 1) and _vowel(word, n - 2) and not _vowel(word, n - 3)
-        and word[-1] not in "wxy"
-    )
-
-
-# Suffix tables of the published algorithm (Porter, 1980)
-_STEP2 = {
-    "ational": "ate", "tional": "tion", "enci": "ence", "anci": "ance", "izer": "ize",
-    "abli": "able", "alli": "al", "entli": "ent", "eli": "e", "ousli": "ous",
-    "ization": "ize", "ation": "ate", "ator": "ate", "alism": "al", "iveness": "ive",
-    "fulness": "ful", "ousness": "ous", "aliti": "al", "iviti": "ive", "biliti": "ble",
-}
-_STEP3 = {
-    "icate": "ic", "ative": "", "alize": "al", "iciti": "ic", "ical": "ic", "ful": "", "ness": "",
+# Porter's algorithm with the extensions of the widely used implementation: irregular words, -ies and -ied of short
+# words, -y after a vowel, -alli, -fulli and -logi.  Written once as SQL over a column ``w``, for distinct words; it
+# runs here and, with the other dialect's names, in the checks.  A consonant y is kept as Y while the steps run.
+# Irregular words and suffix tables of the published algorithm
+IRREGULAR = {
+    "sky": "sky", "skies": "sky", "dying": "die", "lying": "lie", "tying": "tie", "news": "news", "innings": "inning",
+    "inning": "inning", "outings": "outing", "outing": "outing", "cannings": "canning", "canning": "canning",
+    "howe": "howe", "proceed": "proceed", "exceed": "exceed", "succeed": "succeed",
 }
-_STEP4 = (
-    "al", "ance", "ence", "er", "ic", "able", "ible", "ant", "ement", "ment", "ent", "ion",
-    "ou", "ism", "ate", "iti", "ous", "ive", "ize",
+STEP2 = (
+    ("ational", "ate"), ("tional", "tion"), ("enci", "ence"), ("anci", "ance"), ("izer", "ize"), ("bli", "ble"),
+    ("alli", "al"), ("entli", "ent"), ("eli", "e"), ("ousli", "ous"), ("ization", "ize"), ("ation", "ate"),
+    ("ator", "ate"), ("alism", "al"), ("iveness", "ive"), ("fulness", "ful"), ("ousness", "ous"), ("aliti", "al"),
+    ("iviti", "ive"), ("biliti", "ble"), ("fulli", "ful"),
 )
+STEP3 = (
+    ("icate", "ic"), ("ative", ""), ("alize", "al"), ("iciti", "ic"), ("ical", "ic"), ("ful", ""), ("ness", ""),
+)
+STEP4 = (
+    "al", "ance", "ence", "er", "ic", "able", "ible", "ant", "ement", "ment", "ent", "ion", "ou", "ism", "ate", "iti",
+    "ous", "ive", "ize",
+)
+_V, _C = "[aeiouy]", "[^aeiouy]"
+_M0 = f"{_V}{_C}"  # measure over 0
+_M1 = f"{_V}{_C}+{_V}+{_C}"  # measure over 1
 
 
-def _longest(word: str, endings) -> str | None:
-    return max((e for e in endings if word.endswith(e)), key=len, default=None)
-
-
-def porter(word: str) -> str:
-    """Stem one lower-case word (Porter 1980)."""
-    if len(word) <= 2:
-        return word
-    if word.endswith("sses") or word.endswith("ies"):
-        word = word[:-2]
-    elif word.endswith("s") and not word.endswith("ss"):
-        word = word[:-1]
-    if word.endswith("eed"):
-        if _measure(word[:-3]) > 0:
-            word = word[:-1]
-    else:
-        cut = next((e for e in ("ed", "ing") if word.endswith(e) and _has_vowel(word[: -len(e)])), None)
-        if cut:
-            word = word[: -len(cut)]
-            if word.endswith(("at", "bl", "iz")):
-                word += "e"
-            elif _double(word) and word[-1] not in "lsz":
-                word = word[:-1]
-            elif _measure(word) == 1 and _cvc(word):
-                word += "e"
-    if word.endswith("y") and _has_vowel(word[:-1]):
-        word = word[:-1] + "i"
-    for table in (_STEP2, _STEP3):
-        end = _longest(word, table)
-        if end and _measure(word[: -len(end)]) > 0:
-            word = word[: -len(end)] + table[end]
-    end = _longest(word, _STEP4)
-    if end:
-        stem = word[: -len(end)]
-        if _measure(stem) > 1 and (end != "ion" or stem.endswith(("s", "t"))):
-            word = stem
-    if word.endswith("e"):
-        stem = word[:-1]
-        if _measure(stem) > 1 or (_measure(stem) == 1 and not _cvc(stem)):
-            word = stem
-    if word.endswith("ll") and _measure(word[:-1]) > 1:
-        word = word[:-1]
-    return word
-
+def stem_steps(has: str, group: str, every: str = "") -> list[str]:
+    """The steps as SQL expressions of ``w``, each to run on the result of the one before.
 
-def stem_vocabulary(words: DataFrame, column: str = "word") -> DataFrame:
-    """word, stem for the distinct words: cost follows the vocabulary, not the tokens."""
+    ``has`` is the template of a regex test, ``group`` the name of the first group in a replacement and ``every`` the
+    argument that makes a replacement global, as the dialects have them.
+    """
+    def test(pattern: str) -> str:
+        return has.format("w", pattern)
+
+    def cut(pattern: str, new: str) -> str:
+        return f"regexp_replace(w, '{pattern}', '{new}')"
+
+    def table(rows, measure: str) -> str:
+        return " ".join(f"WHEN {test(old + '$')} THEN {cut(f'^(.*{measure}.*){old}$', group + new)}" for old, new in rows)
+
+    irregular = " ".join(f"WHEN w = '{word}' THEN '{stem}='" for word, stem in IRREGULAR.items())
+    double = f"substring(lower(w), length(w) - 1, 1) = substring(lower(w), length(w) - 2, 1) AND {test(_C + '[|]$')}"
+    cvc = f"{_C}{_V}[^aeiouywxY]"
+    ion = f"WHEN {test('ion$')} THEN CASE WHEN {test('[st]ion$')} THEN {cut(f'^(.*{_M1}.*)ion$', group)} ELSE w END"
+    before, after = STEP4[:STEP4.index("ion")], STEP4[STEP4.index("ion") + 1:]
+    steps = [
+        # done words end in =
+        f"CASE {irregular} WHEN length(w) <= 2 THEN concat(w, '=') ELSE {cut('^y', 'Y')} END",
+        f"regexp_replace(w, '([aeiou])y', '{group}Y'{every})",
+        f"regexp_replace(w, 'yy', 'yY'{every})",
+        f"CASE WHEN {test('sses$')} THEN {cut('es$', '')} WHEN {test('ies$')} THEN CASE WHEN length(w) = 4 THEN {cut('s$', '')} ELSE {cut('es$', '')} END"
+        f" WHEN {test('ss$')} THEN w ELSE {cut('s$', '')} END",
+        f"CASE WHEN {test('ied$')} THEN CASE WHEN length(w) = 4 THEN {cut('d$', '')} ELSE {cut('ed$', '')} END"
+        f" WHEN {test('eed$')} THEN {cut(f'^(.*{_M0}.*)eed$', group + 'ee')}"
+        f" WHEN {test(_V + '.*ed$')} THEN {cut('ed$', '|')} WHEN {test(_V + '.*ing$')} THEN {cut('ing$', '|')} ELSE w END",
+        # a bar marks a removed -ed or -ing
+        f"CASE WHEN NOT {test('[|]$')} THEN w WHEN {test('(at|bl|iz)[|]$')} THEN {cut('[|]$', 'e')}"
+        f" WHEN {double} THEN CASE WHEN {test('[lsz][|]$')} THEN {cut('[|]$', '')} ELSE {cut('.[|]$', '')} END"
+        f" WHEN {test(_M0 + '.*[|]$')} AND NOT {test(_M1 + '.*[|]$')} AND ({test(cvc + '[|]$')} OR {test(f'^{_V}{_C}[|]$')}) THEN {cut('[|]$', 'e')}"
+        f" ELSE {cut('[|]$', '')} END",
+        cut(f"^(.+{_C})y$", group + "i"),
+        cut(f"^(.*{_M0}.*)alli$", group + "al"),
+        f"CASE {table(STEP2, _M0)} WHEN {test('logi$')} THEN {cut(f'^(.*{_M0}.*)ogi$', group + 'og')} ELSE w END",
+        f"CASE {table(STEP3, _M0)} ELSE w END",
+        f"CASE {table([(x, '') for x in before], _M1)} {ion} {table([(x, '') for x in after], _M1)} ELSE w END",
+        f"CASE WHEN {test(_M1 + '.*e$')} THEN {cut('e$', '')} WHEN {test(_M0 + '.*e$')} AND NOT {test(cvc + 'e$')} AND NOT {test(f'^{_V}{_C}e$')}"
+        f" THEN {cut('e$', '')} ELSE w END",
+        f"CASE WHEN {test('ll$')} THEN {cut(f'^(.*{_M1}.*)l$', group)} ELSE w END",
+    ]
+    kept = [steps[0], *[f"CASE WHEN {test('=$')} THEN w ELSE {step} END" for step in steps[1:]]]
+    return [*kept, "lower(regexp_replace(w, '=$', ''))"]
 
-    @F.pandas_udf("string")
-    def stems(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for batch in batches:
-            yield batch.map(porter)
 
-    return words.select(F.col(column).alias("word")).distinct().withColumns({"stem": stems("word")})
+def stem_vocabulary(words: DataFrame, column: str = "word") -> DataFrame:
+    """word, stem of the distinct lower-case words: cost follows the vocabulary, not the tokens; built-in functions only."""
+    stems = words.select(F.col(column).alias("word")).distinct().withColumns({"w": F.col("word")})
+    for step in stem_steps("({0} RLIKE '{1}')", "$1"):
+        stems = stems.withColumns({"w": F.expr(step)})
+    return stems.withColumnRenamed("w", "stem")
 
 
 def stem_texts(df: DataFrame, cleaned: str, out: str = "processed") -> DataFrame:
     """Replace every word of a cleaned text by its stem.
 
-    One Arrow pass over the text column (each batch stems its distinct words
-    once); joining exploded tokens to the stem table would shuffle every token
-    twice and regroup them.
+    The distinct words' stems are written as a table; the tokens of a text meet it in an equi-join on the word (hot
+    words are split by adaptive execution: the stem side is unique) and are put in order again within their row.
+    Rows need no key: they are numbered in a written table.
     """
-
-    @F.pandas_udf("string")
-    def apply(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        seen: dict[str, str] = {}
-        for batch in batches:
-            if len(seen) > 200_000:  # bound the memo, not the data
-                seen.clear()
-            yield batch.map(
-                lambda t: None if t is None else " ".join(
-                    seen[w] if w in seen else seen.setdefault(w, porter(w)) for w in t.split()
-                )
-            )
-
-    return df.withColumns({out: apply(F.col(cleaned))})
+    rows = materialize(df.withColumns({"__row": F.monotonically_increasing_id()}), "stem-rows")
+    tokens = rows.select("__row", F.posexplode(F.split(cleaned, " ")).alias("__at", "__word"))
+    stems = materialize(stem_vocabulary(tokens, "__word"), "stems")
+    placed = tokens.join(stems, F.col("__word") == F.col("word")).groupBy("__row").agg(
+        F.array_sort(F.collect_list(F.struct("__at", "stem"))).alias("__s"))
+    texts = placed.select("__row", F.array_join("__s.stem", " ").alias("__text"))
+    return rows.join(texts, "__row", "left").withColumns({out: F.coalesce("__text", F.col(cleaned))}).drop("__row", "__text")

@@ -33,13 +33,13 @@ def _det(select: str, view: str = "inbox") -> str:
 
 
 def _scored(spark: SparkSession, folder: str) -> DataFrame:
-    return ph.with_phishing_result(fx.inbox(spark, folder), "text")
+    return ph.with_phishing_result(fx.inbox(spark, folder), "text", suffixes=fx.DETECTOR_SUFFIXES)
 
 
 def _analysed(spark: SparkSession, folder: str) -> DataFrame:
     m = fx.inbox(spark, folder).select("msg_id", tx.strip(F.col("text")).alias("t"))
     return m.withColumns({"low": tx.fold(F.col("t")), "urls": tx.extract_urls(F.col("t"))}).withColumns(
-        {"ua": ux.analyse(F.col("urls"), rules.DEFAULT_SUFFIXES), "counts": ph.rule_counts(F.col("low"))}
+        {"ua": ux.analyse(F.col("urls"), fx.DETECTOR_SUFFIXES), "counts": ph.rule_counts(F.col("low"))}
     )
 
 
@@ -112,7 +112,7 @@ def _model_columns() -> tuple[Column, Column]:
 def det_ensemble_score(spark: SparkSession, folder: str) -> DataFrame:
     """Ensemble with model and transformer probabilities; a missing one counts as neutral."""
     ml, transformer = _model_columns()
-    out = ph.with_phishing_result(fx.inbox(spark, folder), "text", ml=ml, transformer=transformer)
+    out = ph.with_phishing_result(fx.inbox(spark, folder), "text", ml=ml, transformer=transformer, suffixes=fx.DETECTOR_SUFFIXES)
     return out.select("msg_id", "is_phishing", "confidence", "threat_level")
 
 
@@ -131,13 +131,13 @@ def det_threat_level(spark: SparkSession, folder: str) -> DataFrame:
 _RECOMMEND = "CASE WHEN skip THEN " + sq.lit(rules.EMPTY_RECOMMENDATION) + "".join(
     f" WHEN level = '{k}' THEN {sq.lit(v)}" for k, v in rules.RECOMMENDATIONS.items()
 ) + " END"
-_FULL = f"""SELECT msg_id, NOT skip AND score >= 0.5 AS is_phishing, CASE WHEN skip THEN 0 ELSE round(score, 4) END AS confidence,
+FULL_SQL = f"""SELECT msg_id, NOT skip AND score >= 0.5 AS is_phishing, CASE WHEN skip THEN 0 ELSE round(score, 4) END AS confidence,
   ptype AS phishing_type, level AS threat_level, CASE WHEN skip THEN '' ELSE array_to_string(ind, '; ') END AS indicators,
   CASE WHEN skip THEN 0 ELSE len(urls) END AS n_urls, CASE WHEN hit AND NOT skip THEN brand END AS brand, {_RECOMMEND} AS recommendation,
   CASE WHEN NOT skip THEN round(rule_score, 9) END AS rule_score, CASE WHEN NOT skip THEN scan END AS scan_type FROM d"""
 
 
-def _flat(scored: DataFrame, key: str) -> DataFrame:
+def flat_verdict(scored: DataFrame, key: str) -> DataFrame:
     return scored.select(
         key, "is_phishing", "confidence", "phishing_type", "threat_level",
         F.array_join("indicators", "; ").alias("indicators"), F.size("urls_analyzed").cast("long").alias("n_urls"),
@@ -146,18 +146,18 @@ def _flat(scored: DataFrame, key: str) -> DataFrame:
     )
 
 
-@query(_det(_FULL))
+@query(_det(FULL_SQL))
 def det_phishing_full(spark: SparkSession, folder: str) -> DataFrame:
     """Flagship: the full phishing verdict of every message."""
-    return _flat(_scored(spark, folder), "msg_id")
+    return flat_verdict(_scored(spark, folder), "msg_id")
 
 
 @query(with_views("inbox AS (SELECT url_id AS msg_id, url AS text FROM urls),\n" + sq.prepared("inbox") + ",\n" + sq.detector(ml=_ML_SQL)
-                  .replace("'sms' ELSE 'email' END AS scan", "'url' ELSE 'url' END AS scan") + " " + _FULL, "urls"))
+                  .replace("'sms' ELSE 'email' END AS scan", "'url' ELSE 'url' END AS scan") + " " + FULL_SQL, "urls"))
 def det_scan_url(spark: SparkSession, folder: str) -> DataFrame:
     """URL-only scan."""
     u = fx.urls(spark, folder).select(F.col("url_id").alias("msg_id"), F.col("url").alias("text"))
-    return _flat(ph.with_phishing_result(u, "text", scan_type="url", ml=_model_columns()[0]), "msg_id")
+    return flat_verdict(ph.with_phishing_result(u, "text", scan_type="url", ml=_model_columns()[0], suffixes=fx.DETECTOR_SUFFIXES), "msg_id")
 
 
 @query(_det("SELECT count(*) AS total, count(*) FILTER (NOT skip AND score >= 0.5) AS phishing_detected, count(*) FILTER (skip OR score < 0.5) AS safe FROM d"))

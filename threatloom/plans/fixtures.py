@@ -38,6 +38,19 @@ PAYLOADS = (
 EXTENSIONS = (".exe", ".txt", ".EXE", ".scr", ".pdf")
 RAW_LABELS = ("spam", "ham", "phishing", "legitimate", "Smishing ", "safe", "promo")
 SUFFIXES = ("com", "net", "org", "co.uk", "tk", "xyz", "top", "ru", "at", "ly", "gd")
+# Suffix rules of the detector queries; the library takes them as an input and has no default
+DETECTOR_SUFFIXES = (
+    "com", "net", "org", "edu", "gov", "mil", "int", "io", "co", "ai", "app", "dev",
+    "biz", "me", "tv", "us", "uk", "de", "fr", "es", "it", "nl", "eu", "ch", "at",
+    "be", "se", "no", "dk", "fi", "pl", "ru", "ua", "cn", "jp", "in", "br", "au", "ca",
+    "ly", "gd", "gl", "gy", "mp", "im", "gs", "to",
+    "tk", "ml", "ga", "cf", "gq", "xyz", "top", "work", "click", "link", "info", "online",
+    "site", "website", "space", "pw", "cc", "su", "buzz", "fit", "loan", "download", "stream",
+    "co.uk", "org.uk", "ac.uk", "gov.uk", "com.au", "net.au", "org.au", "co.jp", "ne.jp",
+    "co.in", "com.br", "com.cn", "co.nz", "co.za",
+)
+# With both special kinds of rules: any label above example.com or example.org but www is a suffix of its own
+RULE_SUFFIXES = (*SUFFIXES, "*.example.com", "!www.example.com", "*.uk", "!shop.co.uk")
 
 
 def pick(values, index: Column) -> Column:
@@ -131,7 +144,10 @@ def labelled(spark: SparkSession, folder: str) -> DataFrame:
 
 def scores(spark: SparkSession, folder: str) -> DataFrame:
     """msg_id, label, score with deliberate ties, prediction at 0.5."""
-    m = messages(spark, folder).select("msg_id", "label")
+    return with_scores(messages(spark, folder).select("msg_id", "label"))
+
+
+def with_scores(m: DataFrame) -> DataFrame:
     score = (hash_int(F.col("msg_id").cast("string")) % 1000 + F.col("label") * 300) / 1300.0
     return m.withColumns({"score": score}).withColumns({"prediction": (F.col("score") >= 0.5).cast("int")})
 

@@ -59,7 +59,7 @@ def _csv_feed(spark, folder, fmt_columns) -> str:
   FROM feed WHERE label <> 'promo' AND trim(text) <> ''""", "feed"))
 def src_csv_binary_labels(spark: SparkSession, folder: str) -> DataFrame:
     path = _csv_feed(spark, folder, ["doc_id", "text", "label"])
-    return rd.read_training(spark, path).withColumns({"doc_id": F.col("doc_id").cast("long")})
+    return rd.read_training(spark, path, multi_line=True).withColumns({"doc_id": F.col("doc_id").cast("long")})
 
 
 @query("SELECT url AS text, 'spam' AS label FROM pages")
@@ -70,27 +70,46 @@ def src_csv_column_fallback(spark: SparkSession, folder: str) -> DataFrame:
     return rd.resolve_columns(rd.read_csv(spark, path), "message", "label")
 
 
-@query(with_views("""SELECT source, content_type, count(*) AS n, count(DISTINCT text) AS texts
-  FROM feed GROUP BY ALL""", "feed"))
+def _feed_files(spark, feed: DataFrame) -> list[tuple[str, str, str, int]]:
+    """A feed written once as CSV, one folder per source, and its manifest."""
+    base = scratch_path(spark, "feeds")
+    feed.write.partitionBy("source").option("header", True).option("escape", '"').csv(base)
+    return [(f"{base}/source={s}", s, kind, k) for s, kind, k in rules.FEED_SOURCES]
+
+
+@query(with_views("SELECT source, content_type, text, trim(label) AS label FROM feed", "feed"))
 def src_multi_source_union(spark: SparkSession, folder: str) -> DataFrame:
     """Four CSV feeds with their content types, unioned in priority order."""
-    base, manifest = scratch_path(spark, "feeds"), []
-    feed = fx.feed(spark, folder)
-    for source, kind, priority in rules.FEED_SOURCES:
-        path = f"{base}/{source}"
-        feed.filter(F.col("source") == source).select("text", "label").write.option("header", True).option(
-            "escape", '"').csv(path)
-        manifest.append((path, source, kind, priority))
-    return rd.read_feeds(spark, manifest).groupBy("source", "content_type").agg(
-        F.count("*").alias("n"), F.countDistinct("text").alias("texts")
-    )
+    manifest = _feed_files(spark, fx.feed(spark, folder).select("text", "label", "source"))
+    return rd.read_feeds(spark, manifest, multi_line=True).select("source", "content_type", "text", "label")
+
+
+@query(r"""WITH rows AS (SELECT doc_id * 3 + k AS n, doc_id, k, regexp_replace(text, '[\r\n\t]', ' ', 'g') AS text FROM documents, range(0, 3) t(k)),
+placed AS (SELECT n, text, n % 4 AS source, CASE WHEN doc_id % 7 = 0 THEN 'spam' ELSE 'ham' END AS label,
+  n % 4 AS priority, CASE WHEN doc_id % 5 = 0 THEN 0 ELSE 1 END AS file FROM rows),
+stripped AS (SELECT *, regexp_replace(text, '^\s+|\s+$', '', 'g') AS clean FROM placed),
+firsts AS (SELECT *, row_number() OVER (PARTITION BY lower(clean) ORDER BY priority, file, n) AS r FROM stripped WHERE clean <> '')
+SELECT clean AS text, CASE label WHEN 'spam' THEN 'phishing' ELSE 'legitimate' END AS label,
+  ['phishtank', 'openphish', 'tranco', 'uci_sms'][source + 1] AS source FROM firsts WHERE r = 1""".replace("\\\\", "\\"))
+def src_ordered_feed_files(spark: SparkSession, folder: str) -> DataFrame:
+    """Feeds of two unequal files each, every text in three feeds: the first row by source, file and line wins."""
+    base, n = scratch_path(spark, "feeds"), F.col("n")
+    rows = fx.documents(spark, folder).select("doc_id", one_line("text").alias("text"), F.explode(F.sequence(F.lit(0), F.lit(2))).alias("k"))
+    rows = rows.select("doc_id", "text", (F.col("doc_id") * 3 + F.col("k")).alias("n")).select(
+        "text", F.when(F.col("doc_id") % 7 == 0, "spam").otherwise("ham").alias("label"), n, (n % 4).alias("feed"),
+        F.when(F.col("doc_id") % 5 == 0, 0).otherwise(1).alias("file"))
+    # one task per file, in line order; file names sort like the file numbers
+    rows.repartition("feed", "file").sortWithinPartitions("feed", "file", "n").drop("n").write.partitionBy("feed", "file").option(
+        "header", True).option("escape", '"').csv(base)
+    feeds = rd.read_feeds(spark, [(f"{base}/feed={k}", s, kind, k) for s, kind, k in rules.FEED_SOURCES])
+    return ds.aggregate_feeds(feeds).select("text", "label", "source")
 
 
 @query(with_views("SELECT text, label, source, content_type FROM records", "records"))
 def src_aggregated_csv(spark: SparkSession, folder: str) -> DataFrame:
     path = scratch_path(spark, "aggregated")
     sk.write_aggregated(fx.records(spark, folder), path)
-    return rd.read_aggregated(spark, path)
+    return rd.read_aggregated(spark, path, multi_line=True)
 
 
 @query(with_views("""SELECT url, phish_id, phish_detail_url, submission_time, verified,
@@ -112,14 +131,25 @@ def src_text_url_feed(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(r"""SELECT page_id, page_id::INTEGER AS rank, regexp_extract(url, '://([^/]+)', 1) AS domain,
   'https://' || regexp_extract(url, '://([^/]+)', 1) AS url, 'tranco' AS source, 'legitimate' AS label
-  FROM pages WHERE page_id <= 100000""")
+  FROM pages""")
 def src_ranked_domains(spark: SparkSession, folder: str) -> DataFrame:
     """rank,domain lines next to unparsable, one-field and blank lines."""
+    return rd.parse_ranked(_ranked_lines(spark, folder), None, "page_id")
+
+
+@query(r"""SELECT page_id, page_id::INTEGER AS rank, regexp_extract(url, '://([^/]+)', 1) AS domain,
+  'https://' || regexp_extract(url, '://([^/]+)', 1) AS url, 'tranco' AS source, 'legitimate' AS label
+  FROM pages WHERE page_id <= 100 ORDER BY page_id LIMIT 100""")
+def top_ranked_domains(spark: SparkSession, folder: str) -> DataFrame:
+    """The head of the ranking: the first 100 usable lines of rank 100 or better (the limit is the feature)."""
+    return rd.parse_ranked(_ranked_lines(spark, folder), 100, "page_id")
+
+
+def _ranked_lines(spark: SparkSession, folder: str) -> DataFrame:
     i, host = F.col("page_id").cast("string"), ux.host(F.col("url"))
-    lines = table(spark, folder, "pages").select("page_id", F.explode(F.array(
+    return table(spark, folder, "pages").select("page_id", F.explode(F.array(
         F.concat_ws(",", i, host), F.concat_ws(",", F.lit("n/a"), host), i, F.lit("  ")
     )).alias("value"))
-    return rd.parse_ranked(lines, 100_000, "page_id")
 
 
 @query(with_views(r"""SELECT doc_id, trim(regexp_replace(text, '[\r\n\t]', ' ', 'g')) AS text, label AS original_label,
@@ -156,14 +186,17 @@ def src_combined_corpus(spark: SparkSession, folder: str) -> DataFrame:
     return rd.combined_corpus(sms, rd.dialogues(fx.dialogue_rows(spark, folder)))
 
 
-@query()
+@query("""SELECT sum(strlen(text) + 1)::BIGINT AS bytes, sum(strlen(text) - strlen(replace(text, chr(10), '')) + 1)::BIGINT AS lines,
+  true AS entropies_fit FROM documents""")
 def src_binary_files(spark: SparkSession, folder: str) -> DataFrame:
-    """Whole files as bytes (the part files of a table written for the purpose): size, hash, entropy."""
+    """Whole files as bytes (the part files of a table written for the purpose): totals of size, lines and entropy bounds."""
     path = scratch_path(spark, "files")
     fx.documents(spark, folder).select("text").write.text(path)
     files = rd.read_binary_files(spark, path)
-    return th.with_byte_entropy(files, "content").select(
-        "length", F.sha2("content", 256).alias("sha256"), F.round("byte_entropy", 9).alias("byte_entropy")
+    lines = F.length("content") - F.length(F.translate(F.col("content").cast("string"), "\n", "").cast("binary"))
+    return th.with_byte_entropy(files, "content").agg(
+        F.sum("length").alias("bytes"), F.sum(lines).cast("bigint").alias("lines"),
+        F.bool_and(F.col("byte_entropy").between(0, 8)).alias("entropies_fit"),
     )
 
 
@@ -204,11 +237,9 @@ def prj_feed_record(spark: SparkSession, folder: str) -> DataFrame:
     return rd.feed_records(fx.urls(spark, folder))
 
 
-@query(with_views("""SELECT msg_id, CASE WHEN length(text) > 100 THEN substring(text, 1, 100) || '...' ELSE text END AS input,
-  substring(text, 1, 512) AS model_input FROM inbox""", "inbox"))
+@query(with_views("""SELECT msg_id, CASE WHEN length(text) > 100 THEN substring(text, 1, 100) || '...' ELSE text END AS input FROM inbox""", "inbox"))
 def prj_truncate_echo(spark: SparkSession, folder: str) -> DataFrame:
-    t = F.col("text")
-    return fx.inbox(spark, folder).select("msg_id", tx.echo(t).alias("input"), tx.model_input(t).alias("model_input"))
+    return fx.inbox(spark, folder).select("msg_id", tx.echo(F.col("text")).alias("input"))
 
 
 @query(r"SELECT doc_id, regexp_replace(text, '^\s+|\s+$', '', 'g') AS text FROM documents WHERE regexp_matches(text, '\S')")
@@ -255,9 +286,9 @@ def fil_validate_requests(spark: SparkSession, folder: str) -> DataFrame:
   CASE WHEN msg_id % 7 = 2 THEN 'probability is null' END AS error FROM scores""", "scores"))
 def fil_error_rows(spark: SparkSession, folder: str) -> DataFrame:
     """Rows that cannot be scored become error rows, the batch goes on."""
-    s = fx.scores(spark, folder).withColumns({"p": F.when(F.col("msg_id") % 7 != 2, F.col("score"))})
-    joined = fx.messages(spark, folder).select("msg_id", "text").join(s.select("msg_id", "p"), "msg_id")
-    return sp.with_spam_result(joined, "text", "p").select("msg_id", "prediction", "error")
+    scored = fx.with_scores(fx.messages(spark, folder).select("msg_id", "label", "text"))
+    scored = scored.withColumns({"p": F.when(F.col("msg_id") % 7 != 2, F.col("score"))})
+    return sp.with_spam_result(scored, "text", "p").select("msg_id", "prediction", "error")
 
 
 # ------------------------------------------------------------------ lookups
@@ -288,10 +319,20 @@ split AS (SELECT url_id, suffix, coalesce(regexp_extract(front, '([^.]*)$', 1),
     CASE WHEN contains(coalesce(front, ''), '.') THEN regexp_replace(front, '\.[^.]*$', '') ELSE '' END AS subdomain FROM rest)"""
 
 
-@query(with_views(_SUFFIX_SQL + " SELECT url_id, subdomain, domain, suffix FROM split", "urls"))
+_RULES_SQL = _HOSTS_SQL + rf""",
+listed AS (SELECT unnest({fx._q(fx.RULE_SUFFIXES)}) AS rule),
+tails AS (SELECT url_id, host, array_to_string(list_slice(string_split(host, '.'), i, len(string_split(host, '.'))), '.') AS tail
+  FROM (SELECT *, unnest(range(1, len(string_split(host, '.')) + 1)) AS i FROM hosts)),
+hit AS (SELECT url_id, max(length(tail)) FILTER (rule = tail OR rule = '*.' || regexp_replace(tail, '^[^.]*\.', '') AND contains(tail, '.')) AS n,
+    max(length(regexp_replace(tail, '^[^.]*\.', ''))) FILTER (rule = '!' || tail) AS x FROM tails, listed GROUP BY url_id),
+best AS (SELECT url_id, host, CASE WHEN regexp_full_match(host, '[0-9.]+') THEN '' ELSE coalesce(right(host, coalesce(x, n)), '') END AS suffix
+  FROM hosts JOIN hit USING (url_id)),""".replace("\\\\", "\\") + _SUFFIX_SQL[_SUFFIX_SQL.index("\nrest AS"):]
+
+
+@query(with_views(_RULES_SQL + " SELECT url_id, subdomain, domain, suffix FROM split", "urls"))
 def join_public_suffix(spark: SparkSession, folder: str) -> DataFrame:
-    """Host to subdomain, domain and suffix, with the suffixes as a joined table."""
-    suffixes = spark.createDataFrame([(s,) for s in fx.SUFFIXES], "suffix string")
+    """Host to subdomain, domain and suffix, with plain, wildcard and exception rules as a joined table."""
+    suffixes = spark.createDataFrame([(s,) for s in fx.RULE_SUFFIXES], "suffix string")
     u = fx.urls(spark, folder).withColumns({"host": F.lower(ux.host(F.col("url")))})
     return lk.split_hosts(u, "host", suffixes).select("url_id", "subdomain", "domain", "suffix")
 
@@ -370,7 +411,7 @@ def agg_duplicates_removed(spark: SparkSession, folder: str) -> DataFrame:
   (SELECT count(*) FROM records WHERE label = 'legitimate') AS legitimate,
   (SELECT count(*) FROM seen WHERE stripped <> '') - (SELECT count(*) FROM firsts) AS duplicates_removed""", "records"))
 def agg_ingest_summary(spark: SparkSession, folder: str) -> DataFrame:
-    return ds.ingest_summary(fx.feed(spark, folder), fx.records(spark, folder))
+    return ds.ingest_summary(fx.feed(spark, folder))
 
 
 # ------------------------------------------------------------------ dedup, splits
@@ -379,14 +420,11 @@ def win_first_wins_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return fx.records(spark, folder)
 
 
-@query("""SELECT min(page_id * 2 + k) AS seq, host FROM (
-  SELECT page_id, k, regexp_extract(url, '^[a-z]+://[^/?#]*', 0) AS host FROM pages, range(0, 2) t(k)) GROUP BY host""")
+@query("""SELECT min(page_id * 2 + k) AS seq, url FROM pages, range(0, 2) t(k) GROUP BY url""")
 def win_url_dedup(spark: SparkSession, folder: str) -> DataFrame:
-    """Exact-URL dedup keeping the first (site roots repeat across pages)."""
-    root = F.regexp_extract("url", "^[a-z]+://[^/?#]*", 0)
-    p = table(spark, folder, "pages").select("page_id", root.alias("host"), F.explode(F.array(F.lit(0), F.lit(1))).alias("k"))
-    seq = p.select((F.col("page_id") * 2 + F.col("k")).alias("seq"), "host")
-    return ds.first_wins(seq, F.col("host"), "seq")
+    """Exact-URL dedup keeping the first (every page stands twice in the feed)."""
+    p = table(spark, folder, "pages").select("page_id", "url", F.explode(F.array(F.lit(0), F.lit(1))).alias("k"))
+    return ds.first_wins(p.select((F.col("page_id") * 2 + F.col("k")).alias("seq"), "url"), F.col("url"), "seq")
 
 
 _SPLIT_SQL = """ranked AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY md5('42|' || key)) - 1 AS r,
@@ -500,6 +538,22 @@ def smp_pipeline_summary(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query(with_views("""sizes AS (SELECT count(*) FILTER (label = 'phishing') AS p, count(*) FILTER (label = 'legitimate') AS l FROM labelled),
+minority AS (SELECT key, label, content_type, row_number() OVER (ORDER BY md5('42|' || key)) - 1 AS r FROM labelled WHERE label = 'phishing'),
+draws AS (SELECT ('0x' || substr(md5('42#' || i), 1, 15))::BIGINT % p AS r FROM sizes, range(1, 1000000) t(i) WHERE i <= l - p),
+copies AS (SELECT key AS k, label, content_type, 0 AS copy FROM labelled UNION ALL
+  SELECT key, label, content_type, row_number() OVER (PARTITION BY key) FROM minority JOIN draws USING (r)),
+balanced AS (SELECT k || '#' || copy AS key, label, content_type FROM copies),
+""" + _SPLIT_SQL.format("balanced") + " SELECT key, label, split FROM splits", "labelled"))
+def smp_pipeline_oversample(spark: SparkSession, folder: str) -> DataFrame:
+    """Oversample the rare class, split and write: exact sizes on repeated rows."""
+    rows = materialize(fx.labelled(spark, folder).select("key", "label", "content_type"), "labelled")
+    balanced = ds.balance(rows, "key", strategy="oversample").withColumns({"key": ds.copy_key("key")}).drop("copy")
+    path = scratch_path(spark, "splits")
+    sk.write_splits(ds.stratified_split(balanced, "key"), path, columns=("key", "label", "content_type"))
+    return spark.read.parquet(path).select("key", "label", "split")
+
+
 # ------------------------------------------------------------------ metrics
 @query(with_views("""SELECT count(*) FILTER (label = 0 AND prediction = 0) AS tn, count(*) FILTER (label = 0 AND prediction = 1) AS fp,
   count(*) FILTER (label = 1 AND prediction = 0) AS fn, count(*) FILTER (label = 1 AND prediction = 1) AS tp FROM scores""", "scores"))
@@ -544,8 +598,7 @@ def agg_roc_auc(spark: SparkSession, folder: str) -> DataFrame:
   CASE WHEN score > 0.5 THEN 'spam' ELSE 'ham' END AS raw_prediction, length(text) AS original_text_length
   FROM scores JOIN messages USING (msg_id)""", "scores"))
 def det_spam_threshold(spark: SparkSession, folder: str) -> DataFrame:
-    s = fx.scores(spark, folder).select("msg_id", "score")
-    m = fx.messages(spark, folder).select("msg_id", "text").join(s, "msg_id")
+    m = fx.with_scores(fx.messages(spark, folder).select("msg_id", "label", "text"))
     return sp.with_spam_result(m, "text", "score").select(
         "msg_id", "is_spam", "prediction", F.round("confidence", 9).alias("confidence"),
         F.col("details.raw_prediction").alias("raw_prediction"),

@@ -9,10 +9,14 @@ from threatloom import rules
 from threatloom.functions import text as tx
 from threatloom.operators import dataset as ds
 from threatloom.operators import models as md
+from threatloom.operators import phishing as ph
+from threatloom.operators import spam as sp
 from threatloom.operators import terms as tm
 from threatloom.plans import fixtures as fx
 from threatloom.plans.fixtures import with_views
-from threatloom.plans.texts import CLEAN_SQL
+from threatloom.plans import sqltext as sq
+from threatloom.plans.detect import FULL_SQL, flat_verdict
+from threatloom.plans.texts import CLEAN_SQL, STEMS_SQL, STOP_WORDS
 from threatloom.session import materialize, scratch_path
 from threatloom.sources import readers as rd
 
@@ -30,6 +34,17 @@ def query(sql: str | None = None):
 
 
 # ------------------------------------------------------------------ terms
+def _processed_sql(key: str, clean: str = CLEAN_SQL) -> str:
+    """cleaned, then processed: key, label, cleaned without stop words and with stems."""
+    stops = ", ".join(f"'{w}'" for w in STOP_WORDS)
+    return clean + f""",
+pieces AS (SELECT {key}, label, unnest(string_split(cleaned, ' ')) AS word, generate_subscripts(string_split(cleaned, ' '), 1) AS i FROM cleaned),
+words AS (SELECT DISTINCT word FROM pieces),
+{STEMS_SQL},
+processed AS (SELECT {key}, any_value(label) AS label, coalesce(string_agg(stem, ' ' ORDER BY i) FILTER (word NOT IN ({stops})), '') AS cleaned
+  FROM pieces JOIN stems USING (word) GROUP BY {key})"""
+
+
 def _terms_sql(source: str, key: str, longest: int) -> str:
     """docs: key, label, terms -> tf: key, term, tf."""
     grams = "t"
@@ -50,86 +65,146 @@ def _vocab_sql(source: str, settings) -> str:
 
 WEIGHTS_SQL = """raw AS (SELECT k, term, tf.tf * idf AS w FROM tf JOIN vocab USING (term)),
 weights AS (SELECT k, term, w / sqrt(sum(w * w) OVER (PARTITION BY k)) AS weight FROM raw)"""
+_SPAM_SQL = _processed_sql("msg_id") + ",\n" + _terms_sql("processed", "msg_id", 2)
 
 
 def _spam(spark: SparkSession, folder: str, settings=tm.SMS_SETTINGS) -> DataFrame:
-    """Messages with cleaned text and terms (no stop list: cleaning only)."""
-    return md.prepare_spam(fx.messages(spark, folder).select("msg_id", "text", "label"), "text", settings)
+    """Messages with cleaned text (stop words dropped, stemmed) and terms, written once."""
+    m = fx.messages(spark, folder).select("msg_id", "text", "label")
+    return materialize(md.prepare_spam(m, "text", settings, STOP_WORDS).select("msg_id", "label", "terms"), "spam")
 
 
-@query(with_views(CLEAN_SQL + ",\n" + _terms_sql("cleaned", "msg_id", 2) + " SELECT term, tf, df FROM stats", "messages"))
+@query(with_views(_SPAM_SQL + " SELECT term, tf, df FROM stats", "messages"))
 def agg_term_df_tf(spark: SparkSession, folder: str) -> DataFrame:
-    """Corpus and document frequency of every 1-2-gram."""
+    """Corpus and document frequency of every 1-2-gram of stems."""
     return tm.term_statistics(tm.term_counts(_spam(spark, folder), "msg_id"))
 
 
-def _vocabulary(prepared: DataFrame, key: str, settings) -> tuple[DataFrame, DataFrame]:
+def _vocabulary(prepared: DataFrame, key: str, settings) -> DataFrame:
     size, low, share, _ = settings
     counts = tm.term_counts(prepared, key)
-    return counts, tm.vocabulary(tm.term_statistics(counts), prepared.count(), size, low, share)
+    return tm.vocabulary(tm.term_statistics(counts), prepared.count(), size, low, share)
 
 
-@query(with_views(CLEAN_SQL + ",\n" + _terms_sql("cleaned", "msg_id", 2) + ",\n" + _vocab_sql("cleaned", tm.SMS_SETTINGS)
+@query(with_views(_SPAM_SQL + ",\n" + _vocab_sql("processed", tm.SMS_SETTINGS)
                   + " SELECT term, tf, df, round(idf, 9) AS idf FROM vocab", "messages"))
 def top_vocabulary(spark: SparkSession, folder: str) -> DataFrame:
     """Top terms by corpus frequency within the document-frequency bounds."""
-    _, vocab = _vocabulary(_spam(spark, folder), "msg_id", tm.SMS_SETTINGS)
+    vocab = _vocabulary(_spam(spark, folder), "msg_id", tm.SMS_SETTINGS)
     return vocab.select("term", "tf", "df", F.round("idf", 9).alias("idf"))
 
 
-@query(with_views(CLEAN_SQL + ",\n" + _terms_sql("cleaned", "msg_id", 2) + ",\n" + _vocab_sql("cleaned", tm.SMS_SETTINGS) + ",\n" + WEIGHTS_SQL
+def _weights(prepared: DataFrame, key: str, settings, *carried: str) -> tuple[DataFrame, list[str]]:
+    """Unit-length TF-IDF entries of prepared rows, and the vocabulary."""
+    model = md.fit_vectorizer(prepared, key, "terms", settings)
+    terms = md.leaves(model)[0].vocabulary
+    return tm.tfidf(model.transform(prepared), terms, "tfidf", key, *carried), terms
+
+
+@query(with_views(_SPAM_SQL + ",\n" + _vocab_sql("processed", tm.SMS_SETTINGS) + ",\n" + WEIGHTS_SQL
                   + " SELECT k AS msg_id, term, round(weight, 9) AS weight FROM weights", "messages"))
 def ml_tfidf_weights(spark: SparkSession, folder: str) -> DataFrame:
-    """Unit-length TF-IDF weights of the messages (1-2-grams, 3,000 terms)."""
-    counts, vocab = _vocabulary(_spam(spark, folder), "msg_id", tm.SMS_SETTINGS)
-    return tm.tfidf(counts, vocab, "msg_id").select("msg_id", "term", F.round("weight", 9).alias("weight"))
+    """Unit-length TF-IDF weights of the messages (1-2-grams of stems, 3,000 terms)."""
+    weights, _ = _weights(_spam(spark, folder), "msg_id", tm.SMS_SETTINGS)
+    return weights.select("msg_id", "term", F.round("weight", 9).alias("weight"))
 
 
 _CLEAN_DIALOGUE = CLEAN_SQL.replace("cleaned AS (SELECT msg_id, label", "cleaned AS (SELECT talk_id, label").replace(
     "lower(text)", "lower(dialogue)").replace("FROM messages", "FROM dialogues")
 
 
-@query(with_views(_CLEAN_DIALOGUE + ",\n" + _terms_sql("cleaned", "talk_id", 3) + ",\n" + _vocab_sql("cleaned", tm.DIALOGUE_SETTINGS) + ",\n" + WEIGHTS_SQL
+@query(with_views(_processed_sql("talk_id", _CLEAN_DIALOGUE) + ",\n" + _terms_sql("processed", "talk_id", 3) + ",\n" + _vocab_sql("processed", tm.DIALOGUE_SETTINGS) + ",\n" + WEIGHTS_SQL
                   + " SELECT k AS talk_id, term, round(weight, 9) AS weight FROM weights", "dialogues"))
 def ml_tfidf_dialogue(spark: SparkSession, folder: str) -> DataFrame:
-    """TF-IDF weights of the dialogues (1-3-grams, 5,000 terms)."""
-    d = md.prepare_spam(fx.dialogue_rows(spark, folder), "dialogue", tm.DIALOGUE_SETTINGS)
-    counts, vocab = _vocabulary(d, "talk_id", tm.DIALOGUE_SETTINGS)
-    return tm.tfidf(counts, vocab, "talk_id").select("talk_id", "term", F.round("weight", 9).alias("weight"))
+    """TF-IDF weights of the dialogues (1-3-grams of stems, 5,000 terms)."""
+    d = md.prepare_spam(fx.dialogue_rows(spark, folder), "dialogue", tm.DIALOGUE_SETTINGS, STOP_WORDS)
+    weights, _ = _weights(materialize(d.select("talk_id", "terms"), "dialogues"), "talk_id", tm.DIALOGUE_SETTINGS)
+    return weights.select("talk_id", "term", F.round("weight", 9).alias("weight"))
 
 
-@query(with_views(CLEAN_SQL + ",\n" + _terms_sql("cleaned", "msg_id", 2) + ",\n" + _vocab_sql("cleaned", tm.SMS_SETTINGS) + ",\n" + WEIGHTS_SQL + """,
+_NB_SQL = _SPAM_SQL + ",\n" + _vocab_sql("processed", tm.SMS_SETTINGS) + ",\n" + WEIGHTS_SQL + """,
 sums AS (SELECT term, sum(weight) FILTER (label = 0) AS w0, sum(weight) FILTER (label = 1) AS w1 FROM weights JOIN toks USING (k) GROUP BY term),
 lp AS (SELECT term, ln((coalesce(w0, 0) + 1) / sum(coalesce(w0, 0) + 1) OVER ()) AS lp0, ln((coalesce(w1, 0) + 1) / sum(coalesce(w1, 0) + 1) OVER ()) AS lp1
   FROM vocab LEFT JOIN sums USING (term)),
 prior AS (SELECT ln((count(*) - sum(label))::DOUBLE / count(*)) AS p0, ln(sum(label)::DOUBLE / count(*)) AS p1 FROM toks),
 s AS (SELECT k, sum(weight * (lp1 - lp0)) AS gain FROM weights JOIN lp USING (term) GROUP BY k),
-f AS (SELECT toks.k AS msg_id, coalesce(gain, 0) + p1 - p0 AS margin FROM prior, toks LEFT JOIN s USING (k))
-SELECT msg_id, round(1 / (1 + exp(-margin)), 6) AS spam_prob, (margin > 0)::INT AS prediction FROM f""", "messages"))
-def ml_naive_bayes_sql(spark: SparkSession, folder: str) -> DataFrame:
-    """Exact multinomial naive Bayes on TF-IDF weights, as grouped sums and logs."""
-    prepared = materialize(_spam(spark, folder).select("msg_id", "label", "terms"), "terms")
-    counts, vocab = _vocabulary(prepared, "msg_id", tm.SMS_SETTINGS)
-    weights = materialize(tm.tfidf(counts, vocab, "msg_id"), "weights")
+f AS (SELECT toks.k AS msg_id, coalesce(gain, 0) + p1 - p0 AS margin FROM prior, toks LEFT JOIN s USING (k)),
+nb AS (SELECT msg_id, round(1 / (1 + exp(-margin)), 6) AS spam_prob, (margin > 0)::INT AS prediction FROM f)"""
+
+
+def _naive_bayes(spark: SparkSession, folder: str) -> DataFrame:
+    """msg_id, spam_prob (6 digits), prediction of every message by the exact model of all messages."""
+    prepared = _spam(spark, folder)
+    weights, terms = _weights(prepared, "msg_id", tm.SMS_SETTINGS, "label")
+    weights = materialize(weights, "weights")
+    vocab = spark.createDataFrame([(t,) for t in terms], "term string")  # bounded by max_terms
     labels = prepared.select("msg_id", "label")
-    likelihoods = tm.naive_bayes(weights, labels, vocab, "msg_id")
+    likelihoods = materialize(tm.naive_bayes(weights, vocab), "likelihoods")
     out = tm.naive_bayes_scores(weights, labels, tm.log_priors(labels), likelihoods, "msg_id")
     return out.withColumns({"spam_prob": F.round("spam_prob", 6)})
 
 
-# ------------------------------------------------------------------ training (rows only)
+@query(with_views(_NB_SQL + " SELECT * FROM nb", "messages"))
+def ml_naive_bayes_sql(spark: SparkSession, folder: str) -> DataFrame:
+    """Exact multinomial naive Bayes on TF-IDF weights, as grouped sums and logs."""
+    return _naive_bayes(spark, folder)
+
+
+@query(with_views(_NB_SQL + """ SELECT msg_id, spam_prob >= 0.75 AS is_spam, CASE WHEN spam_prob >= 0.75 THEN 'spam' ELSE 'ham' END AS prediction,
+  round(CASE WHEN spam_prob >= 0.75 THEN spam_prob ELSE 1 - spam_prob END, 6) AS confidence FROM nb""", "messages"))
+def det_spam_model(spark: SparkSession, folder: str) -> DataFrame:
+    """Spam decision of every message by a trained model: its probability and the 0.75 rule."""
+    scored = fx.messages(spark, folder).select("msg_id", "text").join(_naive_bayes(spark, folder).select("msg_id", "spam_prob"), "msg_id")
+    return sp.with_spam_result(scored, "text", "spam_prob").select("msg_id", "is_spam", "prediction", F.round("confidence", 6).alias("confidence"))
+
+
+_MODEL_SQL = "(SELECT nb.spam_prob FROM nb WHERE nb.msg_id = j.msg_id)"
+
+
+@query(with_views(_NB_SQL + ",\n" + sq.prepared("messages") + ",\n" + sq.detector(ml=_MODEL_SQL) + " " + FULL_SQL, "messages"))
+def det_phishing_model(spark: SparkSession, folder: str) -> DataFrame:
+    """Full phishing verdict with a trained model's probability as the model part of the ensemble."""
+    scored = fx.messages(spark, folder).select("msg_id", "text").join(_naive_bayes(spark, folder).select("msg_id", "spam_prob"), "msg_id")
+    return flat_verdict(ph.with_phishing_result(scored, "text", ml=F.col("spam_prob"), suffixes=fx.DETECTOR_SUFFIXES), "msg_id")
+
+
+# ------------------------------------------------------------------ training
+def _trained_sql(part: str, settings=tm.SMS_SETTINGS) -> str:
+    """After toks and tf: vocabulary (vocab) and weights of all rows (weights), fitted on the ``train`` rows of ``part``."""
+    size, low, share, _ = settings
+    return f"""{part},
+counts AS (SELECT term, sum(tf) AS tf, count(*) AS df FROM tf JOIN held USING (k) WHERE part = 'train' GROUP BY term),
+vocab AS (SELECT term, ln((n + 1) / (df + 1)) + 1 AS idf FROM (
+    SELECT *, (SELECT count(*) FROM held WHERE part = 'train')::DOUBLE AS n FROM counts)
+  WHERE df >= {low} AND df <= n * {share}::DOUBLE ORDER BY tf DESC, term LIMIT {size}),
+{WEIGHTS_SQL}"""
+
+
+_HELD_SQL = """held AS (SELECT msg_id AS k, label, CASE WHEN row_number() OVER (PARTITION BY label ORDER BY md5('42|' || msg_id))
+  <= ceil(count(*) OVER (PARTITION BY label) * 0.2::DOUBLE) THEN 'test' ELSE 'train' END AS part FROM processed)"""
+_FITTED_SQL = _SPAM_SQL + ",\n" + _trained_sql(_HELD_SQL)
+# with the smoothed class prior of the library's estimator
+_PREDICT_SQL = _FITTED_SQL + """,
+sums AS (SELECT term, sum(weight) FILTER (label = 0) AS w0, sum(weight) FILTER (label = 1) AS w1
+  FROM weights JOIN held USING (k) WHERE part = 'train' GROUP BY term),
+lp AS (SELECT term, ln((coalesce(w1, 0) + 1) / sum(coalesce(w1, 0) + 1) OVER ()) - ln((coalesce(w0, 0) + 1) / sum(coalesce(w0, 0) + 1) OVER ()) AS gain
+  FROM vocab LEFT JOIN sums USING (term)),
+prior AS (SELECT ln(sum(label) + 1.0) - ln(count(*) - sum(label) + 1.0) AS p FROM held WHERE part = 'train'),
+s AS (SELECT k, sum(weight * gain) AS gain FROM weights JOIN lp USING (term) GROUP BY k),
+f AS (SELECT k AS msg_id, label, coalesce(gain, 0) + p AS margin FROM prior, held LEFT JOIN s USING (k) WHERE part = 'test')"""
+
+
 def _spam_parts(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
-    """80/20 holdout of the prepared messages, written once."""
-    rows = materialize(_spam(spark, folder).select("msg_id", "text", "label", "cleaned", "terms"), "spam")
-    split = ds.holdout_split(rows, "msg_id")
-    return tuple(materialize(split.filter(F.col("split") == n).drop("split"), n) for n in ("train", "test"))
+    """80/20 holdout of the prepared messages: their key, label and terms are written once, with the split."""
+    split = materialize(ds.holdout_split(_spam(spark, folder), "msg_id"), "holdout")
+    return tuple(split.filter(F.col("split") == n).drop("split") for n in ("train", "test"))
 
 
 def _phishing_parts(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
-    """train / val / test of the aggregated feed with features and terms, written once."""
+    """train / val / test of the messages, split on slim rows; features and terms are written once, without the text."""
     m = fx.messages(spark, folder).select(F.col("msg_id").alias("key"), "text", "label")
-    rows = materialize(md.prepare_phishing(m, "text"), "phishing")
-    split = materialize(ds.stratified_split(rows, "key"), "phishing-split")
+    rows = md.prepare_phishing(ds.stratified_split(m, "key"), "text", fx.DETECTOR_SUFFIXES)
+    split = materialize(rows.drop("text"), "phishing")
     return {n: split.filter(F.col("split") == n).drop("split") for n in ("train", "val", "test")}
 
 
@@ -151,14 +226,16 @@ def ml_logistic_regression(spark: SparkSession, folder: str) -> DataFrame:
 
 @query()
 def ml_random_forest(spark: SparkSession, folder: str) -> DataFrame:
-    return _spam_metrics(spark, folder, md.Estimator("random_forest", trees=10, depth=8))
+    return _spam_metrics(spark, folder, md.Estimator("random_forest"))
 
 
-@query()
+@query(with_views(_PREDICT_SQL + """ SELECT msg_id, label, (margin > 0)::INT AS prediction, round(1 / (1 + exp(margin)), 6) AS ham_prob,
+  round(1 / (1 + exp(-margin)), 6) AS spam_prob FROM f""", "messages"))
 def ml_predict(spark: SparkSession, folder: str) -> DataFrame:
     """Class and both probabilities for every message of the test part."""
     train, test = _spam_parts(spark, folder)
-    return md.predict(md.train_spam(train, "msg_id"), test).select("msg_id", "label", "prediction", "ham_prob", "spam_prob")
+    return md.predict(md.train_spam(train, "msg_id"), test).select(
+        "msg_id", "label", "prediction", F.round("ham_prob", 6).alias("ham_prob"), F.round("spam_prob", 6).alias("spam_prob"))
 
 
 @query()
@@ -170,15 +247,24 @@ def ml_evaluate(spark: SparkSession, folder: str) -> DataFrame:
     return md.evaluate(md.predict(md.load_model(path), test))
 
 
-@query()
+@query(with_views(_FITTED_SQL + " SELECT 'NaiveBayesModel' AS model_type, count(*)::INT AS vocabulary_size FROM vocab", "messages"))
 def agg_model_stats(spark: SparkSession, folder: str) -> DataFrame:
     train, _ = _spam_parts(spark, folder)
     return md.model_stats(spark, md.train_spam(train, "msg_id"))
 
 
-@query()
+_RAW_TERMS_SQL = r"""toks AS (SELECT msg_id AS k, label, regexp_extract_all(strip_accents(lower(text)), '[\p{L}\p{N}_]{2,}') AS t FROM messages),
+tf AS (SELECT k, term, count(*) AS tf FROM (SELECT k, unnest(list_concat(t, list_transform(range(1, len(t)), lambda i: t[i] || ' ' || t[i + 1]))) AS term FROM toks) GROUP BY ALL),
+"""
+_TRAIN_SQL = """held AS (SELECT msg_id AS k, label, CASE WHEN row_number() OVER (PARTITION BY label ORDER BY md5('42|' || msg_id)) - 1
+  < trunc(count(*) OVER (PARTITION BY label) * 0.7::DOUBLE) THEN 'train' ELSE 'other' END AS part FROM messages)"""
+
+
+@query(with_views(_RAW_TERMS_SQL + _trained_sql(_TRAIN_SQL) + """
+SELECT k AS key, (51 + (SELECT count(*) FROM vocab))::INT AS size, count(term)::INT AS n_terms
+  FROM held LEFT JOIN weights USING (k) WHERE part = 'train' GROUP BY k""", "messages"))
 def ml_assembled_features(spark: SparkSession, folder: str) -> DataFrame:
-    """51 custom features and TF-IDF side by side as one sparse vector: its size and non-zeros."""
+    """51 custom features and TF-IDF side by side as one sparse vector: its size and its TF-IDF entries."""
     from pyspark.ml import PipelineModel
     from pyspark.ml.feature import VectorAssembler
 
@@ -189,9 +275,10 @@ def ml_assembled_features(spark: SparkSession, folder: str) -> DataFrame:
         md.fit_vectorizer(train, "key", "terms", tm.SMS_SETTINGS),
         VectorAssembler(inputCols=[*COMBINED_FEATURES, "tfidf"], outputCol="features"),
     ])
-    vector = F.from_json(F.to_json("v"), "v struct<size int, indices array<int>, values array<double>>")
-    out = front.transform(train).select("key", F.struct(F.col("features").alias("v")).alias("v")).select("key", vector.alias("j"))
-    return out.select("key", F.col("j.v.size").alias("size"), F.size("j.v.values").alias("stored"))
+    wide, terms = F.unwrap_udt("features"), F.unwrap_udt("tfidf")
+    # the assembler stores a vector densely where that is smaller: size is then the length of its values
+    size = F.coalesce(wide["size"], F.size(wide["values"]))
+    return front.transform(train).select("key", size.alias("size"), F.size(terms["indices"]).alias("n_terms"))
 
 
 # Fewer rounds than the defaults (200 rounds, 1,000 iterations): the queries show the pipelines
@@ -232,7 +319,7 @@ def ml_pipeline_unified(spark: SparkSession, folder: str) -> DataFrame:
     sms = fx.messages(spark, folder).select(F.concat(F.lit("m"), "msg_id").alias("key"), F.col("text").alias("message"), "label")
     talk = fx.dialogue_rows(spark, folder).select(F.col("talk_id").alias("key"), F.col("dialogue").alias("message"), "label")
     corpus = rd.combined_corpus(sms, talk)
-    rows = materialize(md.prepare_spam(corpus, "message", tm.DIALOGUE_SETTINGS), "unified")
+    rows = materialize(md.prepare_spam(corpus, "message", tm.DIALOGUE_SETTINGS, STOP_WORDS).select("key", "label", "terms"), "unified")
     split = materialize(ds.holdout_split(rows, "key"), "unified-split")
     train, test = (split.filter(F.col("split") == n).drop("split") for n in ("train", "test"))
     model = md.train_spam(train, "key", tm.DIALOGUE_SETTINGS)

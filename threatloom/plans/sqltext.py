@@ -8,7 +8,7 @@ lengths and everything else use the original text.
 from __future__ import annotations
 
 from threatloom import rules
-from threatloom.plans.fixtures import _q
+from threatloom.plans.fixtures import DETECTOR_SUFFIXES, _q
 
 STRIP = r"regexp_replace({0}, '^\s+|\s+$', '', 'g')"
 ASCII = "regexp_replace({0}, '[À-ÿ]', 'x', 'g')"
@@ -145,7 +145,7 @@ LEFT JOIN entropies d ON d.url_id = parts.url_id AND d.kind = 'domain'
 LEFT JOIN entropies u ON u.url_id = parts.url_id AND u.kind = 'url'"""
 
 
-def detector(suffixes=rules.DEFAULT_SUFFIXES, ml: str = "0.5::DOUBLE", transformer: str = "0.5::DOUBLE") -> str:
+def detector(suffixes=DETECTOR_SUFFIXES, ml: str = "0.5::DOUBLE", transformer: str = "0.5::DOUBLE") -> str:
     """CTEs after ``m``: per-URL results (ua), brand (b), rule counts (rc) and everything joined (d)."""
     fams = {n: family("a", f[0]) for n, f in rules.DETECTOR_FAMILIES.items()}
     tlds = ", ".join(f"'{x}'" for x in rules.DETECTOR_SUSPICIOUS_TLDS)

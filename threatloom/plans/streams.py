@@ -42,11 +42,11 @@ def _finish(stream: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(stream.schema).parquet(path)
 
 
-@query(with_views(sq.prepared("inbox") + ",\n" + sq.detector() + " " + detect._FULL, "inbox"))
+@query(with_views(sq.prepared("inbox") + ",\n" + sq.detector() + " " + detect.FULL_SQL, "inbox"))
 def str_score_stream(spark: SparkSession, folder: str) -> DataFrame:
     """Continuous scoring: the batch verdict on a stream of files."""
-    scored = jobs.score_stream(_landed(fx.inbox(spark, folder), "inbox"))
-    return _finish(detect._flat(scored, "msg_id"), "scored")
+    scored = jobs.score_stream(_landed(fx.inbox(spark, folder), "inbox"), fx.DETECTOR_SUFFIXES)
+    return _finish(detect.flat_verdict(scored, "msg_id"), "scored")
 
 
 @query(r"SELECT DISTINCT md5(regexp_replace(lower(text), '^\s+|\s+$', '', 'g')) AS text_hash FROM documents")
@@ -62,17 +62,18 @@ def str_dedup(spark: SparkSession, folder: str) -> DataFrame:
 @query(with_views(sq.prepared("messages") + ",\n" + sq.detector() + """,
 w AS (SELECT time_bucket(INTERVAL 1 DAY, ts, TIMESTAMP '2024-01-01') AS window_start, level AS threat_level, count(*) AS n
   FROM d JOIN messages USING (msg_id) GROUP BY ALL)
-SELECT strftime(window_start, '%Y-%m-%d') AS day, threat_level, n FROM w
-WHERE window_start + INTERVAL 1 DAY <= (SELECT max(ts) FROM messages) - INTERVAL 1 DAY""", "messages"))
+SELECT strftime(window_start, '%Y-%m-%d') AS day, threat_level, n FROM w""", "messages"))
 def str_level_counts(spark: SparkSession, folder: str) -> DataFrame:
-    """Daily threat-level counts; the still open windows are not emitted.
+    """Daily threat-level counts of all windows, upserted batch by batch.
 
-    The landed files are not in time order, so they are taken in one batch:
+    The landed files are not in time order and the delay exceeds their span:
     nothing is late.  (Late rows are covered by a unit test.)
     """
-    landed = _landed(fx.messages(spark, folder).select("msg_id", "text", "ts"), "messages", None)
-    counts = jobs.level_counts(jobs.score_stream(landed).select("ts", "threat_level"), "ts", "1 day")
-    out = _finish(counts, "levels")
+    landed = _landed(fx.messages(spark, folder).select("msg_id", "text", "ts"), "messages")
+    scored = jobs.score_stream(landed, fx.DETECTOR_SUFFIXES).select("ts", "threat_level")
+    path, checkpoint = scratch_path(spark, "levels"), scratch_path(spark, "levels-checkpoint")
+    jobs.run_upserts(jobs.level_counts(scored, "ts", "3650 days"), path, checkpoint).awaitTermination()
+    out = jobs.latest(spark, path, ["window_start", "window_end", "threat_level"])
     # the UTC day, whatever the session time zone
     day = F.date_from_unix_date(F.floor(F.unix_seconds("window_start") / 86400).cast("int"))
     return out.select(day.cast("string").alias("day"), "threat_level", "n")

@@ -34,6 +34,17 @@ CLEAN_SQL = r"""cleaned AS (SELECT msg_id, label, trim(regexp_replace(regexp_rep
   'http\S+|www\S+', '', 'g'), '\S+@\S+', '', 'g'), '\b\d{10,}\b', '', 'g'), '[^a-zA-Z\s]', '', 'g'), '\s+', ' ', 'g')) AS cleaned FROM messages)"""
 
 
+def _stems_sql() -> str:
+    """stems: word, stem of ``words``."""
+    out = "(SELECT word, word AS w FROM words)"
+    for step in tm.stem_steps("regexp_matches({0}, '{1}')", "\\1", ", 'g'"):
+        out = f"(SELECT word, {step} AS w FROM {out})"
+    return f"stems AS (SELECT word, w AS stem FROM {out})"
+
+
+STEMS_SQL = _stems_sql()
+
+
 def long(df: DataFrame, *names: str) -> DataFrame:
     return df.withColumns({n: F.col(n).cast("long") for n in names})
 
@@ -55,9 +66,11 @@ def txt_stopwords(spark: SparkSession, folder: str) -> DataFrame:
     return c.select("msg_id", tx.drop_stop_words(F.col("cleaned"), STOP_WORDS).alias("kept"))
 
 
-@query()
+@query(with_views(CLEAN_SQL + """,
+words AS (SELECT DISTINCT word FROM (SELECT unnest(string_split(cleaned, ' ')) AS word FROM cleaned) WHERE word <> ''),
+""" + STEMS_SQL + " SELECT word, stem FROM stems", "messages"))
 def txt_stem_vocab(spark: SparkSession, folder: str) -> DataFrame:
-    """Distinct cleaned words and their stems (stems are checked by unit tests)."""
+    """Distinct cleaned words and their stems."""
     words = fx.messages(spark, folder).select(F.explode(F.split(tx.clean(F.col("text")), " ")).alias("word"))
     return tm.stem_vocabulary(words.filter(F.col("word") != ""))
 
@@ -200,7 +213,7 @@ def txt_legacy_flags(spark: SparkSession, folder: str) -> DataFrame:
     m = fx.messages(spark, folder).select("msg_id", "text").withColumns(
         {"low": tx.fold(F.col("text")), "urls": tx.extract_urls(F.col("text"))}
     )
-    return m.select("msg_id", ph.legacy_flags(F.col("low"), F.col("urls")).alias("f")).select("msg_id", "f.*")
+    return m.select("msg_id", ph.legacy_flags(F.col("low"), F.col("urls"), fx.DETECTOR_SUFFIXES).alias("f")).select("msg_id", "f.*")
 
 
 # ------------------------------------------------------------------ URLs
@@ -250,11 +263,11 @@ def agg_char_entropy(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(with_views(sq.prepared("inbox") + """,
 urls AS (SELECT msg_id AS url_id, urls[1] AS url FROM m WHERE len(urls) > 0),
-""" + sq.split_hosts("urls", rules.DEFAULT_SUFFIXES) + ",\n" + sq.url_parts() + ",\n" + sq.ENTROPY + f""",
+""" + sq.split_hosts("urls", fx.DETECTOR_SUFFIXES) + ",\n" + sq.url_parts() + ",\n" + sq.ENTROPY + f""",
 uf AS (SELECT parts.url_id AS msg_id, {sq.rounded(_URL, None, 'url_')} {sq.URL_FROM})
 SELECT m.msg_id, {sq.rounded(_TEXT, None, 'text_')},
   {", ".join(f"coalesce(url_{n}, 0) AS url_{n}" for n in fe.URL_FEATURES)} FROM m LEFT JOIN uf USING (msg_id)""", "inbox"))
 def feat_combined(spark: SparkSession, folder: str) -> DataFrame:
     """The 51 combined features: text plus its first URL."""
-    out = fe.with_combined_features(fx.inbox(spark, folder), "text")
+    out = fe.with_combined_features(fx.inbox(spark, folder), "text", suffixes=fx.DETECTOR_SUFFIXES)
     return round9(out, fe.COMBINED_FEATURES).drop("text")

@@ -205,7 +205,6 @@ SMS_RULES = (
 )
 SMS_MAX_CHARS = 500
 URL_MAX_TOKENS = 3
-MODEL_INPUT_CHARS = 512
 ECHO_CHARS = 100
 # Labels a model may use for its positive class
 PHISHING_POSITIVE_LABELS = ("phishing", "spam", "1", "positive")
@@ -345,18 +344,3 @@ SEED = 42
 TRAIN_RATIO, VALIDATION_RATIO = 0.7, 0.15
 SCAN_TYPES = ("email", "sms", "url", "auto")
 REQUEST_LIMITS = {"message": (1, 10000), "text": (1, 50000), "url": (5, 2000)}
-
-# ---------------------------------------------------------------------------
-# A short public-suffix list for when no suffix table is given (the full list
-# is an input table, see operators.lookups.load_suffixes).
-# ---------------------------------------------------------------------------
-DEFAULT_SUFFIXES = (
-    "com", "net", "org", "edu", "gov", "mil", "int", "io", "co", "ai", "app", "dev",
-    "biz", "me", "tv", "us", "uk", "de", "fr", "es", "it", "nl", "eu", "ch", "at",
-    "be", "se", "no", "dk", "fi", "pl", "ru", "ua", "cn", "jp", "in", "br", "au", "ca",
-    "ly", "gd", "gl", "gy", "mp", "im", "gs", "to",
-    "tk", "ml", "ga", "cf", "gq", "xyz", "top", "work", "click", "link", "info", "online",
-    "site", "website", "space", "pw", "cc", "su", "buzz", "fit", "loan", "download", "stream",
-    "co.uk", "org.uk", "ac.uk", "gov.uk", "com.au", "net.au", "org.au", "co.jp", "ne.jp",
-    "co.in", "com.br", "com.cn", "co.nz", "co.za",
-)

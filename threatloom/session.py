@@ -46,9 +46,19 @@ def shared_dir(spark: SparkSession) -> str:
     return made
 
 
+def _scratch_root(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/threatloom/{spark.sparkContext.applicationId}"
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh, never reused path under the shared folder."""
-    return f"{shared_dir(spark)}/threatloom/{name}-{uuid.uuid4().hex}"
+    """A fresh, never reused path under the application's part of the shared folder."""
+    return f"{_scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def drop_scratch(spark: SparkSession) -> None:
+    """Delete the application's scratch tables; call it when no result that reads them is needed any more."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_scratch_root(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
@@ -63,14 +73,18 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Inputs of fewer splits than this are dealt out over the cores; it bounds what such a shuffle can cost.
+FEW_SPLITS = 16
+
+
 def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Use all cores when a small input arrives in fewer splits than there are cores.
+    """Use all cores for a table that is a single file of a single row group.
 
-    Large inputs already have more splits than cores and pass through without
-    a shuffle.
+    Only inputs of less than ``FEW_SPLITS`` splits are dealt out, whatever the
+    cluster; larger ones pass through without a shuffle.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= cores:
+    if df.rdd.getNumPartitions() >= min(cores, FEW_SPLITS):
         return df
     return df.repartition(cores, *keys)
 

@@ -27,12 +27,11 @@ AGGREGATED_SCHEMA = T.StructType([T.StructField(n, T.StringType()) for n in AGGR
 BINARY_SCHEMA = "path string, modificationTime timestamp, length bigint, content binary"
 
 
-def read_csv(spark: SparkSession, path: str, schema: T.StructType | None = None, multi_line: bool = True) -> DataFrame:
-    """Header CSV, every field a string, quoted line breaks allowed.
+def read_csv(spark: SparkSession, path: str, schema: T.StructType | None = None, multi_line: bool = False) -> DataFrame:
+    """Header CSV, every field a string.
 
-    Quoted line breaks make a single file unsplittable (one task per file), so
-    write such feeds as many part files; pass ``multi_line=False`` for feeds
-    that have one record per line, whose files then split freely.
+    One record per line unless ``multi_line``: quoted line breaks make a file
+    unsplittable (one task per file), so write such feeds as many part files.
     """
     reader = spark.read.option("header", True).option("multiLine", multi_line).option("escape", '"').option("quote", '"')
     return (reader.schema(schema) if schema is not None else reader.option("inferSchema", False)).csv(path)
@@ -63,14 +62,15 @@ def parse_training(df: DataFrame, text: str = "text", label: str = "label") -> D
     return ds.nonblank(df, text).withColumns({label: ds.binary_label(F.col(label))}).filter(F.col(label).isNotNull())
 
 
-def read_training(spark: SparkSession, path: str) -> DataFrame:
-    return parse_training(read_csv(spark, path))
+def read_training(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
+    return parse_training(read_csv(spark, path, multi_line=multi_line))
 
 
-def resolve_columns(df: DataFrame, text_col: str = "text", label_col: str = "label") -> DataFrame:
+def resolve_columns(df: DataFrame, text_col: str = "text", label_col: str = "label", at: Column | None = None) -> DataFrame:
     """text, label by case-insensitive header lookup; text falls back to ``text`` then ``url``.
 
-    The fallback depends on which columns exist, not on nulls.
+    The fallback depends on which columns exist, not on nulls.  ``at`` is kept
+    as a column of that name.
     """
     by_lower = {c.lower(): c for c in df.columns}
 
@@ -80,26 +80,34 @@ def resolve_columns(df: DataFrame, text_col: str = "text", label_col: str = "lab
         chosen = actual or next((f for f in fallbacks if f in exact), None)
         return F.col(f"`{chosen}`") if chosen else F.lit("")
 
-    return df.withColumns({"__text": pick(text_col, "text", "url"), "__label": pick(label_col, "label")}).select(
-        F.col("__text").alias("text"), F.col("__label").alias("label")
-    )
+    more = [] if at is None else [at.alias("at")]
+    return df.select(pick(text_col, "text", "url").alias("text"), pick(label_col, "label").alias("label"), *more)
 
 
 def read_feed(spark: SparkSession, path: str, source: str, content_type: str, priority: int,
-              text_col: str = "text", label_col: str = "label", multi_line: bool = True) -> DataFrame:
+              text_col: str = "text", label_col: str = "label", multi_line: bool = False) -> DataFrame:
     """One labelled CSV feed tagged with source, content type and ingest order.
 
-    The row order inside a feed is the scan position; materialise the result
-    before several passes read it.
+    ``order`` is (priority, file, block, row): files by path, whatever way the
+    scan packs them into tasks.
     """
-    raw = resolve_columns(read_csv(spark, path, multi_line=multi_line), text_col, label_col)
-    return raw.withColumns({
-        "source": F.lit(source), "content_type": F.lit(content_type),
-        "order": ds.ingest_order(F.lit(priority), F.monotonically_increasing_id()),
-    })
+    raw = read_csv(spark, path, multi_line=multi_line)
+    rows = resolve_columns(raw, text_col, label_col, file_position())
+    return rows.select(
+        "text", "label", F.lit(source).alias("source"), F.lit(content_type).alias("content_type"),
+        F.struct(F.lit(priority).alias("priority"), "at.*").alias("order"),
+    )
 
 
-def read_feeds(spark: SparkSession, manifest: Iterable[tuple[str, str, str, int]], multi_line: bool = True) -> DataFrame:
+def file_position() -> Column:
+    """Where a scanned row stands: path and block of its file, and its place among that block's rows."""
+    return F.struct(
+        F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("row"),
+    )
+
+
+def read_feeds(spark: SparkSession, manifest: Iterable[tuple[str, str, str, int]], multi_line: bool = False) -> DataFrame:
     """Union of feeds (path, source, content type, priority)."""
     return ds.union_all(read_feed(spark, p, s, t, k, multi_line=multi_line) for p, s, t, k in manifest)
 
@@ -109,8 +117,8 @@ def aggregated_rows(df: DataFrame) -> DataFrame:
     return df.withColumns({"label": F.lower("label")}).filter(F.col("label").isin(rules.POSITIVE, rules.NEGATIVE))
 
 
-def read_aggregated(spark: SparkSession, path: str) -> DataFrame:
-    return aggregated_rows(read_csv(spark, path, AGGREGATED_SCHEMA))
+def read_aggregated(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
+    return aggregated_rows(read_csv(spark, path, AGGREGATED_SCHEMA, multi_line))
 
 
 # ------------------------------------------------------------------ URL feeds
@@ -132,11 +140,14 @@ def head(df: DataFrame, order: str, n: int) -> DataFrame:
     return df.orderBy(order).limit(n)
 
 
-def read_phish_feed(spark: SparkSession, path: str, max_urls: int | None = None) -> DataFrame:
-    """(Gzipped) JSON array of phish rows; the head is taken before the verified filter."""
-    raw = spark.read.schema(PHISH_SCHEMA).option("multiLine", True).json(path)
+def read_phish_feed(spark: SparkSession, path: str, max_urls: int | None = None, lines: bool = False) -> DataFrame:
+    """(Gzipped) JSON array of phish rows; the head is taken before the verified filter.
+
+    An array is read by one task per file; ``lines`` reads one object per line instead.
+    """
+    raw = spark.read.schema(PHISH_SCHEMA).option("multiLine", not lines).json(path)
     if max_urls is not None:
-        raw = head(raw.withColumns({"__seq": F.monotonically_increasing_id()}), "__seq", max_urls).drop("__seq")
+        raw = head(raw.select("*", file_position().alias("__seq")), "__seq", max_urls).drop("__seq")
     return phish_records(raw)
 
 
@@ -158,22 +169,24 @@ def read_url_feed(spark: SparkSession, path: str) -> DataFrame:
     return feed_records(urls).withColumns({"download_time": F.current_timestamp()})
 
 
-def parse_ranked(lines: DataFrame, limit: int, order: str, value: str = "value") -> DataFrame:
-    """``rank,domain`` lines with rank <= limit; the first ``limit`` of them by ``order``."""
+def parse_ranked(lines: DataFrame, limit: int | None, order: str, value: str = "value") -> DataFrame:
+    """``rank,domain`` lines; with a ``limit`` those with rank <= limit, and the first ``limit`` of them by ``order``."""
     parts = F.split(tx.strip(F.col(value)), ",")
     rank = F.col("__p")[0]
     usable = lines.withColumns({"__p": parts}).filter(F.size("__p") >= 2).withColumns({
         "rank": F.when(tx.strip(rank).rlike(r"^[+-]?\d+$"), tx.strip(rank).try_cast("int")),
         "domain": tx.strip(F.col("__p")[1]),
-    }).filter(F.col("rank").isNotNull() & (F.col("rank") <= limit) & (F.col("domain") != ""))
-    return head(usable.drop("__p", value), order, limit).withColumns({
+    }).filter(F.col("rank").isNotNull() & (F.col("domain") != "")).drop("__p", value)
+    if limit is not None:
+        usable = head(usable.filter(F.col("rank") <= limit), order, limit)
+    return usable.withColumns({
         "url": F.concat(F.lit("https://"), F.col("domain")),
         "source": F.lit("tranco"), "label": F.lit(rules.NEGATIVE),
     })
 
 
-def read_ranked(spark: SparkSession, path: str, limit: int = 100_000) -> DataFrame:
-    lines = spark.read.text(path).withColumns({"__seq": F.monotonically_increasing_id()})
+def read_ranked(spark: SparkSession, path: str, limit: int | None = None) -> DataFrame:
+    lines = spark.read.text(path).select("*", file_position().alias("__seq"))
     return parse_ranked(lines, limit, "__seq").drop("__seq")
 
 

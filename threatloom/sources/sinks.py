@@ -31,12 +31,12 @@ def write_aggregated(records: DataFrame, path: str) -> None:
 def write_ingest_stats(records: DataFrame, feeds: DataFrame, path: str) -> None:
     """Per-source counts and the one-row summary as JSON."""
     ds.source_counts(records).write.json(f"{path}/sources")
-    ds.ingest_summary(feeds, records).write.json(f"{path}/summary")
+    ds.ingest_summary(feeds).write.json(f"{path}/summary")
 
 
-def write_splits(splits: DataFrame, path: str, fmt: str = "parquet") -> None:
+def write_splits(splits: DataFrame, path: str, fmt: str = "parquet", columns: tuple[str, ...] = AGGREGATED_FIELDS) -> None:
     """Partitioned by split, so reading one split prunes the others."""
-    writer = splits.select(*AGGREGATED_FIELDS, "split").write.partitionBy("split")
+    writer = splits.select(*columns, "split").write.partitionBy("split")
     (writer.option("header", True).option("escape", '"').csv(path) if fmt == "csv" else writer.parquet(path))
 
 
