@@ -13,19 +13,10 @@ from threatloom.operators import threats as th
 from threatloom.plans import fixtures as fx
 from threatloom.plans import sqltext as sq
 from threatloom.plans.fixtures import with_views
+from threatloom.plans.registry import registry
 from threatloom.session import spread, table
 
-QUERIES, ORACLES = {}, {}
-
-
-def query(sql: str | None = None):
-    def register(fn):
-        QUERIES[fn.__name__] = fn
-        if sql is not None:
-            ORACLES[fn.__name__] = sql
-        return fn
-
-    return register
+QUERIES, ORACLES, query = registry()
 
 
 def _det(select: str, view: str = "inbox") -> str:

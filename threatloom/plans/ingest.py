@@ -15,21 +15,12 @@ from threatloom.operators import spam as sp
 from threatloom.operators import threats as th
 from threatloom.plans import fixtures as fx
 from threatloom.plans.fixtures import with_views
+from threatloom.plans.registry import registry
 from threatloom.session import materialize, scratch_path, table
 from threatloom.sources import readers as rd
 from threatloom.sources import sinks as sk
 
-QUERIES, ORACLES = {}, {}
-
-
-def query(sql: str | None = None):
-    def register(fn):
-        QUERIES[fn.__name__] = fn
-        if sql is not None:
-            ORACLES[fn.__name__] = sql
-        return fn
-
-    return register
+QUERIES, ORACLES, query = registry()
 
 
 def one_line(c):
@@ -222,6 +213,76 @@ def snk_simple_projection(spark: SparkSession, folder: str) -> DataFrame:
     return rd.read_csv(spark, f"{path}/simple")
 
 
+@query(with_views(r"""SELECT label, regexp_replace(message, '\s+$', '') AS message FROM (SELECT CASE WHEN label = 'spam' THEN 1 ELSE 0 END AS label,
+  regexp_replace(text, '[\r\n\t]', ' ', 'g') AS message FROM feed)""", "feed"))
+def src_tsv_files(spark: SparkSession, folder: str) -> DataFrame:
+    """Tab-separated lines from text files."""
+    path = scratch_path(spark, "tsv")
+    fx.feed(spark, folder).select(F.concat("label", F.lit("\t"), one_line("text")).alias("value")).write.text(path)
+    return rd.read_tsv(spark, path).select("label", "message")
+
+
+@query(with_views(r"""SELECT trim(regexp_replace(text, '[\r\n\t]', ' ', 'g')) AS text, CASE WHEN label = 'spam' THEN 'smishing' ELSE 'legitimate' END AS label,
+  label AS original_label FROM feed WHERE label IN ('spam', 'ham')""", "feed"))
+def snk_sms_files(spark: SparkSession, folder: str) -> DataFrame:
+    """SMS lines from text files, written by the sink and read back."""
+    raw, path = scratch_path(spark, "sms"), scratch_path(spark, "sms-out")
+    fx.feed(spark, folder).select(F.concat("label", F.lit("\t"), one_line("text")).alias("value")).write.text(raw)
+    sk.write_sms(rd.read_sms(spark, raw), path)
+    return rd.read_csv(spark, f"{path}/full").select("text", "label", "original_label")
+
+
+@query(with_views("""SELECT DISTINCT url, regexp_extract(url, '^[^:/]+://([^/?#]*)', 1) AS domain, 'phishing' AS label
+  FROM urls WHERE url LIKE 'http%'""", "urls"))
+def snk_url_feed_files(spark: SparkSession, folder: str) -> DataFrame:
+    """URLs from text files, unique, written by the feed sink and read back."""
+    raw, path = scratch_path(spark, "urls"), scratch_path(spark, "urls-out")
+    fx.urls(spark, folder).select(F.concat(F.lit(" "), "url").alias("value")).write.text(raw)
+    sk.write_feed(rd.read_url_feed(spark, raw), path)
+    return rd.read_csv(spark, f"{path}/full").select("url", "domain", "label")
+
+
+@query(r"""SELECT page_id AS rank, regexp_extract(url, '://([^/]+)', 1) AS domain, 'legitimate' AS label FROM pages""")
+def snk_ranked_files(spark: SparkSession, folder: str) -> DataFrame:
+    """Ranked sites from text files, written by the sink and read back."""
+    raw, path = scratch_path(spark, "ranked"), scratch_path(spark, "ranked-out")
+    _ranked_lines(spark, folder).select("value").write.text(raw)
+    sk.write_ranked(rd.read_ranked(spark, raw), path)
+    return rd.read_csv(spark, f"{path}/full").select(F.col("rank").cast("bigint").alias("rank"), "domain", "label")
+
+
+@query(with_views("""SELECT url, phish_id, coalesce(target, '') AS target, 'phishing' AS label
+  FROM phish_feed WHERE verified = 'yes' AND url <> ''""", "phish_feed"))
+def src_json_array(spark: SparkSession, folder: str) -> DataFrame:
+    """Gzipped JSON arrays, one per partition of the feed."""
+    path = scratch_path(spark, "array")
+    rows = fx.phish_feed(spark, folder).drop("seq").select(F.to_json(F.struct("*")).alias("j"), F.spark_partition_id().alias("p"))
+    rows.groupBy("p").agg(F.concat(F.lit("["), F.array_join(F.collect_list("j"), ","), F.lit("]")).alias("value")).select(
+        "value", "p").write.partitionBy("p").option("compression", "gzip").text(path)  # one array per file
+    return rd.read_phish_feed(spark, path).select("url", "phish_id", "target", "label")
+
+
+@query(with_views("""SELECT (SELECT count(*) FROM records) AS total, (SELECT count(*) FROM seen WHERE stripped <> '') - (SELECT count(*) FROM firsts) AS duplicates_removed,
+  (SELECT count(DISTINCT source) + 1 FROM records) AS source_rows""", "records"))
+def snk_ingest_stats(spark: SparkSession, folder: str) -> DataFrame:
+    """Aggregation statistics as JSON files, read back."""
+    path = scratch_path(spark, "stats")
+    sk.write_ingest_stats(fx.records(spark, folder), fx.feed(spark, folder), path)
+    sources = spark.read.schema("source string").json(f"{path}/sources").agg(F.count("*").alias("source_rows"))
+    return spark.read.schema("total bigint, duplicates_removed bigint").json(f"{path}/summary").crossJoin(sources)  # one row each
+
+
+@query(with_views("""ranked AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY md5('42|' || key)) - 1 AS r,
+    count(*) OVER (PARTITION BY label) AS n FROM records)
+SELECT CASE WHEN r < trunc(n * 0.7::DOUBLE) THEN 'train' WHEN r < trunc(n * (0.7::DOUBLE + 0.15::DOUBLE)) THEN 'val'
+  ELSE 'test' END AS split, count(*) AS total FROM ranked GROUP BY ALL""", "records"))
+def snk_split_stats(spark: SparkSession, folder: str) -> DataFrame:
+    """Split statistics as JSON files, read back."""
+    path = scratch_path(spark, "stats")
+    sk.write_split_stats(ds.stratified_split(fx.records(spark, folder), "key"), path)
+    return spark.read.schema("split string, total bigint").json(f"{path}/splits")
+
+
 # ------------------------------------------------------------------ projections, filters
 @query(with_views("""SELECT seq, url, phish_id, phish_detail_url, submission_time, verified,
   coalesce(verification_time, '') AS verified_time, coalesce(online, 'no') AS online,

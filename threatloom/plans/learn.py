@@ -14,23 +14,14 @@ from threatloom.operators import spam as sp
 from threatloom.operators import terms as tm
 from threatloom.plans import fixtures as fx
 from threatloom.plans.fixtures import with_views
+from threatloom.plans.registry import registry
 from threatloom.plans import sqltext as sq
 from threatloom.plans.detect import FULL_SQL, flat_verdict
 from threatloom.plans.texts import CLEAN_SQL, STEMS_SQL, STOP_WORDS
 from threatloom.session import materialize, scratch_path
 from threatloom.sources import readers as rd
 
-QUERIES, ORACLES = {}, {}
-
-
-def query(sql: str | None = None):
-    def register(fn):
-        QUERIES[fn.__name__] = fn
-        if sql is not None:
-            ORACLES[fn.__name__] = sql
-        return fn
-
-    return register
+QUERIES, ORACLES, query = registry()
 
 
 # ------------------------------------------------------------------ terms
@@ -332,3 +323,22 @@ def top_feature_importance(spark: SparkSession, folder: str) -> DataFrame:
     parts = _phishing_parts(spark, folder)
     model = md.train_phishing(parts["train"], "key", _TRIAL_LR)
     return md.feature_importance(spark, model)
+
+
+@query()
+def ml_pipeline_dialogue(spark: SparkSession, folder: str) -> DataFrame:
+    """Classifier on dialogues alone (1-3-grams of stems, 5,000 terms)."""
+    talk = fx.dialogue_rows(spark, folder).select(F.col("talk_id").alias("key"), "dialogue", "label")
+    prepared = md.prepare_spam(talk, "dialogue", tm.DIALOGUE_SETTINGS, STOP_WORDS).select("key", "label", "terms")
+    split = materialize(ds.holdout_split(materialize(prepared, "dialogues"), "key"), "dialogue-split")
+    train, test = (split.filter(F.col("split") == n).drop("split") for n in ("train", "test"))
+    return md.evaluate(md.predict(md.train_spam(train, "key", tm.DIALOGUE_SETTINGS), test))
+
+
+@query()
+def ml_pipeline_single_file(spark: SparkSession, folder: str) -> DataFrame:
+    """Training from one file: the vectoriser is fitted on all rows before the split."""
+    parts = _phishing_parts(spark, folder)
+    every = ds.union_all(parts.values())
+    model = md.train_phishing(parts["train"], "key", md.Estimator("logistic_regression"), fit_vectorizer_on=every)
+    return md.evaluate(md.predict(model, parts["test"]))

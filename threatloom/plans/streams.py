@@ -11,21 +11,12 @@ from threatloom.plans import detect
 from threatloom.plans import fixtures as fx
 from threatloom.plans import sqltext as sq
 from threatloom.plans.fixtures import with_views
+from threatloom.plans.registry import registry
 from threatloom.session import scratch_path
 from threatloom.sources import readers as rd
 from threatloom.streaming import jobs
 
-QUERIES, ORACLES = {}, {}
-
-
-def query(sql: str | None = None):
-    def register(fn):
-        QUERIES[fn.__name__] = fn
-        if sql is not None:
-            ORACLES[fn.__name__] = sql
-        return fn
-
-    return register
+QUERIES, ORACLES, query = registry()
 
 
 def _landed(df: DataFrame, name: str, files_per_batch: int | None = 4) -> DataFrame:

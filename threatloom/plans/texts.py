@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from threatloom import rules
+from threatloom.functions import sql as fs
 from threatloom.functions import text as tx
 from threatloom.functions import url as ux
 from threatloom.operators import features as fe
@@ -14,19 +15,10 @@ from threatloom.operators import terms as tm
 from threatloom.plans import fixtures as fx
 from threatloom.plans import sqltext as sq
 from threatloom.plans.fixtures import with_views
+from threatloom.plans.registry import registry
 from threatloom.session import spread, table
 
-QUERIES, ORACLES = {}, {}
-
-
-def query(sql: str | None = None):
-    def register(fn):
-        QUERIES[fn.__name__] = fn
-        if sql is not None:
-            ORACLES[fn.__name__] = sql
-        return fn
-
-    return register
+QUERIES, ORACLES, query = registry()
 
 
 STOP_WORDS = ("the", "of", "and", "in", "on", "at", "to", "is", "are", "an", "by", "with", "was", "that", "your", "you")
@@ -145,6 +137,19 @@ def txt_norm_hash(spark: SparkSession, folder: str) -> DataFrame:
     return fx.documents(spark, folder).select("doc_id", tx.norm_hash(F.col("text")).alias("text_hash"))
 
 
+@query(r"""WITH c AS (SELECT page_id, n, ch, count(*)::DOUBLE AS k FROM (
+    SELECT page_id, length(url) AS n, unnest(string_split(lower(url), '')) AS ch FROM pages) GROUP BY ALL),
+e AS (SELECT page_id, round(-sum(k / n * log2(k / n)), 9) AS entropy FROM c GROUP BY page_id)
+SELECT page_id, md5(lower(trim(url))) AS text_hash, len(regexp_extract_all(url, '\S+'))::INT AS words, entropy,
+  regexp_replace(regexp_extract(url, '^[A-Za-z]+://([^/?#]*)', 1), ':.*$', '') AS host FROM pages JOIN e USING (page_id)""")
+def sql_functions(spark: SparkSession, folder: str) -> DataFrame:
+    """The functions that SQL users call, in a SQL query."""
+    fs.register(spark)
+    table(spark, folder, "pages").createOrReplaceTempView("threatloom_pages")
+    return spark.sql("""SELECT page_id, text_norm_hash(url) AS text_hash, text_word_count(url) AS words,
+        round(text_entropy(url), 9) AS entropy, url_host(url) AS host FROM threatloom_pages""")
+
+
 # ------------------------------------------------------------------ feature vectors and their parts
 _TEXT = sq.text_features()
 
