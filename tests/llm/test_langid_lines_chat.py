@@ -64,7 +64,7 @@ def test_code_lengths_follow_the_definition():
 
 def test_language_edges(spark):
     docs = spark.createDataFrame([(i, t, la, "x") for i, (t, la) in enumerate(
-        [("the cat sat on the mat", "en"), ("le chat est sur la table", "fr"), (None, "fr"), ("12 34 !!", "en"), ("", None), ("the the the", None),
+        [("the cat sat on the mat", "en"), ("le chat est sur la table", "fr"), (None, "fr"), ("12 ½ ² !!", "en"), ("", None), ("the the the", None),
          ("la table " * 200_000, "fr"), ("über", None)])] * 2, "doc_id bigint, text string, lang string, score string")
     got = langid.with_language(docs, langid.fit(docs), into=("pred", "p")).collect()
     assert [r["pred"] for r in got][:7] == ["en", "fr", "und", "und", "und", "en", "fr"] and got[7]["pred"] in ("en", "fr")

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import hashlib
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,7 +22,6 @@ MIN_CONTEXT = 4
 CHUNK = 1 << 17
 
 UNKNOWN = "und"
-_LETTER = re.compile(r"[^\W\d_]")
 #: ASCII letters and all bytes of other characters are symbols, anything else separates words.
 _TO_SPACE = bytes(i if i >= 128 or 97 <= i <= 122 else 32 for i in range(256))
 
@@ -31,7 +29,7 @@ _TO_SPACE = bytes(i if i >= 128 or 97 <= i <= 122 else 32 for i in range(256))
 def normalise(data: bytes) -> bytes:
     """Lower-case UTF-8 words with one space before each; empty if the text has no letter."""
     text = data.decode("utf-8", "replace")
-    if not _LETTER.search(text):
+    if not any(map(str.isalpha, text)):
         return b""
     return b" " * ORDER + b" ".join(text.lower().encode().translate(_TO_SPACE).split())
 
