@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from threatloom.llm.common import connected_components
@@ -117,7 +117,12 @@ def near_duplicates(vectors: DataFrame, key: str = "vec_id", embedding: str = "e
     cells = F.transform("p", lambda v: F.floor(v / eps))
     ordered = placed.withColumn("cells", cells).repartitionByRange(F.col("cells"), F.col("class")).sortWithinPartitions("cells", "class")
     ordered = materialize(ordered.withColumn("part", F.spark_partition_id()).withColumn("at", F.monotonically_increasing_id()), "grid-order")
-    slot = F.floor((F.col("at") - F.shiftleft(F.col("part").cast("bigint"), 33)) / block).cast("bigint")
+    # global sequence numbers: rows before a partition (one row per partition) and the place inside it
+    inside = F.col("at") - F.shiftleft(F.col("part").cast("bigint"), 33)
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = ordered.groupBy("part").count().select("part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("start"))
+    numbered = ordered.join(starts, "part").select(
+        F.floor((F.col("start") + inside) / block).cast("bigint").alias("slot"), "at", "class", "mult", "u", "p")
 
     def as_bytes(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held = None
@@ -140,8 +145,6 @@ def near_duplicates(vectors: DataFrame, key: str = "vec_id", embedding: str = "e
             "mults": [g["mult"].to_numpy(np.int64).tobytes()], "sizes": [size.tobytes()], "u": [u.tobytes()],
             "p": [p.tobytes()], "lo": [p.min(axis=0)], "hi": [p.max(axis=0)]})
 
-    numbered = ordered.select(F.shiftleft(F.col("part").cast("bigint"), 33).alias("base"), slot.alias("s"), "at", "class", "mult", "u", "p")
-    numbered = numbered.select((F.col("base") + F.col("s")).alias("slot"), "at", "class", "mult", "u", "p")
     packed = numbered.repartition("slot").sortWithinPartitions("slot", "at").drop("at").mapInPandas(
         as_bytes, "block bigint, n int, classes binary, mults binary, sizes binary, u binary, p binary, lo array<double>, hi array<double>")
     blocks = materialize(packed, "grid-blocks")
