@@ -1,7 +1,6 @@
 """Training pipelines on a separable fixture: exact weights, metric floors, persistence."""
 
 import pytest
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from threatloom.operators import dataset as ds
@@ -25,15 +24,19 @@ def parts(messages):
     return [materialize(rows.filter(F.col("split") == n).drop("split"), n) for n in ("train", "test")]
 
 
-def test_pipeline_vectors_equal_the_sql_weights(parts):
+def test_weights_equal_counted_ones_and_shuffle_nothing(parts):
     train = parts[0]
     vectorizer = md.fit_vectorizer(train, "msg_id", "terms", tm.SMS_SETTINGS)
-    vocabulary = vectorizer.stages[0].vocabulary
-    dense = vectorizer.transform(train).select("msg_id", F.posexplode(vector_to_array("tfidf"))).filter("col <> 0")
-    got = {(r["msg_id"], vocabulary[r["pos"]]): r["col"] for r in dense.collect()}
+    weights = tm.tfidf(vectorizer.transform(train), vectorizer.stages[0].vocabulary, "tfidf", "msg_id")
+    assert "Exchange" not in weights._jdf.queryExecution().executedPlan().toString()
+    got = {(r["msg_id"], r["term"]): r["weight"] for r in weights.collect()}
     counts = tm.term_counts(train, "msg_id")
     vocab = tm.vocabulary(tm.term_statistics(counts), train.count(), *tm.SMS_SETTINGS[:3])
-    want = {(r["msg_id"], r["term"]): r["weight"] for r in tm.tfidf(counts, vocab, "msg_id").collect()}
+    raw = {(r["msg_id"], r["term"]): r["tf"] * r["idf"] for r in counts.join(vocab.drop("tf", "df"), "term").collect()}
+    norm = {}
+    for (k, _), w in raw.items():
+        norm[k] = norm.get(k, 0.0) + w * w
+    want = {(k, t): w / norm[k] ** 0.5 for (k, t), w in raw.items()}
     assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in want)
 
 

@@ -46,7 +46,7 @@ def test_csv_sinks_round_trip(spark):
     records = spark.createDataFrame(
         [(text, "phishing", "s1", "sms"), ("b", "legitimate", "s2", None)], "text string, label string, source string, content_type string")
     sk.write_aggregated(records, f"{base}/aggregated")
-    assert rows(rd.read_aggregated(spark, f"{base}/aggregated"), "text", "label") == [("b", "legitimate"), (text, "phishing")]
+    assert rows(rd.read_aggregated(spark, f"{base}/aggregated", multi_line=True), "text", "label") == [("b", "legitimate"), (text, "phishing")]
     split = records.withColumns({"split": F.when(F.col("text") == "b", "test").otherwise("train")})
     sk.write_splits(split, f"{base}/splits", "csv")
     assert rows(rd.read_csv(spark, f"{base}/splits/split=train"), "text", "label") == [(text, "phishing")]

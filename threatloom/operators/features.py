@@ -15,6 +15,7 @@ from threatloom import rules
 from threatloom.functions import text as tx
 from threatloom.functions import url as ux
 
+# Names of the output columns
 TEXT_FEATURES = [
     "text_length", "word_count", "url_count", "email_count", "phone_count",
     "has_url", "has_email", "has_phone",

@@ -18,6 +18,8 @@ from threatloom.functions import text as tx
 from threatloom.functions import url as ux
 
 MAX_SUFFIXES = 50_000
+#: Tasks over which the rows without a key are spread in a lookup.
+NULL_SALTS = 64
 
 
 def load_suffixes(table: DataFrame, column: str = "suffix") -> tuple[str, ...]:
@@ -69,13 +71,19 @@ def split_hosts(df: DataFrame, host: str, suffixes: DataFrame) -> DataFrame:
 
 
 def flag_listed(df: DataFrame, key: Column, listed: DataFrame, column: str, name: str) -> DataFrame:
-    """Left join: append a boolean ``name`` telling whether the key is listed."""
-    marks = listed.select(F.col(column).alias("__k")).filter(F.col("__k").isNotNull()).distinct()
+    """Left join: append a boolean ``name`` telling whether the key is listed.
+
+    Rows without a key are spread by a salt of their other columns, so they
+    don't meet in one task.
+    """
+    marks = listed.select(F.col(column).alias("__k"), F.lit(0).alias("__zero")).filter(F.col("__k").isNotNull()).distinct()
+    simple = [F.col(c) for c, kind in df.dtypes if not kind.startswith(("map", "variant"))]
+    salt = F.when(key.isNull(), F.pmod(F.xxhash64(*simple), F.lit(NULL_SALTS)).cast("int")).otherwise(0) if simple else F.lit(0)
     return (
-        df.withColumns({"__probe": key})
-        .join(marks.withColumns({"__hit": F.lit(True)}), F.col("__probe") == F.col("__k"), "left")
+        df.withColumns({"__probe": key, "__salt": salt})
+        .join(marks.withColumns({"__hit": F.lit(True)}), (F.col("__probe") == F.col("__k")) & (F.col("__salt") == F.col("__zero")), "left")
         .withColumns({name: F.coalesce("__hit", F.lit(False))})
-        .drop("__probe", "__k", "__hit")
+        .drop("__probe", "__salt", "__k", "__zero", "__hit")
     )
 
 

@@ -201,6 +201,7 @@ def top_array_heads(spark: SparkSession, folder: str) -> DataFrame:
     return urls.unionByName(cats.select(F.lit("pattern").alias("kind"), "msg_id", F.explode("patterns").alias("item")))
 
 
+# Result sentences of the threat ensemble
 _THREAT_FULL = f""",
 ml AS (SELECT m.msg_id, m.text, CASE abs(m.msg_id) % 3 WHEN 0 THEN 'PHISHING' WHEN 1 THEN 'benign' END AS label,
   CASE WHEN abs(m.msg_id) % 30 <> 3 THEN (('0x' || substr(md5(m.msg_id::VARCHAR), 1, 8))::BIGINT % 100)::DOUBLE / 100 END AS mls FROM m),

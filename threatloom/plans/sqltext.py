@@ -12,6 +12,7 @@ from threatloom.plans.fixtures import DETECTOR_SUFFIXES, _q
 
 STRIP = r"regexp_replace({0}, '^\s+|\s+$', '', 'g')"
 ASCII = "regexp_replace({0}, '[À-ÿ]', 'x', 'g')"
+# Contact and URL patterns, as in functions.text
 URL = r"""https?://[^\s<>"{}|\\^`\[\]]+"""
 LOOSE_URL = r"http[s]?://(?:[a-zA-Z]|[0-9]|[$-_@.&+]|[!*\\(\\),]|(?:%[0-9a-fA-F][0-9a-fA-F]))+"
 EMAIL = r"[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}"
