@@ -49,7 +49,7 @@ def test_csv_sinks_round_trip(spark):
     assert rows(rd.read_aggregated(spark, f"{base}/aggregated", multi_line=True), "text", "label") == [("b", "legitimate"), (text, "phishing")]
     split = records.withColumns({"split": F.when(F.col("text") == "b", "test").otherwise("train")})
     sk.write_splits(split, f"{base}/splits", "csv")
-    assert rows(rd.read_csv(spark, f"{base}/splits/split=train"), "text", "label") == [(text, "phishing")]
+    assert rows(rd.read_csv(spark, f"{base}/splits/split=train", multi_line=True), "text", "label") == [(text, "phishing")]
     sk.write_split_stats(split, f"{base}/stats")
     stats = {r["split"]: r for r in spark.read.json(f"{base}/stats/splits").collect()}
     assert stats["train"]["phishing_pct"] == 100.0
