@@ -340,5 +340,5 @@ def ml_pipeline_single_file(spark: SparkSession, folder: str) -> DataFrame:
     """Training from one file: the vectoriser is fitted on all rows before the split."""
     parts = _phishing_parts(spark, folder)
     every = ds.union_all(parts.values())
-    model = md.train_phishing(parts["train"], "key", md.Estimator("logistic_regression"), fit_vectorizer_on=every)
+    model = md.train_phishing(parts["train"], "key", _TRIAL_LR, fit_vectorizer_on=every)
     return md.evaluate(md.predict(model, parts["test"]))
