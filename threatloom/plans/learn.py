@@ -59,16 +59,21 @@ weights AS (SELECT k, term, w / sqrt(sum(w * w) OVER (PARTITION BY k)) AS weight
 _SPAM_SQL = _processed_sql("msg_id") + ",\n" + _terms_sql("processed", "msg_id", 2)
 
 
-def _spam(spark: SparkSession, folder: str, settings=tm.SMS_SETTINGS) -> DataFrame:
-    """Messages with cleaned text (stop words dropped, stemmed) and terms, written once."""
+def _spam_terms(spark: SparkSession, folder: str, settings=tm.SMS_SETTINGS) -> DataFrame:
+    """Key, label and terms of the messages, stop words dropped and stemmed."""
     m = fx.messages(spark, folder).select("msg_id", "text", "label")
-    return materialize(md.prepare_spam(m, "text", settings, STOP_WORDS).select("msg_id", "label", "terms"), "spam")
+    return md.prepare_spam(m, "text", settings, STOP_WORDS).select("msg_id", "label", "terms")
+
+
+def _spam(spark: SparkSession, folder: str) -> DataFrame:
+    """The same, written once for several passes."""
+    return materialize(_spam_terms(spark, folder), "spam")
 
 
 @query(with_views(_SPAM_SQL + " SELECT term, tf, df FROM stats", "messages"))
 def agg_term_df_tf(spark: SparkSession, folder: str) -> DataFrame:
     """Corpus and document frequency of every 1-2-gram of stems."""
-    return tm.term_statistics(tm.term_counts(_spam(spark, folder), "msg_id"))
+    return tm.term_statistics(tm.term_counts(_spam_terms(spark, folder), "msg_id"))
 
 
 def _vocabulary(prepared: DataFrame, key: str, settings) -> DataFrame:
