@@ -90,3 +90,12 @@ def test_edges(spark):
     kept = simhash.drop_near_duplicates(docs)
     assert kept.columns == docs.columns and sorted(r["doc_id"] for r in kept.collect()) == [0, 3, 5, 6]
     assert simhash.near_duplicates(docs.limit(0)).count() == 0 and simhash.drop_near_duplicates(docs.limit(0)).count() == 0
+
+
+def test_survivors_are_rows_and_not_keys(spark):
+    a, b, c, d = ("".join(f"{w}{i} " for i in range(60)) for w in "abcd")
+    rows = [(None, a, 1), (None, b, 1), (None, b, 1), (7, c, 1), (7, d, 1), (7, d, 2), (9, c, 1), (None, d, 0), (None, None, 1), (3, a.upper(), 1)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, x int")
+    got = [tuple(r) for r in simhash.drop_near_duplicates(docs).collect()]
+    assert len(got) == 5 and {r[:2] for r in got} == {(3, a.upper()), (None, b), (7, c), (7, d), (None, None)}
+    assert sorted(got, key=str) == sorted((tuple(r) for r in simhash.drop_near_duplicates(docs.repartition(7)).collect()), key=str)

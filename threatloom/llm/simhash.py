@@ -8,7 +8,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from threatloom.llm.common import connected_components, unused
@@ -47,8 +47,8 @@ def _fingerprint(data: bytes, words: int) -> int:
     return value - (1 << 64) if value >> 63 else value
 
 
-def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = SHINGLE_WORDS) -> DataFrame:
-    """``key, fp``: the 64-bit SimHash of each row's whole text, as a signed BIGINT.
+def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = SHINGLE_WORDS, identity: bool = False) -> DataFrame:
+    """``key, fp``: the 64-bit SimHash of each row's whole text, as a signed BIGINT; with ``identity`` also ``ROW_ID``.
 
     Word shingles with repeats, XXH64 with seed 42; a bit is set if it is in over half of the hashes. Fewer words than a
     shingle are one shingle; NULL, empty and blank texts get 0. Rows are independent; no row is left out.
@@ -56,11 +56,43 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", words
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             values = [_fingerprint(x.as_py() or b"", words) for x in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(values, pa.int64())], names=["key", "fp"])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(values, pa.int64()), *batch.columns[2:]], names=["key", "fp", *batch.schema.names[2:]])
 
     kind = docs.schema[key].dataType.simpleString()
-    return docs.select(F.col(key).alias("key"), F.col(text).cast("binary").alias("text")).mapInArrow(
-        compute, f"key {kind}, fp bigint")
+    more = row_identity(docs, text) if identity else {}
+    return docs.select(F.col(key).alias("key"), F.col(text).cast("binary").alias("text"), *[c.alias(n) for n, c in more.items()]).mapInArrow(
+        compute, f"key {kind}, fp bigint" + (f", {ROW_ID}" if identity else ""))
+
+
+#: What tells rows with one key apart: their text's MD5, and a hash of all columns.
+ROW_ID = "digest string, whole bigint"
+
+
+def row_identity(docs: DataFrame, text: str) -> dict[str, Column]:
+    """The columns of ``ROW_ID``."""
+    return {"digest": F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary")), "whole": F.xxhash64(*docs.columns)}
+
+
+def survivors(docs: DataFrame, found: DataFrame, key: str, text: str) -> DataFrame:
+    """One row of ``docs`` for each component of ``found(key, digest, whole, component)``.
+
+    The first by key (NULL last), then by the text's MD5, then by the other columns. A component is a matter of the
+    text, so key and digest name rows of one component; only rows that equal the survivor in all columns are left, and
+    one of them stays. All steps are partially aggregated, and texts meet only where rows are equal.
+    """
+    rows = found.groupBy("component", "key", "digest", "whole").agg(F.count("*").alias("n"))
+    first = rows.groupBy("component").agg(F.min(F.struct(F.isnull("key").alias("none"), "key", "digest", "whole", "n")).alias("s"))
+    k, d, w, n = (unused(docs.columns, x) for x in ("stay_key", "stay_digest", "stay_whole", "stay_n"))
+    first = materialize(first.select(F.col("s.key").alias(k), F.col("s.digest").alias(d), F.col("s.whole").alias(w), F.col("s.n").alias(n)), "survivors")
+    own = row_identity(docs, text)
+
+    def rows_of(part: DataFrame) -> DataFrame:
+        return docs.join(part, docs[key].eqNullSafe(part[k]) & (own["digest"] == part[d]) & (own["whole"] == part[w]))
+
+    once = rows_of(first.where(F.col(n) == 1))
+    repeated = rows_of(first.where(F.col(n) > 1)).dropDuplicates([k, d, w])
+    return once.select(*docs.columns).union(repeated.select(*docs.columns))
 
 
 def _labels(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -209,26 +241,27 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
     repeated rows count each; an empty table gives no rows; other columns don't matter.
     """
     prints = materialize(fingerprints(docs, key, text, words), "fingerprints")
+    named = _component_keys(prints, max_bits)
+    return prints.join(named, prints["fp"] == named["p"]).select("key", "fp", "component")
+
+
+def _component_keys(prints: DataFrame, max_bits: int) -> DataFrame:
+    """``p, root, component`` of each fingerprint: its component's smallest fingerprint and smallest key."""
     distinct = materialize(prints.groupBy("fp").agg(F.min("key").alias("low")), "distinct-fingerprints")
     roots = connected_components(fingerprint_links(distinct.select("fp"), max_bits), "simhash")
     rooted = distinct.join(roots, distinct["fp"] == roots["node"], "left").select(
         "fp", "low", F.coalesce("root", "fp").alias("root"))
     lowest = rooted.groupBy("root").agg(F.min("low").alias("component"))
-    named = materialize(rooted.join(lowest, "root").select(F.col("fp").alias("p"), "component"), "simhash-components")
-    return prints.join(named, prints["fp"] == named["p"]).select("key", "fp", "component")
+    return materialize(rooted.join(lowest, "root").select(F.col("fp").alias("p"), "root", "component"), "simhash-components")
 
 
 def drop_near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = SHINGLE_WORDS,
                          max_bits: int = MAX_BITS) -> DataFrame:
-    """The rows of ``docs`` that stay: of each group of near-duplicates the one with the smallest key.
+    """The rows of ``docs`` that stay: one of each component, the first by key (NULL last) and text (``survivors``).
 
-    Keys must tell documents apart. Rows with a NULL key stay only if their group has no other row, and of several rows
-    with the key that stays the first in the order of their texts' MD5 does.
+    Keys need not tell documents apart: rows of different components never displace each other, whatever their keys.
     """
-    found = near_duplicates(docs, key, text, words, max_bits)
-    c = unused(docs.columns, "component")
-    keep = found.where(F.col("key").eqNullSafe(F.col("component"))).select(F.col("key").alias(c)).distinct()
-    rows = docs.join(keep, docs[key].eqNullSafe(keep[c]), "left_semi")
-    rank = unused(docs.columns, "rank")
-    first = Window.partitionBy(key).orderBy(F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary")))
-    return rows.withColumn(rank, F.row_number().over(first)).where(F.col(rank) == 1).drop(rank)
+    prints = materialize(fingerprints(docs, key, text, words, identity=True), "fingerprints")
+    named = _component_keys(prints, max_bits).select("p", "root")
+    found = prints.join(named, prints["fp"] == named["p"]).select("key", "digest", "whole", F.col("root").alias("component"))
+    return survivors(docs, found, key, text)
