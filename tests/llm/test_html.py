@@ -53,3 +53,21 @@ def test_long_pages_clashing_names_and_empty_table(spark):
     got = html.with_main_text(pages, n_chars="size").collect()
     assert [r["size"] for r in got] == [19 * 30_000 + 600_000, 19 * 30_000 + 600_000, 0] and got[0]["n_chars"] == "t"
     assert html.with_main_text(pages.limit(0), n_chars="size").count() == 0
+
+
+LONG, OTHER = ("".join(f"{w}{i} " for i in range(90)).strip() for w in "ab")
+
+
+@pytest.mark.parametrize("page", [
+    "<article class='post has-sidebar'>{}</article>", "<div class='overflow-hidden'><article>{}</article></div>",
+    "<div id='page' class='no-comments'><article>{}</article></div>", "<div class='widget'><article>{}</article></div>",
+    "<article class='widget'>{}</article>",
+])
+def test_names_round_the_article_drop_nothing(page):
+    assert html.main_text(page.format(f"<p>{LONG}</p><p>Short.</p>")) == f"{LONG}\n\nShort."
+
+
+@pytest.mark.parametrize("name", ["site-footer", "cookie-notice", "relatedPosts", "post_comments", "ad", "newsletter-signup"])
+def test_names_of_menus_and_comments_drop(name):
+    assert html.main_text(f"<article><p>Text.</p><div class='{name}'><p>{LONG}</p></div></article>") == "Text."
+    assert html.main_text(f"<div><p>{LONG}</p></div><div id='{name}'><article>c</article></div><article>Text.</article>") == "Text."

@@ -32,6 +32,13 @@ DROPPED_WORDS = frozenset(
     " breadcrumb breadcrumbs sidebar footer masthead topbar cookie cookies consent gdpr notice banner popup modal overlay"
     " newsletter subscribe signup login share sharing social related recommended recommendations comment comments disqus"
     " replies reply respond widget toolbar pagination pager skip hidden copyright disclaimer".split())
+#: Words that such a word may be combined with; a name with any other part (``has-sidebar``, ``no-comments``) marks nothing.
+JOINED_WORDS = frozenset(
+    "site page post posts article articles story entry content main global top bottom left right header head bar box list lists"
+    " item items link links container wrapper wrap inner outer block section area panel row column col button buttons form"
+    " message text title primary secondary mobile desktop slot unit".split())
+#: Elements that are kept or left out as a whole where no article is declared.
+CONTAINERS = frozenset("div section td th center".split())
 _NAMES = re.compile(r"[^A-Za-z]+|(?<=[a-z])(?=[A-Z])")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 _CLOSED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
@@ -39,21 +46,28 @@ _ENDS_P = BLOCKS - {"body", "html", "caption", "legend", "summary", "option", "o
 
 
 class _Lines(HTMLParser):
-    """Parser events to lines: ``[text, tags, link characters, region]`` for each block outside of dropped elements."""
+    """Parser events to lines: ``[parts, tags, region, container, heading]`` for each block outside of dropped elements.
+
+    A part is ``(text, link characters, mark)``; marks are elements whose names are those of menus, adverts and the like.
+    What becomes of them is decided at the end of the page.
+    """
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.lines: list[list] = []
-        self.parts: list[str] = []
-        self.open: list[tuple[str, bool, str]] = []  # element, whether dropped, region
-        self.tags = self.link_chars = self.links = 0
+        self.parts: list[tuple[str, int, int]] = []
+        self.open: list[tuple[str, bool, str, int, int]] = []  # element, whether dropped, region, mark, container
+        self.tags = self.links = 0
+        self.mark_parent, self.mark_region, self.mark_inside = [0], [False], [False]
+        self.container_parent = [0]
 
     def flush(self) -> None:
-        text = " ".join("".join(self.parts).split())
-        if text:
-            self.lines.append([text, max(1, self.tags), self.link_chars, self.open[-1][2] if self.open else ""])
+        if any(t and not t.isspace() for t, _, _ in self.parts):
+            top = self.open[-1] if self.open else ("", False, "", 0, 0)
+            heading = any(x[0] in ("h1", "h2") for x in self.open[-4:])
+            self.lines.append([list(self.parts), max(1, self.tags), top[2], top[4], heading])
         self.parts.clear()
-        self.tags = self.link_chars = 0
+        self.tags = 0
 
     def parse_marked_section(self, i: int, report: int = 1) -> int:
         return self.parse_bogus_comment(i)  # like browsers; the inherited form raises on unknown sections
@@ -69,38 +83,85 @@ class _Lines(HTMLParser):
         if tag in BLOCKS:
             self.flush()
         elif tag in SPACES:
-            self.parts.append(" ")
+            self.parts.append((" ", 0, self.open[-1][3] if self.open else 0))
         if tag in _ENDS_P:
             self.close_one({"p"})
         if tag in _CLOSED_BY:
             self.close_one(_CLOSED_BY[tag])
         if tag in VOID:
             return
-        region = self.open[-1][2] if self.open else ""
-        dropped = bool(self.open) and self.open[-1][1]
+        _, dropped, region, mark, container = self.open[-1] if self.open else ("", False, "", 0, 0)
         if not dropped:
-            dropped = tag in DROPPED or tag == "header" and not region or self.marked(tag, attrs)
+            dropped = tag in DROPPED or tag == "header" and not region or self.hidden(tag, attrs)
+        if not dropped and self.marked(tag, attrs):
+            self.mark_parent.append(mark)
+            self.mark_region.append(False)
+            self.mark_inside.append(bool(region))
+            mark = len(self.mark_parent) - 1
+        if tag in ("article", "main") and not dropped and not region:
+            self.mark_region[mark] = True
         if tag == "article" and not dropped:
             region = f"article{len(self.lines)}" if not region.startswith("article") else region
         elif tag == "main" and not region:
             region = "main"
+        if tag in CONTAINERS and not dropped:
+            self.container_parent.append(container)
+            container = len(self.container_parent) - 1
         self.links += tag == "a"
-        self.open.append((tag, dropped, region))
+        self.open.append((tag, dropped, region, mark, container))
 
     def marked(self, tag: str, attrs: list) -> bool:
-        """Whether the attributes drop an element; the page and its article can't be."""
+        """Whether a class or id is a word of menus, adverts and the like, or a known compound of it."""
+        if tag in ("html", "body", "main", "h1", "h2"):
+            return False
+        for name, value in attrs:
+            if name in ("class", "id"):
+                for token in (value or "").split():
+                    parts = [w.lower() for w in _NAMES.split(token) if w]
+                    if any(w in DROPPED_WORDS for w in parts) and all(w in DROPPED_WORDS or w in JOINED_WORDS for w in parts):
+                        return True
+        return False
+
+    def hidden(self, tag: str, attrs: list) -> bool:
+        """Whether role, style or the like drop an element; the page can't be."""
         if tag in ("html", "body", "main"):
             return False
         for name, value in attrs:
             value = value or ""
-            if name in ("class", "id") and tag not in ("h1", "h2") and any(w.lower() in DROPPED_WORDS for w in _NAMES.split(value)):
-                return True
             if name == "role" and value.strip().lower() in DROPPED_ROLES or name == "hidden":
                 return True
             if name == "aria-hidden" and value == "true" or name == "style" and _HIDDEN.search(value):
                 return True
         return False
 
+    def kept_lines(self) -> list[list]:
+        """``[text, tags, link characters, region, container, heading]`` without the marked elements that are dropped.
+
+        A marked element outside of articles stays if it holds over half of the page's text, or the only declared article.
+        """
+        n = len(self.mark_parent)
+        size = [0] * n
+        total, free = 0, False
+        for parts, _, region, _, _ in self.lines:
+            for text, _, mark in parts:
+                size[mark] += len(text)
+                total += len(text)
+                free = free or bool(region) and not mark and not text.isspace()
+        for m in range(n - 1, 0, -1):
+            size[self.mark_parent[m]] += size[m]
+            self.mark_region[self.mark_parent[m]] |= self.mark_region[m]
+        dead = [False] * n
+        for m in range(1, n):
+            wraps = not self.mark_inside[m] and (2 * size[m] > total or self.mark_region[m] and not free)
+            dead[m] = dead[self.mark_parent[m]] or not wraps
+        out = []
+        for parts, tags, *rest in self.lines:
+            live = [p for p in parts if not dead[p[2]]]
+            text = " ".join("".join(p[0] for p in live).split())
+            if text:
+                out.append([text, tags, sum(p[1] for p in live), *rest])
+        return out
+
     def close_one(self, tags: set[str]) -> None:
         """Closes the innermost of these elements, unless a list, table or section was opened in it."""
         for k in range(len(self.open) - 1, -1, -1):
@@ -123,9 +184,7 @@ class _Lines(HTMLParser):
     def handle_data(self, data: str) -> None:
         if self.open and self.open[-1][1]:
             return
-        self.parts.append(data)
-        if self.links:
-            self.link_chars += len(data.strip())
+        self.parts.append((data, len(data.strip()) if self.links else 0, self.open[-1][3] if self.open else 0))
 
 
 def _smooth(values: list[float], sigma: float) -> list[float]:
@@ -164,11 +223,11 @@ def main_text(html: str | None, sigma: float = SIGMA) -> str:
         parser.feed(html[at:at + CHUNK])
     parser.close()
     parser.flush()
-    lines = parser.lines
+    lines = parser.kept_lines()
     if not lines:
         return ""
     # text to tags: a link's text counts against a line like a tag
-    ratio = [math.log1p(max(0, len(text) - links) / tags) for text, tags, links, _ in lines]
+    ratio = [math.log1p(max(0, len(text) - links) / tags) for text, tags, links, *_ in lines]
     smooth = _smooth(ratio, sigma)
     cut = _threshold(smooth)
     regions: dict[str, list[int]] = {}
@@ -192,8 +251,8 @@ def with_main_text(pages: DataFrame, html: str = "html", text: str = "text", n_c
 
     The standard parser's events give lines (blocks); menus, forms, adverts, comments and the like are dropped by
     element, role and class. Each line's text-to-tag ratio is smoothed with a Gaussian over its neighbours, the values
-    are clustered into content and rest, and the regions with content are kept: declared articles whole, or else the
-    lines themselves. NULL and empty pages, and pages without text, give an empty text; repeated rows count each;
+    are clustered into content and rest, and the regions with content are kept whole: declared articles, or else the
+    containers of content. NULL and empty pages, and pages without text, give an empty text; repeated rows count each;
     other columns stay, the names of the new ones are arguments. Rows are independent: no shuffle.
     """
     @F.pandas_udf("string")
