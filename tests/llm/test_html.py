@@ -58,10 +58,21 @@ def test_long_pages_clashing_names_and_empty_table(spark):
 LONG, OTHER = ("".join(f"{w}{i} " for i in range(90)).strip() for w in "ab")
 
 
+@pytest.mark.parametrize("page, text", [
+    (f"<div><p>{LONG}</p><p>Short.</p></div>", [LONG, "Short."]),
+    (f"<div><h1>Title</h1><p>{LONG}</p><ul><li>x<li>y</ul><p>{OTHER}</p><p>End.</p></div>", ["Title", LONG, "x", "y", OTHER, "End."]),
+    (f"<div><a href=/>Home</a></div><div><h1>Title</h1></div><div><div><p>{LONG}</p></div><div><p>Short.</p></div><div><p>{OTHER}</p></div></div>",
+     ["Title", LONG, "Short.", OTHER]),
+    ("<p>One line.</p><p>And one more line.</p><p>Third.</p>", ["One line.", "And one more line.", "Third."]),
+])
+def test_undeclared_article_is_kept_whole(page, text):
+    assert html.main_text(page) == "\n\n".join(text)
+
+
 @pytest.mark.parametrize("page", [
     "<article class='post has-sidebar'>{}</article>", "<div class='overflow-hidden'><article>{}</article></div>",
     "<div id='page' class='no-comments'><article>{}</article></div>", "<div class='widget'><article>{}</article></div>",
-    "<article class='widget'>{}</article>",
+    "<div class='content-widget'><div>{}</div></div><div class='sidebar'>Other</div>", "<article class='widget'>{}</article>",
 ])
 def test_names_round_the_article_drop_nothing(page):
     assert html.main_text(page.format(f"<p>{LONG}</p><p>Short.</p>")) == f"{LONG}\n\nShort."

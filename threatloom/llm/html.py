@@ -214,6 +214,48 @@ def _threshold(values: list[float]) -> float:
         cut = new
 
 
+def _content(smooth: list[float], cut: float) -> list[bool]:
+    """Lines of the upper cluster; all of them where the two clusters are not apart."""
+    below, above = [v for v in smooth if v < cut], [v for v in smooth if v >= cut]
+    if below and 2 * len(above) * sum(below) >= len(below) * sum(above):
+        return [True] * len(smooth)
+    return [v >= cut for v in smooth]
+
+
+def _regions(lines: list[list], content: list[bool], parent: list[int]) -> list[int]:
+    """Lines of the containers that hold content, each kept whole; in them, containers of mostly links are left out.
+
+    Several containers with content make their common parent one. Links before the first and after the last other line
+    go; a title that stands directly before, with the lines up to the text, comes along.
+    """
+    links, size = [0] * len(parent), [0] * len(parent)
+    for text, _, link, _, at, _ in lines:
+        links[at] += link
+        size[at] += len(text)
+    mostly = [2 * a > b for a, b in zip(links, size)]
+    plain = [2 * line[2] <= len(line[0]) for line in lines]
+    chosen = {line[4] for line, c, p in zip(lines, content, plain) if c and p}
+    seen: dict[int, int] = {}
+    for at in chosen - {0}:
+        seen[parent[at]] = seen.get(parent[at], 0) + 1
+    chosen |= {p for p, n in seen.items() if n > 1}
+    inside = [c in chosen for c in range(len(parent))]
+    for c in range(1, len(parent)):
+        inside[c] = inside[c] or inside[parent[c]]
+    keep = [i for i, line in enumerate(lines) if inside[line[4]] and (plain[i] or not mostly[line[4]])]
+    while keep and not plain[keep[0]]:
+        keep.pop(0)
+    while keep and not plain[keep[-1]]:
+        keep.pop()
+    if keep:
+        first = keep[0]
+        while first and plain[first - 1]:
+            first -= 1
+        title = next((i for i in range(first, keep[0]) if lines[i][5]), keep[0])
+        keep = [*range(title, keep[0]), *keep]
+    return keep
+
+
 def main_text(html: str | None, sigma: float = SIGMA) -> str:
     """The article's blocks in page order, joined by blank lines."""
     if not html:
@@ -242,7 +284,7 @@ def main_text(html: str | None, sigma: float = SIGMA) -> str:
             keep = sorted(i for r in chosen for i in named[r])
             break
     else:
-        keep = [i for i in range(len(lines)) if smooth[i] >= cut and 2 * lines[i][2] <= len(lines[i][0])]
+        keep = _regions(lines, _content(smooth, cut), parser.container_parent)
     return "\n\n".join(lines[i][0] for i in keep)
 
 
