@@ -277,23 +277,18 @@ def ml_assembled_features(spark: SparkSession, folder: str) -> DataFrame:
     return front.transform(train).select("key", size.alias("size"), F.size(terms["indices"]).alias("n_terms"))
 
 
-# Fewer rounds than the defaults (200 rounds, 1,000 iterations): the queries show the pipelines
-_TRIAL = md.Estimator("boosted_trees", rounds=3, depth=4)
-_TRIAL_LR = md.Estimator("logistic_regression", iterations=30)
-
-
 @query()
 def ml_gbt(spark: SparkSession, folder: str) -> DataFrame:
     """Boosted trees on combined features and TF-IDF: metrics on the test split."""
     parts = _phishing_parts(spark, folder)
-    return md.evaluate(md.predict(md.train_phishing(parts["train"], "key", _TRIAL), parts["test"]))
+    return md.evaluate(md.predict(md.train_phishing(parts["train"], "key", md.Estimator("boosted_trees")), parts["test"]))
 
 
 @query()
 def ml_train_stats(spark: SparkSession, folder: str) -> DataFrame:
     """Training statistics: sample counts and validation metrics."""
     parts = _phishing_parts(spark, folder)
-    model = md.train_phishing(parts["train"], "key", md.Estimator("random_forest_bounded", trees=10, depth=8))
+    model = md.train_phishing(parts["train"], "key", md.Estimator("random_forest_bounded"))
     n = parts["train"].count()
     return md.evaluate(md.predict(model, parts["val"]), "val_samples").withColumns({
         "model_type": F.lit("random_forest"), "train_samples": F.lit(n)
@@ -304,7 +299,7 @@ def ml_train_stats(spark: SparkSession, folder: str) -> DataFrame:
 def ml_pipeline_splits(spark: SparkSession, folder: str) -> DataFrame:
     """Training from given splits: fit on train, metrics on val and test."""
     parts = _phishing_parts(spark, folder)
-    model = md.train_phishing(parts["train"], "key", _TRIAL_LR)
+    model = md.train_phishing(parts["train"], "key", md.Estimator("logistic_regression"))
     rows = [md.evaluate(md.predict(model, parts[n]), "samples").withColumns({"split": F.lit(n)}) for n in ("val", "test")]
     return ds.union_all(rows)
 
@@ -326,7 +321,7 @@ def ml_pipeline_unified(spark: SparkSession, folder: str) -> DataFrame:
 def top_feature_importance(spark: SparkSession, folder: str) -> DataFrame:
     """Top 20 features by absolute coefficient."""
     parts = _phishing_parts(spark, folder)
-    model = md.train_phishing(parts["train"], "key", _TRIAL_LR)
+    model = md.train_phishing(parts["train"], "key", md.Estimator("logistic_regression"))
     return md.feature_importance(spark, model)
 
 
@@ -345,5 +340,5 @@ def ml_pipeline_single_file(spark: SparkSession, folder: str) -> DataFrame:
     """Training from one file: the vectoriser is fitted on all rows before the split."""
     parts = _phishing_parts(spark, folder)
     every = ds.union_all(parts.values())
-    model = md.train_phishing(parts["train"], "key", _TRIAL_LR, fit_vectorizer_on=every)
+    model = md.train_phishing(parts["train"], "key", md.Estimator("logistic_regression"), fit_vectorizer_on=every)
     return md.evaluate(md.predict(model, parts["test"]))
