@@ -188,6 +188,25 @@ def _compare(max_bits: int):
     return links
 
 
+def deal(keyed: DataFrame, member: str, block: int) -> DataFrame:
+    """``keyed(shard, member, ...)`` with each shard of over ``block`` rows replaced by one shard per pair of its blocks."""
+    large = keyed.groupBy("shard").count().where(F.col("count") > block).select(
+        F.col("shard").alias("big"), F.ceil(F.col("count") / block).cast("int").alias("blocks"))
+    large = materialize(large, "large-shards")
+    if large.isEmpty():
+        return keyed
+    own = F.pmod(F.xxhash64(member), F.col("blocks")).cast("int")
+    return (
+        keyed.join(large, keyed["shard"] == large["big"], "left")
+        .withColumn("own", own)
+        .withColumn("other", F.explode(F.when(F.col("blocks").isNull(), F.array(F.lit(0))).otherwise(
+            F.sequence(F.lit(0), F.col("blocks") - 1))))
+        .withColumn("shard", F.when(F.col("blocks").isNull(), F.col("shard")).otherwise(
+            F.xxhash64("shard", F.least("own", "other"), F.greatest("own", "other"))))
+        .select(*keyed.columns)
+    )
+
+
 def fingerprint_links(distinct: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     """``(u, v)``: links between fingerprints of ``distinct(fp)`` that differ in at most ``max_bits`` bits.
 
@@ -212,22 +231,7 @@ def fingerprint_links(distinct: DataFrame, max_bits: int = MAX_BITS) -> DataFram
         trees.append(mask - (1 << 64) if mask >> 63 else mask)
     keyed = distinct.select("fp", F.posexplode(F.array(*[F.lit(m).cast("bigint") for m in trees])).alias("tree", "mask"))
     keyed = keyed.select("fp", F.xxhash64("tree", F.col("fp").bitwiseAND(F.col("mask"))).alias("shard"))
-    large = keyed.groupBy("shard").count().where(F.col("count") > BLOCK).select(
-        F.col("shard").alias("big"), F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks"))
-    large = materialize(large, "large-shards")
-    if large.isEmpty():
-        dealt = keyed
-    else:
-        own = F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")
-        dealt = (
-            keyed.join(large, keyed["shard"] == large["big"], "left")
-            .withColumn("own", own)
-            .withColumn("other", F.explode(F.when(F.col("blocks").isNull(), F.array(F.lit(0))).otherwise(
-                F.sequence(F.lit(0), F.col("blocks") - 1))))
-            .withColumn("shard", F.when(F.col("blocks").isNull(), F.col("shard")).otherwise(
-                F.xxhash64("shard", F.least("own", "other"), F.greatest("own", "other"))))
-            .select("fp", "shard")
-        )
+    dealt = deal(keyed, "fp", BLOCK)
     return dealt.select("shard", "fp").repartition("shard").sortWithinPartitions("shard").mapInArrow(
         _compare(max_bits), "u bigint, v bigint")
 
