@@ -1,4 +1,4 @@
-"""Near-duplicate search over SimHash fingerprints with vantage-point trees."""
+"""Near-duplicate search over SimHash fingerprints, blocked by bit segments."""
 
 from __future__ import annotations
 
