@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threatloom.llm import chat, embeddings, html, langid, lines, mixing, packing, pii, quality, simhash
+from threatloom.llm import chat, embeddings, html, infill, langid, lines, mixing, packing, pii, quality, resample, simhash
 from threatloom.session import table
 
 QUERIES, ORACLES = {}, {}
@@ -155,3 +155,59 @@ def op10_language(spark: SparkSession, folder: str) -> DataFrame:
     fold = F.crc32(F.col("doc_id").cast("string")) % 4
     model = langid.fit(docs.where(fold != 2))
     return langid.with_language(docs, model).select("doc_id", F.coalesce(fold == 2, F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
+#: CRC-32 of the distinct words by a table of 256 entries, built from the polynomial.
+RESAMPLE_SQL = r"""
+WITH RECURSIVE steps AS (SELECT i::BIGINT AS i, i::BIGINT AS c, 0 AS k FROM range(256) t(i) UNION ALL
+  SELECT i, CASE c & 1 WHEN 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, k + 1 FROM steps WHERE k < 8),
+crc AS (SELECT list(c ORDER BY i) AS t FROM steps WHERE k = 8),
+docs AS (SELECT row_number() OVER () AS r, doc_id,
+  regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\x{80}-\x{10FFFF}]+') AS w FROM documents),
+goal AS (SELECT unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\x{80}-\x{10FFFF}]+')) AS w FROM benchmark),
+each AS (SELECT r, unnest(w) AS w FROM docs),
+words AS (SELECT DISTINCT w FROM (SELECT w FROM each UNION ALL SELECT w FROM goal)),
+hashed AS (SELECT w, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(length(hex(w)) // 2), lambda i: ('0x' || substr(hex(w), 2 * i::BIGINT + 1, 2))::BIGINT)),
+  lambda c, x: xor(t[(xor(c, x) & 255) + 1], c >> 8)), 4294967295) % 10000 AS bucket FROM words, crc),
+s AS (SELECT bucket, count(*) AS s FROM each JOIN hashed USING (w) GROUP BY bucket),
+t AS (SELECT bucket, count(*) AS t FROM goal JOIN hashed USING (w) GROUP BY bucket),
+gain AS (SELECT bucket, floor(1000 * ln((coalesce(t, 0) + 1)::DOUBLE * ((SELECT coalesce(sum(s), 0) FROM s) + 10000)::DOUBLE
+  / ((s + 1)::DOUBLE * ((SELECT coalesce(sum(t), 0) FROM t) + 10000)::DOUBLE)))::BIGINT AS gain FROM s LEFT JOIN t USING (bucket)),
+weights AS (SELECT r, sum(gain)::BIGINT AS weight FROM each JOIN hashed USING (w) JOIN gain USING (bucket) GROUP BY r),
+scored AS (SELECT doc_id, coalesce(len(w), 0)::BIGINT AS n_features, coalesce(weight, 0) AS weight,
+  coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('2024:' || coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296)))::BIGINT AS score
+  FROM docs LEFT JOIN weights USING (r)),
+ranked AS (SELECT *, row_number() OVER (ORDER BY n_features >= 20 DESC, score DESC, doc_id) AS place, count(*) FILTER (n_features >= 20) OVER () AS n FROM scored)
+SELECT doc_id, n_features, weight, score, CASE WHEN n_features >= 20 AND place <= 10 * n // 100 THEN place END AS rank FROM ranked"""
+
+
+@query(RESAMPLE_SQL)
+def op12_importance_resampling(spark: SparkSession, folder: str) -> DataFrame:
+    """Importance weight, noisy score and draw of every document, towards the words of the benchmark."""
+    return resample.importance_resample(table(spark, folder, "documents"), table(spark, folder, "benchmark")).select(
+        F.col("key").alias("doc_id"), "n_features", "weight", "score", "rank")
+
+
+INFILL_SQL = r"""
+WITH hashed AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') AS u,
+    sha256('7:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents),
+drawn AS (SELECT *, len(u)::BIGINT AS n, ('0x' || substr(h, 1, 8))::BIGINT AS h1, ('0x' || substr(h, 9, 8))::BIGINT AS h2,
+    ('0x' || substr(h, 17, 8))::BIGINT AS h3, ('0x' || substr(h, 25, 8))::BIGINT AS h4 FROM hashed),
+cuts AS (SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+    CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h3 % 100 >= 100 THEN 'plain'
+      WHEN h4 % 100 < 50 THEN 'spm' ELSE 'psm' END AS form FROM drawn),
+parts AS (SELECT *, array_to_string(u[1:a], '') AS p, array_to_string(u[a + 1:b], '') AS m, array_to_string(u[b + 1:], '') AS s FROM cuts)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(p) END::BIGINT AS prefix_chars,
+  CASE WHEN form <> 'plain' THEN length(m) END::BIGINT AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m
+    ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256, sha256(text) AS restored_sha256 FROM parts"""
+
+
+@query(INFILL_SQL)
+def op13_fill_in_middle(spark: SparkSession, folder: str) -> DataFrame:
+    """Digest of every document's fill-in-the-middle form, and of the text rebuilt from it."""
+    made = infill.with_infill(table(spark, folder, "documents"))
+    output, form = F.col("infill.output"), F.col("infill.form")
+    return made.select(
+        "doc_id", "infill.n", "infill.form", "infill.prefix_chars", "infill.middle_chars",
+        F.sha2(output, 256).alias("output_sha256"), F.sha2(infill.restore(output, form), 256).alias("restored_sha256"))
