@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threatloom.llm import chat, embeddings, html, infill, langid, lines, mixing, packing, pii, quality, resample, simhash
+from threatloom.llm import chat, embeddings, html, infill, langid, licenses, lines, mixing, packing, pii, quality, resample, simhash
 from threatloom.session import table
 
 QUERIES, ORACLES = {}, {}
@@ -211,3 +211,58 @@ def op13_fill_in_middle(spark: SparkSession, folder: str) -> DataFrame:
     return made.select(
         "doc_id", "infill.n", "infill.form", "infill.prefix_chars", "infill.middle_chars",
         F.sha2(output, 256).alias("output_sha256"), F.sha2(infill.restore(output, form), 256).alias("restored_sha256"))
+
+
+def _values(rows: list[tuple]) -> str:
+    return ", ".join("(" + ", ".join(f"'{x}'" if isinstance(x, str) else str(x) for x in r) + ")" for r in rows)
+
+
+#: Words of notices and phrases as tables; the rest is joins and groups.
+LICENSE_SQL = rf"""
+WITH notices(t, label, words) AS (SELECT i, label, string_split(words, ' ') FROM
+    (VALUES {_values([(i, label, text) for i, (label, text, _) in enumerate(licenses.NOTICES)])}) v(i, label, words)),
+keys(t, phrase) AS (VALUES {_values([(i, k) for i, (_, _, keys) in enumerate(licenses.NOTICES) for k in keys])}),
+base(phrase, label) AS (VALUES {_values(list(licenses.BASE.items()))}),
+vocabulary(w) AS (VALUES {_values([(w,) for w in licenses.license_words()])}),
+docs AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\x{{80}}-\x{{10FFFF}}]+') AS words FROM documents),
+each AS (SELECT r, unnest(words) AS w, generate_subscripts(words, 1) - 1 AS p FROM docs),
+phrases AS (SELECT DISTINCT phrase, string_split(phrase, ' ') AS parts FROM (SELECT phrase FROM keys UNION ALL SELECT phrase FROM base)),
+places AS (SELECT e.r, e.p, phrase FROM each e JOIN phrases ON e.w = parts[1] JOIN docs d ON e.r = d.r WHERE d.words[p + 1:p + len(parts)] = parts),
+based AS (SELECT r, count(*) AS n_base, min(p) AS first_word, max(p) AS last_word, list(DISTINCT label) AS labels FROM places JOIN base USING (phrase) GROUP BY r),
+hits AS (SELECT r, w, p FROM each SEMI JOIN vocabulary USING (w)),
+frequent AS (SELECT w, count(DISTINCT r) AS df FROM hits GROUP BY w),
+idf AS (SELECT w, floor(1000 * ln(1 + (SELECT count(*) FROM docs) / (coalesce(df, 0) + 1)))::BIGINT AS idf FROM vocabulary LEFT JOIN frequent USING (w)),
+postings AS (SELECT t, unnest(words) AS w, generate_subscripts(words, 1) - 1 AS i FROM notices),
+listed AS (SELECT t, w, i, idf FROM postings JOIN idf USING (w)),
+heaviest AS (SELECT t, idf FROM (SELECT DISTINCT t, w, idf FROM listed)
+  QUALIFY row_number() OVER (PARTITION BY t ORDER BY idf DESC) <= {licenses.RARE_WORDS}),
+facts AS (SELECT t, sum(idf) AS weight FROM heaviest GROUP BY t),
+votes AS (SELECT r, t, w, idf, p - i AS o FROM hits JOIN listed USING (w)
+  QUALIFY dense_rank() OVER (PARTITION BY r, t ORDER BY idf DESC, w) <= {licenses.RARE_WORDS}),
+binned AS (SELECT DISTINCT r, t, w, idf, unnest([2 * floor(o / {2.0 * licenses.SLACK}), 2 * floor((o + {licenses.SLACK}) / {2.0 * licenses.SLACK}) + 1])::BIGINT AS bin FROM votes),
+aligned AS (SELECT r, t, bin, sum(idf) AS idf FROM binned GROUP BY r, t, bin),
+key_at AS (SELECT k.t, k.phrase, i FROM keys k JOIN phrases USING (phrase) JOIN notices n ON n.t = k.t,
+  unnest(range(len(n.words))) u(i) WHERE n.words[i + 1:i + len(parts)] = parts),
+key_bins AS (SELECT DISTINCT r, t, phrase, unnest([2 * floor((p - i) / {2.0 * licenses.SLACK}), 2 * floor((p - i + {licenses.SLACK}) / {2.0 * licenses.SLACK}) + 1])::BIGINT AS bin
+  FROM places JOIN key_at USING (phrase)),
+verified AS (SELECT r, t, bin FROM key_bins GROUP BY r, t, bin HAVING count(*) = (SELECT count(*) FROM keys WHERE keys.t = key_bins.t)),
+matched AS (SELECT r, list(DISTINCT label) AS labels, max(idf::DOUBLE / weight::DOUBLE) AS share FROM aligned JOIN verified USING (r, t, bin) JOIN facts USING (t)
+  JOIN notices USING (t) WHERE 100 * idf >= {licenses.MIN_SHARE} * weight GROUP BY r)
+SELECT doc_id, len(words)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word::BIGINT AS first_word, last_word::BIGINT AS last_word,
+  array_to_string(list_sort(coalesce(b.labels, [])), ',') AS base_labels,
+  array_to_string(list_sort(list_distinct(list_concat(coalesce(b.labels, []), coalesce(m.labels, [])))), ',') AS labels,
+  CASE WHEN n_base > 0 THEN 1.0::DOUBLE ELSE coalesce(share, 0)::DOUBLE END AS score
+FROM docs LEFT JOIN based b USING (r) LEFT JOIN matched m USING (r)"""
+
+
+@query(LICENSE_SQL)
+def op11_license_scan(spark: SparkSession, folder: str) -> DataFrame:
+    """Places of license phrases and labels of license notices of every document."""
+    found = licenses.scan_licenses(table(spark, folder, "documents"))
+    base = F.col("base")
+    return found.select(
+        F.col("key").alias("doc_id"), "n_words", F.size(base).cast("bigint").alias("n_base"),
+        F.array_min("base.p").cast("bigint").alias("first_word"), F.array_max("base.p").cast("bigint").alias("last_word"),
+        licenses.joined(F.col("base.label")).alias("base_labels"),
+        licenses.joined(F.concat("base.label", "matches.label")).alias("labels"), "score")
