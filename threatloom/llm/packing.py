@@ -3,15 +3,17 @@
 from __future__ import annotations
 
 import math
-import re
 import string
+import unicodedata
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from tokenizers.pre_tokenizers import ByteLevel
 
 from threatloom.session import materialize
 
@@ -19,88 +21,132 @@ CAPACITY = 4096
 END_ID = 1
 #: Words whose ids a worker remembers.
 CACHED_WORDS = 300_000
+#: Texts whose words are numbered together.
+TEXTS = 2_000
 #: Pieces of one length that one task ranks, on average.
 RANK_ROWS = 20_000
 PIECES = "key {key}, piece int, start bigint, length bigint, ids_crc32 bigint"
 
 #: Texts that only the tokenizer itself may split: its added tokens, and separators that Python alone takes for blanks.
-_WHOLE = re.compile(r"<\|startoftext\|>|<\|endoftext\|>|[\x1c-\x1f]")
+_WHOLE = r"<\|startoftext\|>|<\|endoftext\|>|[\x1c-\x1f]"
 #: What may follow a word's letters without changing how they are split: ASCII punctuation, contractions apart.
 _TAIL = string.punctuation.replace("'", "")
+_BYTES = ByteLevel(add_prefix_space=False, use_regex=False)
 #: The plan of bins is broadcast up to this many rows and joined by shuffles beyond.
 BROADCAST_ROWS = 100_000
 
 
+class _Letters(dict):
+    """Letters that never join what follows them, by code point, in the form that the vocabulary spells them.
+
+    A letter counts if the tokenizer itself splits it from a stop, and reads it in a word as the vocabulary's letters do;
+    others, for example those that normalisation takes apart into a letter and a mark, are blanks here.
+    """
+
+    def __init__(self, whole, parts) -> None:
+        self.whole, self.parts = whole, parts
+
+    def __missing__(self, code: int) -> str:
+        c = chr(code)
+        spelled = "".join(part for part, _ in _BYTES.pre_tokenize_str(c.lower()))
+        jamo = 0x1100 <= code <= 0x11FF or 0xA960 <= code <= 0xA97F or 0xD7B0 <= code <= 0xD7FF  # these join each other
+        safe = (
+            c.isalpha() and not jamo and unicodedata.is_normalized("NFC", c)
+            and self.whole(c + ",") == self.whole(c) + self.whole(",") and self.whole(f"a{c}a") == self.parts([f"a{spelled}a"])[0])
+        self[code] = spelled if safe else " "
+        return self[code]
+
+
 class WordIds:
     """Little-endian 32-bit ids of texts, looked up by blank-separated word.
 
-    The tokenizer never joins characters across white space, so a text's ids are its words' ids. Words end at a letter
-    and a tail of stops is looked up apart, which makes most words of a language repeat. A worker keeps a bounded
-    number of words and encodes the others each time.
+    The tokenizer never joins characters across white space, so a text's ids are its words' ids. A word of safe letters
+    (``_Letters``) and a tail of stops is split between the two, which makes most words of a language repeat; letters
+    are merged by the vocabulary alone, past normalisation and pattern. All other words go to the tokenizer whole. A
+    worker keeps a bounded number of words and encodes the others each time.
     """
 
     def __init__(self, path: str) -> None:
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.merges = Tokenizer(self.tokenizer.model)
+        self.merges.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
         self.ends[[i for word, i in vocabulary.items() if word.endswith("</w>")]] = True
+        self.by_word = bool(self.ends.any())
+        self.letters = _Letters(self.encode, self.merged)
         self.known: dict[str, bytes] = {}
         self.plain: dict[str, bytes] = {}
+        self.tails: dict[str, bytes] = {"": b""}
 
     def encode(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
+    def merged(self, cores: list[str]) -> list[bytes]:
+        """Ids of runs of letters, spelled as in the vocabulary: one call, cut after each word's last piece."""
+        ids = np.array(self.merges.encode_batch_fast([" ".join(cores)], add_special_tokens=False)[0].ids, dtype="<u4")
+        cuts = [0, *((np.flatnonzero(self.ends[ids]) + 1) * 4).tolist()]
+        if len(cuts) != len(cores) + 1:
+            return [np.array(self.merges.encode(c, add_special_tokens=False).ids, dtype="<u4").tobytes() for c in cores]
+        raw = ids.tobytes()
+        return [raw[a:b] for a, b in zip(cuts, cuts[1:])]
+
     def learn(self, words: list[str]) -> dict[str, bytes]:
-        """Ids of words that aren't known: single runs of letters in one call, any others one by one."""
-        parts: dict[str, tuple[str, str]] = {}
-        cores: dict[str, None] = {}
+        """Ids of words that aren't known."""
+        parts: list[tuple[str, str, str]] = []
+        whole: list[str] = []
         for word in words:
             core = word.rstrip(_TAIL)
             if core.isalpha():
-                parts[word] = core.lower() if core.isascii() else core, word[len(core):]
-                if parts[word][0] not in self.plain:
-                    cores[parts[word][0]] = None
-        found: dict[str, bytes] = {}
-        if cores:
-            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(cores)], add_special_tokens=False)[0].ids, dtype="<u4")
-            cuts = np.flatnonzero(self.ends[ids]) + 1
-            if len(cuts) == len(cores):
-                raw, at = ids.tobytes(), 0
-                for core, cut in zip(cores, (cuts * 4).tolist()):
-                    found[core] = raw[at:cut]
-                    at = cut
-            else:
-                found = {core: self.encode(core) for core in cores}
+                spelled = core.lower() if core.isascii() else core.translate(self.letters)
+                if " " not in spelled:
+                    parts.append((word, spelled, word[len(core):]))
+                    continue
+            whole.append(word)
+        cores = list({c for _, c, _ in parts if c not in self.plain})
+        found = dict(zip(cores, self.merged(cores))) if cores else {}
         out = {}
-        for word in words:
-            if word in parts:
-                core, tail = parts[word]
-                ids = found.get(core) or self.plain[core]
-                if tail:
-                    if tail not in self.known:
-                        self.known[tail] = self.encode(tail)
-                    ids += self.known[tail]
-                out[word] = ids
-            else:
-                out[word] = self.encode(word)
+        for word, core, tail in parts:
+            if tail not in self.tails and len(self.tails) < CACHED_WORDS:
+                self.tails[tail] = self.encode(tail)
+            ids = found.get(core) or self.plain[core]
+            out[word] = ids + (self.tails[tail] if tail in self.tails else self.encode(tail))
+        for word, ids in zip(whole, self.tokenizer.encode_batch_fast(whole, add_special_tokens=False)):
+            out[word] = np.array(ids.ids, dtype="<u4").tobytes()
         if len(self.plain) < CACHED_WORDS:
             self.plain.update(found)
-        if len(self.known) < CACHED_WORDS:
-            self.known.update(out)
         return out
 
-    def __call__(self, text: str) -> bytes:
-        if _WHOLE.search(text):
-            return self.encode(text)
-        words = text.split()
-        try:
-            return b"".join(map(self.known.__getitem__, words))
-        except KeyError:
-            new = self.learn([w for w in dict.fromkeys(words) if w not in self.known])
-            known = self.known
-            return b"".join([new[w] if w in new else known[w] for w in words])
+    def looked_up(self, words: list[str]) -> list[bytes]:
+        """Ids of distinct words."""
+        known, keep = self.known, len(self.known) < CACHED_WORDS
+        new = self.learn([w for w in words if w not in known])
+        known.update(new)
+        out = list(map(known.__getitem__, words))
+        if not keep:
+            for word in new:
+                del known[word]
+        return out
+
+    def __call__(self, texts: pa.Array) -> list[bytes]:
+        """Ids of every text. A batch's words are numbered by Arrow, only distinct ones are looked up, numpy gathers."""
+        texts = texts.fill_null("")
+        alone = pc.match_substring_regex(texts, _WHOLE) if self.by_word else pa.array(np.ones(len(texts), dtype=bool))
+        lists = pc.utf8_split_whitespace(pc.if_else(alone, "", texts))
+        numbered = lists.flatten().dictionary_encode()
+        ids = self.looked_up(numbered.dictionary.to_pylist())
+        flat, size = np.frombuffer(b"".join(ids), dtype="<u4"), np.fromiter(map(len, ids), dtype=np.int64, count=len(ids)) // 4
+        word = numbered.indices.to_numpy()
+        many = size[word]
+        end = np.cumsum(many)
+        flat = flat[np.repeat((np.cumsum(size) - size)[word] - (end - many), many) + np.arange(end[-1] if len(end) else 0)]
+        at = np.concatenate([[0], end])[np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy())])].tolist()
+        out = [flat[i:j].tobytes() for i, j in zip(at, at[1:])]
+        for i in np.flatnonzero(alone.to_numpy(zero_copy_only=False)).tolist():
+            out[i] = self.encode(texts[i].as_py())
+        return out
 
 
 _IDS: dict[str, WordIds] = {}
@@ -121,15 +167,16 @@ def tokenised_pieces(docs: DataFrame, tokenizer: str, key: str = "doc_id", text:
         ids = _IDS.get(tokenizer) or _IDS.setdefault(tokenizer, WordIds(tokenizer))
         for batch in batches:
             rows, piece, start, length, crc = [], [], [], [], []
-            for i, text in enumerate(batch.column(1)):
-                raw = ids(text.as_py() or "") + end
-                for k, at in enumerate(range(0, len(raw), step)):
-                    part = raw[at:at + step]
-                    rows.append(i)
-                    piece.append(k)
-                    start.append(at // 4)
-                    length.append(len(part) // 4)
-                    crc.append(zlib.crc32(part))
+            for first in range(0, batch.num_rows, TEXTS):
+                for i, raw in enumerate(ids(batch.column(1).slice(first, TEXTS)), first):
+                    raw += end
+                    for k, at in enumerate(range(0, len(raw), step)):
+                        part = raw[at:at + step]
+                        rows.append(i)
+                        piece.append(k)
+                        start.append(at // 4)
+                        length.append(len(part) // 4)
+                        crc.append(zlib.crc32(part))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).take(pa.array(rows, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()),
                  pa.array(length, pa.int64()), pa.array(crc, pa.int64())],
