@@ -14,7 +14,7 @@ from threatloom.plans.fixtures import with_views
 from threatloom.plans.registry import registry
 from threatloom.session import scratch_path
 from threatloom.sources import readers as rd
-from threatloom.streaming import jobs
+from threatloom.streaming import firstwins, jobs
 
 QUERIES, ORACLES, query = registry()
 
@@ -76,3 +76,18 @@ def str_blocklist_join(spark: SparkSession, folder: str) -> DataFrame:
     listed = rd.phish_records(fx.phish_feed(spark, folder)).select("url")
     flagged = jobs.block_list(_landed(fx.urls(spark, folder), "urls"), "url", listed)
     return _finish(flagged.select("url_id", "is_listed"), "flagged")
+
+
+@query(with_views("SELECT text, label, source, content_type FROM records", "records"))
+def str_first_wins(spark: SparkSession, folder: str) -> DataFrame:
+    """First-wins aggregation of feeds that arrive out of order over several micro-batches, rows of later feeds first."""
+    feed = fx.feed(spark, folder).select("text", "label", "source", "content_type", "order")
+    landing = scratch_path(spark, "arrivals")
+    late = F.col("order") % 5
+    feed.repartitionByRange(5, late.desc(), F.xxhash64("text")).write.parquet(landing)
+    arriving = jobs.stream_files(spark, landing, feed.schema, files_per_batch=2)
+    path, checkpoint = scratch_path(spark, "first-wins"), scratch_path(spark, "first-wins-checkpoint")
+    stream = firstwins.aggregate_stream(arriving)
+    firstwins.run(spark, stream, path, checkpoint)
+    delivered = spark.read.schema(stream.schema).option("recursiveFileLookup", True).parquet(path)
+    return firstwins.aggregated(delivered).select("text", "label", "source", "content_type")

@@ -17,6 +17,8 @@ from threatloom import rules
 from threatloom.functions import text as tx
 from threatloom.functions import url as ux
 from threatloom.operators import dataset as ds
+from threatloom.sources.jsonarray import read_json_arrays
+from threatloom.sources.multiline import read_multiline_csv
 
 PHISH_FIELDS = (
     "url", "phish_id", "phish_detail_url", "submission_time", "verified", "verification_time", "online", "target",
@@ -27,14 +29,17 @@ AGGREGATED_SCHEMA = T.StructType([T.StructField(n, T.StringType()) for n in AGGR
 BINARY_SCHEMA = "path string, modificationTime timestamp, length bigint, content binary"
 
 
-def read_csv(spark: SparkSession, path: str, schema: T.StructType | None = None, multi_line: bool = False) -> DataFrame:
-    """Header CSV, every field a string.
+def read_csv(spark: SparkSession, path: str, schema: T.StructType | None = None, multi_line: bool = False, at: str | None = None) -> DataFrame:
+    """Header CSV, every field a string; ``at`` names a column with the place of each row (``file_position``).
 
-    One record per line unless ``multi_line``: quoted line breaks make a file
-    unsplittable (one task per file), so write such feeds as many part files.
+    One record per line unless ``multi_line``: quoted line breaks are found by quote parity (``multiline``), a file is
+    still read by as many tasks as it has blocks.
     """
-    reader = spark.read.option("header", True).option("multiLine", multi_line).option("escape", '"').option("quote", '"')
-    return (reader.schema(schema) if schema is not None else reader.option("inferSchema", False)).csv(path)
+    if multi_line:
+        return read_multiline_csv(spark, path, schema, at)
+    reader = spark.read.option("header", True).option("escape", '"').option("quote", '"')
+    rows = (reader.schema(schema) if schema is not None else reader.option("inferSchema", False)).csv(path)
+    return rows if at is None else rows.select("*", file_position().alias(at))
 
 
 # ------------------------------------------------------------------ labelled text
@@ -91,8 +96,8 @@ def read_feed(spark: SparkSession, path: str, source: str, content_type: str, pr
     ``order`` is (priority, file, block, row): files by path, whatever way the
     scan packs them into tasks.
     """
-    raw = read_csv(spark, path, multi_line=multi_line)
-    rows = resolve_columns(raw, text_col, label_col, file_position())
+    raw = read_csv(spark, path, multi_line=multi_line, at="__at")
+    rows = resolve_columns(raw, text_col, label_col, F.col("__at"))
     return rows.select(
         "text", "label", F.lit(source).alias("source"), F.lit(content_type).alias("content_type"),
         F.struct(F.lit(priority).alias("priority"), "at.*").alias("order"),
@@ -143,12 +148,16 @@ def head(df: DataFrame, order: str, n: int) -> DataFrame:
 def read_phish_feed(spark: SparkSession, path: str, max_urls: int | None = None, lines: bool = False) -> DataFrame:
     """(Gzipped) JSON array of phish rows; the head is taken before the verified filter.
 
-    An array is read by one task per file; ``lines`` reads one object per line instead.
+    A task streams an array object by object (``jsonarray``); ``lines`` reads one object per line instead.
     """
-    raw = spark.read.schema(PHISH_SCHEMA).option("multiLine", not lines).json(path)
+    if lines:
+        raw = spark.read.schema(PHISH_SCHEMA).json(path).select("*", file_position().alias("__seq"))
+    else:
+        raw = read_json_arrays(spark, path, PHISH_FIELDS, ("__path", "__row"))
+        raw = raw.select(*PHISH_FIELDS, F.struct("__path", "__row").alias("__seq"))
     if max_urls is not None:
-        raw = head(raw.select("*", file_position().alias("__seq")), "__seq", max_urls).drop("__seq")
-    return phish_records(raw)
+        raw = head(raw, "__seq", max_urls)
+    return phish_records(raw.drop("__seq"))
 
 
 def parse_url_lines(lines: DataFrame, value: str = "value") -> DataFrame:
