@@ -7,7 +7,7 @@ import pytest
 from test_langid_lines_chat import clean
 from test_mixing_packing import check_bins, pieces, reshared, words
 from test_quality import plain
-from test_simhash import components, fingerprint
+from test_shingles import survivors
 
 import corpus_pipeline as cp
 from threatloom.llm import lines, quality
@@ -53,8 +53,7 @@ def test_line_stage(states):
 
 
 def test_near_dedup_stage_keeps_one_of_each_group(states):
-    low = components({r["doc_id"]: fingerprint(r["text"]) for r in states[2]}, 4)
-    assert sorted(r["doc_id"] for r in states[3]) == sorted(set(low.values()))
+    assert sorted(r["doc_id"] for r in states[3]) == survivors({r["doc_id"]: r["text"] for r in states[2]})
     before = by_id(states[2])
     assert all(before[r["doc_id"]] == r for r in states[3])
 
