@@ -82,3 +82,13 @@ def test_names_round_the_article_drop_nothing(page):
 def test_names_of_menus_and_comments_drop(name):
     assert html.main_text(f"<article><p>Text.</p><div class='{name}'><p>{LONG}</p></div></article>") == "Text."
     assert html.main_text(f"<div><p>{LONG}</p></div><div id='{name}'><article>c</article></div><article>Text.</article>") == "Text."
+
+
+def test_unfinished_markup_takes_linear_time():
+    import time
+
+    start = time.time()
+    for one in ("<a ", "<a href='", "<!--", "<a <a x='", "</p "):
+        assert html.main_text("<p>head text here</p>" + one * (1_000_000 // len(one))) == "head text here"
+    assert time.time() - start < 5
+    assert html.main_text("<p>one 3 < 4 two") == "one 3 < 4 two"

@@ -5,6 +5,7 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from threatloom.llm import pii
 
@@ -89,3 +90,20 @@ def test_empty_table_and_repeated_rows(spark):
     assert pii.find_personal_data(empty).count() == 0
     twice = spark.createDataFrame([(None, "a@b.co")] * 2, "doc_id bigint, text string")
     assert [r["n_email"] for r in pii.find_personal_data(twice).collect()] == [1, 1]
+
+
+def test_offsets_over_many_blocks_and_time_of_a_long_text(spark, monkeypatch):
+    import time
+
+    monkeypatch.setattr(pii, "SPAN_BLOCK", 3)
+    texts = ["é a1b22c333 " * n for n in range(0, 9)] + ["7", "", None, "x"]
+    frame = spark.createDataFrame([(t,) for t in texts], "text string")
+    for r in frame.select("text", pii.spans(F.col("text"), "[0-9]+").alias("s")).collect():
+        want = None if r["text"] is None else [(m.start(), m.end(), m[0]) for m in re.finditer("[0-9]+", r["text"])]
+        assert (None if r["s"] is None else [tuple(x) for x in r["s"]]) == want
+    monkeypatch.undo()
+    long = "".join(f"u{i}@mail.example.com " for i in range(40_000))
+    start = time.time()
+    found = spark.createDataFrame([(long,)], "text string").select(pii.spans(F.col("text"), pii.EMAIL).alias("s")).first()["s"]
+    assert len(found) == 40_000 and found[-1]["e"] == len(long) - 1
+    assert time.time() - start < 20

@@ -40,6 +40,7 @@ JOINED_WORDS = frozenset(
 #: Elements that are kept or left out as a whole where no article is declared.
 CONTAINERS = frozenset("div section td th center".split())
 _NAMES = re.compile(r"[^A-Za-z]+|(?<=[a-z])(?=[A-Z])")
+_TAG_START = re.compile(r"<[A-Za-z/!?]")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 _CLOSED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 _ENDS_P = BLOCKS - {"body", "html", "caption", "legend", "summary", "option", "optgroup", "tbody", "thead", "tfoot", "tr"}
@@ -260,6 +261,10 @@ def main_text(html: str | None, sigma: float = SIGMA) -> str:
     """The article's blocks in page order, joined by blank lines."""
     if not html:
         return ""
+    # a tag that the page's end cuts off is no text, as in browsers; searched once, since the parser would start anew at each <
+    last = html.rfind(">") + 1
+    cut_off = _TAG_START.search(html, last)
+    html = html[:cut_off.start()] if cut_off else html
     parser = _Lines()
     for at in range(0, len(html), CHUNK):
         parser.feed(html[at:at + CHUNK])

@@ -42,21 +42,42 @@ DOMAINS = r"(?i)\.(?:com|org|net|edu|gov|info|io|co|uk|de|fr|es|it|nl|eu|ch|at|b
 CONTEXT_FOR = r"(?i)\b(?:tel|t[eé]l[eé]fono|t[eé]l[eé]phone|telefon|phone|call|mobile|cell|fax|card|visa|mastercard|credit|kart[e]?|carte|tarjeta|mail|e-mail|email|correo|contact|write|reach)\b"
 CONTEXT_AGAINST = r"(?i)\b(?:isbn|issn|order|invoice|serial|version|ref|item|sku|part|doi|id)\b"
 
+#: Matches of a text whose offsets are summed up together.
+SPAN_BLOCK = 128
+
 LABELERS = ("pattern", "gazetteer", "context", "boundary")
 
 
 def spans(text: Column, pattern: str) -> Column:
-    """``array<struct<s, e, m>>``: code-point offsets and texts of all matches, leftmost and non-overlapping."""
+    """``array<struct<s, e, m>>``: code-point offsets and texts of all matches, leftmost and non-overlapping.
+
+    Offsets are running sums of gaps and matches. They are taken in blocks, first over the blocks' lengths and then within
+    each block, so that appending to an array never copies more than a block.
+    """
     found, gaps = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.transform(F.split(text, pattern, -1), F.length)
-    empty = F.array().cast("array<struct<s:int,e:int,m:string>>")
-    return F.aggregate(
-        F.arrays_zip(found.alias("m"), gaps.alias("g")),
-        F.struct(F.lit(0).alias("at"), empty.alias("out")),
-        # the last gap has no match
-        lambda acc, x: F.when(x["m"].isNull(), acc).otherwise(F.struct(
-            (acc["at"] + x["g"] + F.length(x["m"])).alias("at"),
-            F.concat(acc["out"], F.array(F.struct((acc["at"] + x["g"]).alias("s"), (acc["at"] + x["g"] + F.length(x["m"])).alias("e"), x["m"].alias("m")))).alias("out"))),
-        lambda acc: acc["out"])
+    empty, starts = F.array().cast("array<struct<s:int,e:int,m:string>>"), F.array().cast("array<int>")
+    # the last gap has no match
+    once = F.array(F.struct(F.arrays_zip(found.alias("m"), gaps.alias("g")).alias("items")))  # a name, so that it is made once
+    return F.flatten(F.transform(once, lambda x: _placed(x["items"], empty, starts)))
+
+
+def _placed(items: Column, empty: Column, starts: Column) -> Column:
+    last = F.floor((F.size(items) - 1) / SPAN_BLOCK).cast("int")
+    blocks = F.transform(F.sequence(F.lit(0), last), lambda k: F.slice(items, k * SPAN_BLOCK + 1, F.lit(SPAN_BLOCK)))
+    sized = F.transform(blocks, lambda x: F.struct(x.alias("x"), F.aggregate(x, F.lit(0), lambda n, y: n + y["g"] + F.coalesce(F.length(y["m"]), F.lit(0))).alias("n")))
+    placed = F.aggregate(
+        sized, F.struct(F.lit(0).alias("at"), starts.alias("out")),
+        lambda acc, x: F.struct((acc["at"] + x["n"]).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")), lambda acc: acc["out"])
+
+    def within(block: Column) -> Column:
+        return F.aggregate(
+            block["x"]["x"], F.struct(block["at"].alias("at"), empty.alias("out")),
+            lambda acc, x: F.when(x["m"].isNull(), acc).otherwise(F.struct(
+                (acc["at"] + x["g"] + F.length(x["m"])).alias("at"),
+                F.concat(acc["out"], F.array(F.struct((acc["at"] + x["g"]).alias("s"), (acc["at"] + x["g"] + F.length(x["m"])).alias("e"), x["m"].alias("m")))).alias("out"))),
+            lambda acc: acc["out"])
+
+    return F.flatten(F.transform(F.arrays_zip(sized.alias("x"), placed.alias("at")), within))
 
 
 def digits(c: Column) -> Column:
