@@ -1,5 +1,6 @@
 """Hand-computed cases for text functions, features and the rule guards."""
 
+import random
 import re
 import unicodedata
 
@@ -135,6 +136,23 @@ def test_scan_form_equals_pattern(spark, rule):
 ])
 def test_stems(spark, word, stem):
     assert tm.stem_vocabulary(spark.createDataFrame([(word,)], "word string")).first()["stem"] == stem
+    assert tm.stem(word) == stem
+
+
+def test_stems_of_generated_words_agree(spark):
+    """The word-wise form equals the SQL steps on random words, half of them with the tables' suffixes."""
+    rnd = random.Random(7)
+    ends = ["", *[a for a, _ in tm.STEP2 + tm.STEP3], *tm.STEP4, "s", "ies", "ied", "eed", "ed", "ing", "e", "ll", "logi", "y", "sses"]
+    words = {"".join(rnd.choices("aeiouybcdlstzwx", k=rnd.randint(0, 6))) + rnd.choice(ends) for _ in range(20000)}
+    rows = tm.stem_vocabulary(spark.createDataFrame([(w,) for w in sorted(words)], "word string")).collect()
+    assert [(r["word"], r["stem"]) for r in rows if tm.stem(r["word"]) != r["stem"]] == []
+
+
+def test_stem_texts_is_row_local(spark):
+    df = spark.createDataFrame([("running  cats",), ("a",)], "t string")
+    plan = tm.stem_texts(df, "t", "s")._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Generate" not in plan and "ArrowEvalPython" in plan
+    assert [r["s"] for r in tm.stem_texts(df, "t", "s").collect()] == ["run  cat", "a"]
 
 
 def test_stem_texts(spark):

@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 import math
+import re
+from functools import lru_cache
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from threatloom.functions import text as tx
-from threatloom.session import materialize
 
 # Vectoriser settings, (max terms, min df, max df share, longest n-gram)
 SMS_SETTINGS = (3000, 2, 0.8, 2)
@@ -195,17 +199,73 @@ def stem_vocabulary(words: DataFrame, column: str = "word") -> DataFrame:
     return stems.withColumnRenamed("w", "stem")
 
 
+def _stem_rules() -> list[tuple[re.Pattern, re.Pattern | None, str]]:
+    """Suffix rules of one word as (suffix, whole-word pattern, replacement), in the order of the tables."""
+    def rows(table, measure):
+        return [(re.compile(f"{old}$"), re.compile(f"^(.*{measure}.*){old}$"), rf"\g<1>{new}") for old, new in table]
+
+    step4 = [(re.compile(f"{x}$"), re.compile(f"^(.*{_M1}.*){'(?<=[st])' if x == 'ion' else ''}{x}$"), r"\g<1>") for x in STEP4]
+    return [rows(STEP2, _M0), rows(STEP3, _M0), step4]
+
+
+_RULES = _stem_rules()
+_CVC = f"{_C}{_V}[^aeiouywxY]"
+
+
+@lru_cache(maxsize=1 << 17)
+def stem(word: str) -> str:
+    """Stem of one lower-case word, by the same tables as ``stem_steps``."""
+    if word in IRREGULAR or len(word) <= 2:
+        return IRREGULAR.get(word, word)
+    w = re.sub("yy", "yY", re.sub("([aeiou])y", r"\1Y", re.sub("^y", "Y", word)))
+    if w.endswith("ies"):
+        w = w[:-1] if len(w) == 4 else w[:-2]
+    elif w.endswith("s") and not w.endswith("ss"):
+        w = w[:-2] if w.endswith("sses") else w[:-1]
+    bare = None
+    if w.endswith("ied"):
+        w = w[:-1] if len(w) == 4 else w[:-2]
+    elif w.endswith("eed"):
+        w = re.sub(f"^(.*{_M0}.*)eed$", r"\1ee", w)
+    elif re.search(f"{_V}.*ed$", w):
+        bare = w[:-2]
+    elif re.search(f"{_V}.*ing$", w):
+        bare = w[:-3]
+    if bare is not None:
+        double = len(bare) > 1 and bare[-1].lower() == bare[-2].lower() and re.search(f"{_C}$", bare)
+        short = re.search(_M0, bare) and not re.search(_M1, bare) and re.search(f"{_CVC}$|^{_V}{_C}$", bare)
+        if bare.endswith(("at", "bl", "iz")) or (short and not double):
+            bare += "e"
+        elif double and bare[-1] not in "lsz":
+            bare = bare[:-1]
+        w = bare
+    w = re.sub(f"^(.+{_C})y$", r"\1i", w)
+    w = re.sub(f"^(.*{_M0}.*)alli$", r"\1al", w)
+    for at, rules in enumerate(_RULES):
+        hit = next(((whole, new) for suffix, whole, new in rules if suffix.search(w)), None)
+        if hit:
+            w = hit[0].sub(hit[1], w)
+        elif at == 0 and w.endswith("logi"):
+            w = re.sub(f"^(.*{_M0}.*)ogi$", r"\1og", w)
+    if w.endswith("e") and (re.search(f"{_M1}.*e$", w) or (re.search(f"{_M0}.*e$", w) and not re.search(f"{_CVC}e$|^{_V}{_C}e$", w))):
+        w = w[:-1]
+    return re.sub(f"^(.*{_M1}.*)l$", r"\1", w).lower() if w.endswith("ll") else w.lower()
+
+
+@F.arrow_udf(T.StringType())
+def _stemmed(texts: pa.Array) -> pa.Array:
+    words = pc.split_pattern(texts, " ")
+    coded = words.flatten().dictionary_encode()
+    stems = pa.array([stem(w) for w in coded.dictionary.to_pylist()], pa.string()).take(coded.indices)
+    size = pc.fill_null(pc.list_value_length(words), 0)
+    offsets = pa.concat_arrays([pa.array([0], pa.int32()), pc.cumulative_sum(size).cast(pa.int32())])
+    return pc.binary_join(pa.ListArray.from_arrays(offsets, stems, mask=texts.is_null()), " ")
+
+
 def stem_texts(df: DataFrame, cleaned: str, out: str = "processed") -> DataFrame:
-    """Replace every word of a cleaned text by its stem.
+    """Replace every word of a cleaned text by its stem; NULL stays NULL, rows need no key.
 
-    The distinct words' stems are written as a table; the tokens of a text meet it in an equi-join on the word (hot
-    words are split by adaptive execution: the stem side is unique) and are put in order again within their row.
-    Rows need no key: they are numbered in a written table.
+    Row-local: nothing shuffles and nothing is written. An Arrow batch is cut into words and coded as a dictionary, so
+    that only its distinct words are stemmed, and only those that the worker's bounded cache does not hold.
     """
-    rows = materialize(df.withColumns({"__row": F.monotonically_increasing_id()}), "stem-rows")
-    tokens = rows.select("__row", F.posexplode(F.split(cleaned, " ")).alias("__at", "__word"))
-    stems = materialize(stem_vocabulary(tokens, "__word"), "stems")
-    placed = tokens.join(stems, F.col("__word") == F.col("word")).groupBy("__row").agg(
-        F.array_sort(F.collect_list(F.struct("__at", "stem"))).alias("__s"))
-    texts = placed.select("__row", F.array_join("__s.stem", " ").alias("__text"))
-    return rows.join(texts, "__row", "left").withColumns({out: F.coalesce("__text", F.col(cleaned))}).drop("__row", "__text")
+    return df.withColumns({out: _stemmed(F.col(cleaned))})
