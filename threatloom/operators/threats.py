@@ -178,7 +178,16 @@ def with_byte_entropy(df: DataFrame, content: str) -> DataFrame:
 
 
 def with_file_scan(files: DataFrame, known_hashes: DataFrame, path: str = "path", content: str = "content") -> DataFrame:
-    """Append file_hash, risk_score, is_malware and scan_result to a table of files.
+    """Append file_hash, risk_score, is_malware and scan_result to a table of files, one row each.
+
+    Files too large for a row are scanned by ``sources.fileblocks.scan_files``.
+    """
+    scored = with_byte_entropy(files, content).withColumns({"file_hash": F.sha2(F.col(content), 256)})
+    return with_file_verdict(scored.drop(content), known_hashes, path)
+
+
+def with_file_verdict(scored: DataFrame, known_hashes: DataFrame, path: str = "path") -> DataFrame:
+    """Append risk_score, is_malware and scan_result to files with a file_hash and byte_entropy.
 
     ``known_hashes`` has one column ``sha256``; it is joined on the hash, so it
     may be of any size (Spark broadcasts it when it is small).  Repeated hashes
@@ -186,7 +195,6 @@ def with_file_scan(files: DataFrame, known_hashes: DataFrame, path: str = "path"
     distinct, so each file row meets at most one partner, and skewed hashes
     are split by adaptive execution.
     """
-    scored = with_byte_entropy(files, content).withColumns({"file_hash": F.sha2(F.col(content), 256)})
     known = known_hashes.select(F.col("sha256").alias("file_hash")).distinct().withColumns({"__known": F.lit(True)})
     extension = tx.any_of(F.col(path).endswith(x) for x in rules.SUSPICIOUS_EXTENSIONS)
     risk = F.least(F.lit(1.0), tx.total([
@@ -195,7 +203,7 @@ def with_file_scan(files: DataFrame, known_hashes: DataFrame, path: str = "path"
     ]))
     bad = F.coalesce("__known", F.lit(False)) | (F.col("risk_score") > rules.MALICIOUS_ABOVE)
     return (
-        scored.drop(content).join(known, "file_hash", "left")
+        scored.join(known, "file_hash", "left")
         .withColumns({"risk_score": risk})
         .withColumns({
             "is_malware": bad,

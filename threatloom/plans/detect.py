@@ -14,7 +14,8 @@ from threatloom.plans import fixtures as fx
 from threatloom.plans import sqltext as sq
 from threatloom.plans.fixtures import with_views
 from threatloom.plans.registry import registry
-from threatloom.session import spread, table
+from threatloom.session import scratch_path, spread, table
+from threatloom.sources import fileblocks as fb
 
 QUERIES, ORACLES, query = registry()
 
@@ -273,3 +274,16 @@ def det_file_scan(spark: SparkSession, folder: str) -> DataFrame:
     return out.select(
         "doc_id", "path", "file_hash", F.round("byte_entropy", 9).alias("byte_entropy"), "is_malware", "risk_score", "scan_result"
     )
+
+
+@query("""WITH b AS (SELECT source, unnest(regexp_extract_all(hex(encode(coalesce(text, ''))) || '0A', '..')) AS b FROM documents),
+c AS (SELECT source, b, count(*) AS n FROM b GROUP BY source, b)
+SELECT source, sum(n)::BIGINT AS bytes, round(log2(sum(n)) - sum(n * log2(n)) / sum(n), 9) AS byte_entropy FROM c GROUP BY source""")
+def agg_file_block_entropy(spark: SparkSession, folder: str) -> DataFrame:
+    """Byte entropy of each source's files, written for the purpose: read by byte ranges, histograms merged per source."""
+    path = scratch_path(spark, "source-files")
+    table(spark, folder, "documents").select("source", "text").write.partitionBy("source").text(path)
+    name = F.regexp_extract("path", "/source=([^/]*)/", 1)
+    counts = fb.byte_counts(fb.file_blocks(fb.list_files(spark, path), 1 << 18))
+    of_source = counts.select(F.when(name != "__HIVE_DEFAULT_PARTITION__", name).alias("source"), "byte", "n")
+    return fb.entropy(of_source, "source").withColumns({"byte_entropy": F.round("byte_entropy", 9)})

@@ -119,11 +119,15 @@ def _text(value: object) -> str | None:
     return json.dumps(value, ensure_ascii=False, separators=(",", ":"))
 
 
-def _open(path: str) -> BinaryIO:
+def locate(path: str) -> tuple[fs.FileSystem, str]:
+    """Arrow's file system of a path as Spark lists it, and the path in it."""
     if path.startswith("file:") or "://" not in path:
-        files, inner = fs.LocalFileSystem(), path.removeprefix("file://").removeprefix("file:")
-    else:
-        files, inner = fs.FileSystem.from_uri(quote(path, safe=":/?=&@"))
+        return fs.LocalFileSystem(), path.removeprefix("file://").removeprefix("file:")
+    return fs.FileSystem.from_uri(quote(path, safe=":/?=&@"))
+
+
+def _open(path: str) -> BinaryIO:
+    files, inner = locate(path)
     raw = files.open_input_stream(inner, compression=None)
     return gzip.GzipFile(fileobj=raw) if inner.endswith(".gz") else raw
 
