@@ -1,6 +1,7 @@
 """Languages on held-out documents, lines by a loop, tool calls by hand."""
 
 import json
+import random
 import zlib
 from collections import Counter
 
@@ -136,6 +137,31 @@ def test_topological_levels(spark):
     assert linked(spark, [], []) == {}
 
 
+def longest_chains(links):
+    """Levels by repeated relaxation; NULL for what a cycle keeps waiting."""
+    level, left = {}, dict(links)
+    while ready := [n for n, before in left.items() if all(b in level for b in before)]:
+        level.update({n: max((level[b] + 1 for b in left[n]), default=0) for n in ready})
+        left = {n: b for n, b in left.items() if n not in level}
+    return {n: level.get(n) for n in links}
+
+
+def test_topological_levels_against_brute_force(spark):
+    rnd, calls, low = random.Random(5), [], {}
+    shapes = [(40, 1, True), (30, 2, True), (25, 3, False), (60, 1, False), (12, 12, True)]
+    for conv, (n, fan, forward) in enumerate(shapes):
+        links = {f"n{i}": sorted({f"n{rnd.randrange(i if forward and i else n)}" for _ in range(rnd.randint(0, fan))} if i else set()) for i in range(n)}
+        low.update({(conv, k): v for k, v in longest_chains(links).items()})
+        calls += [(conv, rnd.randrange(99), 0, k, "f", "{}", [*before, *before[:1], "unknown"]) for k, before in links.items()]
+    chain = {f"c{i}": [f"c{i - 1}"] if i else [] for i in range(300)} | {"loop": ["loop"], "behind": ["loop"], "both": ["c299", "behind"]}
+    low.update({(9, k): v for k, v in longest_chains(chain).items()})
+    calls += [(9, 1, 0, k, "f", "{}", before) for k, before in chain.items()]
+    calls += [(None, 1, 0, "n1", "f", "{}", ["n0"]), (0, 1, 0, None, "f", "{}", ["n0"]), calls[3]]
+    rows = chat.topological_levels(spark.createDataFrame(calls, chat.CALLS)).collect()
+    assert len(rows) == len(low) and {(r["conv"], r["id"]): r["level"] for r in rows} == low
+    assert low[9, "c299"] == 299 and low[9, "both"] is None and any(low[2, f"n{i}"] is None for i in range(25))
+
+
 def test_parsing_messages(spark):
     text = json.dumps({"tool_calls": [{"id": "a", "name": "f", "arguments": '{"x":1}', "after": []}, {"id": "b", "name": "g", "arguments": "{}"}]})
     rows = [(1, 1, "assistant", text), (1, 2, "tool", '{"tool_call_id": "a", "content": "5"}'), (1, 3, "assistant", '{"tool_calls": oops'), (1, 4, "tool", "?"), (1, 5, None, None)]

@@ -127,24 +127,48 @@ def check_arguments(arguments: str | None, schema: str | None) -> tuple[str | No
 def topological_levels(calls: DataFrame) -> DataFrame:
     """``conv, id, level``: longest chain of ``after`` links before a call; NULL in or behind a cycle. One row per id.
 
-    For conversations in which some link points forward in turns; others need no levels. Rounds of joins, one per level
-    of the longest chain; each removes the calls whose predecessors are all placed.
+    Chains go by pointer jumping: a call with one predecessor points to it, and each round doubles how far it points,
+    until it reaches an end, a call with none or several. Rounds follow the logarithm of the longest chain; a round that
+    brings nobody to an end leaves only calls in or behind cycles. Calls with several predecessors are then placed over
+    the shortened links between ends, one round per level of such calls. Links to unknown calls don't count, repeated
+    ones count once, NULL conversations and ids give no rows.
     """
-    nodes = calls.where("id is not null").select("conv", "id").distinct()
+    key = ["conv", "id"]
+    nodes = calls.where("conv is not null and id is not null").select(*key).distinct()
     links = calls.select("conv", "id", F.explode("after").alias("before")).distinct()
-    links = links.join(nodes.withColumnRenamed("id", "before"), ["conv", "before"], "left_semi")
-    nodes, links = materialize(nodes, "calls"), materialize(links, "call-links")
-    placed, level = None, 0
-    while True:
-        waiting = links.select("conv", "id").distinct()
-        ready = materialize(nodes.join(waiting, ["conv", "id"], "left_anti").select("conv", "id", F.lit(level).alias("level")), "call-level")
+    links = materialize(links.join(nodes.withColumnRenamed("id", "before"), ["conv", "before"], "left_semi").select(*key, "before"), "call-links")
+    degree = links.groupBy(*key).agg(F.count("*").alias("k"), F.min("before").alias("before"))
+    one = F.coalesce(F.col("k") == 1, F.lit(False))
+    chains = materialize(nodes.join(degree, key, "left").select(
+        *key, F.when(one, F.col("before")).otherwise(F.col("id")).alias("up"), one.cast("bigint").alias("steps"), (~one).alias("ends"),
+        (F.coalesce("k", F.lit(0)) > 1).alias("several")), "call-chains")
+    waiting = chains.where("not ends").count()
+    while waiting:
+        to = chains.select("conv", F.col("id").alias("up"), F.col("up").alias("next"), F.col("steps").alias("more"), F.col("ends").alias("arrived"))
+        jumped = chains.where("not ends").join(to, ["conv", "up"]).select(
+            *key, F.col("next").alias("up"), (F.col("steps") + F.col("more")).alias("steps"), F.col("arrived").alias("ends"), "several")
+        chains = materialize(chains.where("ends").unionByName(jumped), "call-chains")
+        still = chains.where("not ends").count()
+        if still == waiting:
+            break
+        waiting = still
+    ends = chains.where("ends and steps = 0")
+    placed = ends.where("not several").select(*key, F.lit(0).cast("bigint").alias("level"))
+    short = links.join(ends.where("several").select(*key), key, "left_semi").join(
+        chains.select("conv", F.col("id").alias("before"), F.col("up"), (F.col("steps") + 1).alias("plus"), "ends"), ["conv", "before"])
+    short = materialize(short.select(*key, F.when(F.col("ends"), F.col("up")).alias("up"), "plus"), "call-links")
+    while not short.isEmpty():
+        level = placed.select("conv", F.col("id").alias("up"), "level")
+        known = short.join(level, ["conv", "up"], "left").groupBy(*key).agg(
+            F.max(F.col("level") + F.col("plus")).alias("level"), F.bool_and(F.col("level").isNotNull()).alias("ready"))
+        ready = materialize(known.where("ready").select(*key, "level"), "call-levels")
         if ready.isEmpty():
-            rest = nodes.select("conv", "id", F.lit(None).cast("int").alias("level"))
-            return rest if placed is None else placed.union(rest)
-        placed = ready if placed is None else placed.union(ready)
-        nodes = materialize(nodes.join(ready, ["conv", "id"], "left_anti"), "calls")
-        links = materialize(links.join(ready.withColumnRenamed("id", "before"), ["conv", "before"], "left_anti"), "call-links")
-        level += 1
+            break
+        placed = materialize(placed.unionByName(ready), "call-levels")
+        short = materialize(short.join(ready, key, "left_anti"), "call-links")
+    at = placed.select("conv", F.col("id").alias("up"), "level")
+    reached = F.when(F.col("ends"), F.col("level") + F.col("steps")).cast("int").alias("level")
+    return chains.join(at, ["conv", "up"], "left").select(*key, reached)
 
 
 def link_calls(calls: DataFrame, results: DataFrame, schemas: DataFrame) -> DataFrame:
@@ -164,14 +188,9 @@ def link_calls(calls: DataFrame, results: DataFrame, schemas: DataFrame) -> Data
     first_call = calls.where("id is not null").groupBy("conv", "id").agg(F.min(F.struct("turn", "seq")).alias("at"))
     first_result = results.where("id is not null").groupBy("conv", "id").agg(F.min(F.struct("turn", "seq")).alias("at"))
     pair = first_call.withColumnRenamed("at", "call_at").join(first_result.withColumnRenamed("at", "result_at"), ["conv", "id"], "full")
-    pair = materialize(pair, "call-pairs")
-    links = calls.select("conv", "turn", F.explode("after").alias("id"))
-    forward = links.join(pair.where("call_at is not null").select("conv", "id", "call_at.turn").withColumnRenamed("turn", "t"), ["conv", "id"])
-    forward = materialize(forward.where("t >= turn").select("conv").distinct(), "forward-conversations")
-    if forward.isEmpty():
-        levels = None
-    else:
-        levels = topological_levels(calls.join(forward, "conv", "left_semi"))
+    levels = topological_levels(calls).withColumn("placed", F.lit(True))
+    level = F.when(F.col("placed"), F.col("level")).otherwise(0).alias("level")
+    pair = materialize(pair.join(levels, ["conv", "id"], "left").select("conv", "id", "call_at", "result_at", level), "call-pairs")
 
     def placed(rows: DataFrame, own: str, other: str, missing: str) -> DataFrame:
         at = F.struct("turn", "seq")
@@ -179,11 +198,8 @@ def link_calls(calls: DataFrame, results: DataFrame, schemas: DataFrame) -> Data
         status = (
             F.when(F.col("conv").isNull() | F.col("id").isNull(), "unnamed").when(at != F.col(own), "repeated")
             .when(F.col(other).isNull(), missing).when(F.col("result_at.turn") < F.col("call_at.turn"), "early").otherwise("linked"))
-        rows = rows.withColumn("status", status)
-        if levels is None:
-            return rows.withColumn("level", F.lit(0))
-        rows = rows.join(levels, ["conv", "id"], "left").join(forward.withColumn("f", F.lit(True)), "conv", "left")
-        return rows.withColumn("level", F.when(F.col("f"), F.col("level")).otherwise(0))
+        known = F.col("call_at").isNotNull() | F.col("result_at").isNotNull()
+        return rows.withColumns({"status": status, "level": F.when(known, F.col("level")).otherwise(0)})
 
     by_name = schemas.select(F.col("name").alias("schema_name"), "schema")
     if by_name.count() <= BROADCAST_SCHEMAS:

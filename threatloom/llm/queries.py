@@ -127,17 +127,20 @@ TURN_SCHEMAS = [
 ]
 
 CHAT_SQL = r"""
-WITH calls AS (SELECT conv_id AS conv, turn, conv_id || '-' || turn AS id, text,
+WITH RECURSIVE calls AS (SELECT conv_id AS conv, turn, conv_id || '-' || turn AS id, text,
     CASE role WHEN 'system' THEN 'configure' ELSE 'reply' END AS name FROM conversations WHERE role IN ('user', 'system')),
-results AS (SELECT conv_id AS conv, turn, conv_id || '-' || (turn - 1) AS id, text FROM conversations WHERE role = 'assistant')
+results AS (SELECT conv_id AS conv, turn, conv_id || '-' || (turn - 1) AS id, text FROM conversations WHERE role = 'assistant'),
+chains AS (SELECT DISTINCT conv, turn, 0 AS level FROM calls
+  UNION SELECT c.conv, c.turn, level + 1 FROM chains l JOIN calls c ON c.conv = l.conv AND c.turn = l.turn + 2 AND c.turn >= 2 AND c.name = 'reply'),
+levels AS (SELECT conv || '-' || turn AS call, max(level) AS level FROM chains GROUP BY ALL)
 SELECT conv, turn, 0 AS seq, 'call' AS kind, id,
-  CASE WHEN id IN (SELECT id FROM results) THEN 'linked' ELSE 'unanswered' END AS status, 0 AS level,
+  CASE WHEN id IN (SELECT id FROM results) THEN 'linked' ELSE 'unanswered' END AS status, level,
   CASE WHEN name = 'configure' THEN CASE WHEN turn > 0 THEN '$.turn: out of range' END
     WHEN text IS NULL THEN '$.text: not string' WHEN text = '' THEN '$.text: length' WHEN turn < 0 THEN '$.turn: out of range' END AS error,
   '{"arguments":{"text":' || coalesce(to_json(text)::VARCHAR, 'null') || ',"turn":' || turn || '},"id":"' || id || '","name":"' || name || '"}' AS json
-FROM calls UNION ALL
-SELECT conv, turn, 0, 'result', id, CASE WHEN id IN (SELECT id FROM calls) THEN 'linked' ELSE 'orphan' END, 0, NULL,
-  '{"content":' || coalesce(to_json(text)::VARCHAR, 'null') || ',"id":"' || id || '"}' FROM results"""
+FROM calls LEFT JOIN levels ON call = id UNION ALL
+SELECT conv, turn, 0, 'result', id, CASE WHEN id IN (SELECT id FROM calls) THEN 'linked' ELSE 'orphan' END, coalesce(level, 0), NULL,
+  '{"content":' || coalesce(to_json(text)::VARCHAR, 'null') || ',"id":"' || id || '"}' FROM results LEFT JOIN levels ON call = id"""
 
 
 @query(CHAT_SQL)
