@@ -132,7 +132,7 @@ def test_topological_levels(spark):
     calls = [(1, 1, 0, "a", "f", "{}", []), (1, 2, 0, "b", "f", "{}", ["a"]), (2, 1, 0, "c", "f", "{}", ["d", "e"]), (2, 2, 0, "d", "f", "{}", ["e"]), (2, 3, 0, "e", "f", "{}", ["none"]),
              (3, 1, 0, "x", "f", "{}", ["y"]), (3, 2, 0, "y", "f", "{}", ["x"]), (3, 3, 0, "z", "f", "{}", ["y"]), (3, 4, 0, "w", "f", "{}", [])]
     got = linked(spark, calls, [(2, 4, 0, "c", "r")])
-    assert {r["id"]: r["level"] for k, r in got.items() if k[3] == "call"} == {"a": 0, "b": 0, "c": 2, "d": 1, "e": 0, "x": None, "y": None, "z": None, "w": 0}
+    assert {r["id"]: r["level"] for k, r in got.items() if k[3] == "call"} == {"a": 0, "b": 1, "c": 2, "d": 1, "e": 0, "x": None, "y": None, "z": None, "w": 0}
     assert got[2, 4, 0, "result"]["level"] == 2
     assert linked(spark, [], []) == {}
 
