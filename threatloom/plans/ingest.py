@@ -9,6 +9,7 @@ from threatloom import rules
 from threatloom.functions import text as tx
 from threatloom.functions import url as ux
 from threatloom.operators import dataset as ds
+from threatloom.operators import incremental as inc
 from threatloom.operators import lookups as lk
 from threatloom.operators import metrics as mt
 from threatloom.operators import spam as sp
@@ -481,6 +482,34 @@ def win_first_wins_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return fx.records(spark, folder)
 
 
+def _in_batches(spark: SparkSession, folder: str) -> tuple[str, list[inc.Ingested]]:
+    """The feed ingested in three batches, by source priority: 0, then 1 and 2, then 3."""
+    path, rows = scratch_path(spark, "aggregate"), fx.feed(spark, folder)
+    priority = F.shiftright("order", 56)
+    parts = (priority == 0, priority.isin(1, 2), priority == 3)
+    return path, [inc.ingest_batch(spark, path, rows.where(p), i) for i, p in enumerate(parts)]
+
+
+@query(with_views("SELECT key, text, label, source, content_type FROM records", "records"))
+def win_incremental_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """Three batches merged into an aggregate, each against the earlier ones: the records of the one-step union."""
+    path, _ = _in_batches(spark, folder)
+    return inc.aggregate(spark, path).select(F.col("order").alias("key"), "text", "label", "source", "content_type")
+
+
+@query(with_views(f"""SELECT CASE priority WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END AS batch, sum(n)::BIGINT AS rows_seen,
+  sum(first)::BIGINT AS fresh, sum(CASE WHEN first = 1 AND label = 'phishing' THEN 1 ELSE 0 END)::BIGINT AS phishing,
+  sum(CASE WHEN first = 1 AND label = 'legitimate' THEN 1 ELSE 0 END)::BIGINT AS legitimate
+  FROM (SELECT s.ord // 72057594037927936 AS priority, 1 AS n, CASE WHEN f.ord IS NULL THEN 0 ELSE 1 END AS first, r.label
+    FROM seen s LEFT JOIN firsts f ON s.ord = f.ord LEFT JOIN records r ON s.ord = r.key WHERE s.stripped <> '')
+  GROUP BY 1""", "records"))
+def agg_incremental_summary(spark: SparkSession, folder: str) -> DataFrame:
+    """What each batch of the incremental ingest brought, as observed by the jobs that wrote it."""
+    _, done = _in_batches(spark, folder)
+    return spark.createDataFrame([(i, *d) for i, d in enumerate(done)],
+                                 "batch int, rows_seen bigint, fresh bigint, phishing bigint, legitimate bigint")
+
+
 @query("""SELECT min(page_id * 2 + k) AS seq, url FROM pages, range(0, 2) t(k) GROUP BY url""")
 def win_url_dedup(spark: SparkSession, folder: str) -> DataFrame:
     """Exact-URL dedup keeping the first (every page stands twice in the feed)."""
