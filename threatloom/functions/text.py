@@ -81,7 +81,8 @@ def literals(values: Iterable[str]) -> Column:
 
 
 def one_of(c: Column, values: Iterable[str]) -> Column:
-    return F.array_contains(literals(values), c)
+    values = tuple(values)
+    return F.array_contains(literals(values), c) if values else F.lit(False)
 
 
 def contains_any(c: Column | str, words: Iterable[str]) -> Column:
@@ -90,6 +91,9 @@ def contains_any(c: Column | str, words: Iterable[str]) -> Column:
     A column *name* gives a flat OR of byte searches that compiles into the
     stage (use it for long texts); a Column works inside lambdas too.
     """
+    words = tuple(words)
+    if not words:
+        return F.lit(False)
     if isinstance(c, str):
         return F.expr(" OR ".join(f"contains({c}, {quote(w)})" for w in words))
     return F.exists(literals(words), lambda w: c.contains(w))
@@ -97,6 +101,9 @@ def contains_any(c: Column | str, words: Iterable[str]) -> Column:
 
 def contains_count(c: Column | str, words: Iterable[str]) -> Column:
     """How many of the words occur (presence, not occurrences)."""
+    words = tuple(words)
+    if not words:
+        return F.lit(0)
     if isinstance(c, str):
         return F.expr(" + ".join(f"CAST(contains({c}, {quote(w)}) AS INT)" for w in words))
     return F.size(F.filter(literals(words), lambda w: c.contains(w)))

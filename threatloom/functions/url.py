@@ -5,6 +5,7 @@ A URL is parsed once into a struct; everything else reads the struct's fields.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable
 
 from pyspark.sql import Column
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 
 from threatloom import rules
 from threatloom.functions import text as tx
+from threatloom.rulesets import DEFAULT, RuleSet
 
 # RFC 3986 appendix B, with the scheme restricted to legal characters
 _RFC = r"(?s)^(?:([A-Za-z][A-Za-z0-9+.-]*):)?(?://([^/?#]*))?([^?#]*)(?:\?([^#]*))?(?:#(.*))?"
@@ -135,10 +137,12 @@ def longest_digit_run(c: Column) -> Column:
 
 
 def brand_pattern(brands: Iterable[str]) -> str:
-    return r"\b(" + "|".join(brands) + r")\b"
+    return r"\b(" + "|".join(map(re.escape, brands)) + r")\b"
 
 
 def has_brand(folded: Column | str, brands: Iterable[str]) -> Column:
+    if not brands:
+        return F.lit(False)
     return tx.contains_any(folded, brands) & tx.matches(tx.as_column(folded), brand_pattern(brands))
 
 
@@ -146,7 +150,7 @@ def flag(condition: Column) -> Column:
     return F.when(condition, 1.0).otherwise(0.0)
 
 
-def analyse(urls: Column, suffixes: Iterable[str]) -> Column:
+def analyse(urls: Column, suffixes: Iterable[str], lists: RuleSet = DEFAULT) -> Column:
     """Per-URL risk of the phishing detector, for a whole array of URLs.
 
     Two chained transforms: the first derives host pieces once per URL, the
@@ -164,14 +168,14 @@ def analyse(urls: Column, suffixes: Iterable[str]) -> Column:
 
     def checks(s: Column) -> list[tuple[Column, float, Column]]:
         url, low, dom = s["url"], s["low"], s["dom"]
-        keywords = tx.contains_count(low, rules.DETECTOR_URL_KEYWORDS)
+        keywords = tx.contains_count(low, lists.url_keywords)
         return [
             (url.rlike(r"(?U)^https?://\d+\.\d+\.\d+\.\d+"), w["ip"], F.lit(rules.REASON_IP)),
-            (tx.one_of(F.lower(dom["suffix"]), rules.DETECTOR_SUSPICIOUS_TLDS), w["tld"],
+            (tx.one_of(F.lower(dom["suffix"]), lists.tlds), w["tld"],
              F.concat(F.lit(rules.REASON_TLD), dom["suffix"])),
-            (has_brand(tx.fold(dom["subdomain"]), rules.DETECTOR_BRANDS), w["brand_subdomain"],
+            (has_brand(tx.fold(dom["subdomain"]), lists.brands), w["brand_subdomain"],
              F.lit(rules.REASON_BRAND)),
-            (tx.contains_any(low, rules.DETECTOR_SHORTENERS), w["shortener"],
+            (tx.contains_any(low, lists.shorteners), w["shortener"],
              F.lit(rules.REASON_SHORTENER)),
             (url.contains("@"), w["at"], F.lit(rules.REASON_AT)),
             (tx.char_count(url, ".") > 4, w["dots"], F.lit(rules.REASON_DOTS)),
@@ -196,8 +200,8 @@ def analyse(urls: Column, suffixes: Iterable[str]) -> Column:
             (s["raw"] >= rules.URL_SUSPICIOUS_AT).alias("is_suspicious"),
             F.least(s["raw"], F.lit(1.0)).alias("score"),
             s["reasons"].alias("reasons"),
-            tx.one_of(F.lower(s["dom"]["suffix"]), rules.DETECTOR_SUSPICIOUS_TLDS).alias("bad_tld"),
-            tx.contains_any(s["low"], rules.DETECTOR_SHORTENERS).alias("shortened"),
+            tx.one_of(F.lower(s["dom"]["suffix"]), lists.tlds).alias("bad_tld"),
+            tx.contains_any(s["low"], lists.shorteners).alias("shortened"),
             F.concat_ws(".", s["dom"]["domain"], s["dom"]["suffix"]).alias("registered"),
         ),
     )

@@ -15,46 +15,40 @@ from pyspark.sql import functions as F
 from threatloom import rules
 from threatloom.functions import text as tx
 from threatloom.functions import url as ux
+from threatloom.rulesets import DEFAULT, Family, RuleSet
 
 
-def rule_counts(low: Column | str) -> Column:
-    """Struct of hit counts per family plus the number of suspicious phrases."""
-    return F.struct(
-        *[
-            tx.family_count(low, family).alias(name)
-            for name, (family, _, _, _) in rules.DETECTOR_FAMILIES.items()
-        ],
-        tx.contains_count(low, rules.SUSPICIOUS_PHRASES).alias("phrases"),
-    )
+def _family_count(low: Column | str, family: Family) -> Column:
+    parts = [tx.family_count(low, family.rules)] if family.rules else []
+    return tx.total(parts + ([tx.contains_count(low, family.phrases)] if family.phrases else []))
+
+
+def rule_counts(low: Column | str, rule_set: RuleSet = DEFAULT) -> Column:
+    """Struct of hit counts per family; a phrase counts once."""
+    return F.struct(*[_family_count(low, f).alias(f.name) for f in rule_set.families])
 
 
-def rule_score(counts: Column) -> Column:
-    parts = [
-        F.least(F.lit(cap), counts[name] * F.lit(weight))
-        for name, (_, weight, cap, _) in rules.DETECTOR_FAMILIES.items()
-    ]
-    parts.append(F.least(F.lit(rules.PHRASE_CAP), counts["phrases"] * F.lit(rules.PHRASE_WEIGHT)))
+def rule_score(counts: Column, rule_set: RuleSet = DEFAULT) -> Column:
+    parts = [F.least(F.lit(f.cap), counts[f.name] * F.lit(f.weight)) for f in rule_set.families]
     return F.least(tx.total(parts), F.lit(1.0))
 
 
-def rule_indicators(counts: Column) -> Column:
-    def sentence(count: Column, label: str, unit: str) -> Column:
-        return F.when(count > 0, F.concat(F.lit(f"{label} ("), count.cast("string"), F.lit(f"{unit})")))
+def rule_indicators(counts: Column, rule_set: RuleSet = DEFAULT) -> Column:
+    def sentence(f: Family) -> Column:
+        unit = " patterns" if f.rules else ""
+        return F.when(counts[f.name] > 0, F.concat(F.lit(f"{f.label} ("), counts[f.name].cast("string"), F.lit(f"{unit})")))
 
-    found = [
-        sentence(counts[name], label, " patterns")
-        for name, (_, _, _, label) in rules.DETECTOR_FAMILIES.items()
-    ]
-    found.append(sentence(counts["phrases"], rules.PHRASE_LABEL, ""))
-    return F.array_compact(F.array(*found))
+    return F.array_compact(F.array(*map(sentence, rule_set.families)))
 
 
-def brand_mentions(low: Column | str, urls: Column) -> Column:
+def brand_mentions(low: Column | str, urls: Column, brands: Iterable[str] = DEFAULT.brands) -> Column:
     """Brand words in the text and, once more, in its URLs."""
+    if not brands:
+        return F.array().cast("array<string>")
     both = F.concat_ws(" ", tx.as_column(low), tx.fold(F.array_join(urls, " ")))
     return F.when(
-        tx.contains_any(low, rules.DETECTOR_BRANDS),
-        F.regexp_extract_all(both, F.lit(tx.FLAGS + ux.brand_pattern(rules.DETECTOR_BRANDS)), F.lit(1)),
+        tx.contains_any(low, brands),
+        F.regexp_extract_all(both, F.lit(tx.FLAGS + ux.brand_pattern(brands)), F.lit(1)),
     ).otherwise(F.array().cast("array<string>"))
 
 
@@ -149,8 +143,9 @@ def with_phishing_result(
     transformer: Column | None = None,
     *,
     suffixes: Iterable[str],
+    rule_set: RuleSet = DEFAULT,
 ) -> DataFrame:
-    """Append the full phishing verdict of column ``text``.
+    """Append the full phishing verdict of column ``text``, by the given rules (``rulesets.load_rule_set`` reads a table).
 
     Adds is_phishing, confidence, phishing_type, threat_level, indicators,
     urls_analyzed, brand_impersonation, recommendation and details.
@@ -168,12 +163,12 @@ def with_phishing_result(
             "__urls": tx.extract_urls(c("__t")),
         })
         .withColumns({
-            "__counts": rule_counts("__low"),
-            "__ua": ux.analyse(c("__urls"), suffixes),
-            "__mentions": brand_mentions("__low", c("__urls")),
+            "__counts": rule_counts("__low", rule_set),
+            "__ua": ux.analyse(c("__urls"), suffixes, rule_set),
+            "__mentions": brand_mentions("__low", c("__urls"), rule_set.brands),
             "__scan": F.when(asked == "auto", tx.scan_type(c("__t"), "__low")).otherwise(asked),
         })
-        .withColumns({"__brand": top_brand(c("__mentions")), "__rule": rule_score(c("__counts"))})
+        .withColumns({"__brand": top_brand(c("__mentions")), "__rule": rule_score(c("__counts"), rule_set)})
         .withColumns({
             "__hit": impersonated(c("__brand"), c("__ua")),
             "__url": F.coalesce(F.array_max(F.transform("__ua", lambda u: u["score"])), F.lit(0.0)),
@@ -182,7 +177,7 @@ def with_phishing_result(
         })
         .withColumns({
             "__score": ensemble(c("__ml"), c("__rule"), c("__url"), c("__hit"), c("__tr")),
-            "__ind": indicators(rule_indicators(c("__counts")), c("__ua"), c("__hit"), c("__brand")),
+            "__ind": indicators(rule_indicators(c("__counts"), rule_set), c("__ua"), c("__hit"), c("__brand")),
         })
         .withColumns({"__level": threat_level(c("__score"), F.size("__ind"))})
     )

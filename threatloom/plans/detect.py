@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from threatloom import rules
+from threatloom import rulesets as rt
 from threatloom.functions import text as tx
 from threatloom.functions import url as ux
 from threatloom.operators import phishing as ph
@@ -14,6 +15,7 @@ from threatloom.plans import fixtures as fx
 from threatloom.plans import sqltext as sq
 from threatloom.plans.fixtures import with_views
 from threatloom.plans.registry import registry
+from threatloom.rulesets import Family, RuleSet
 from threatloom.session import scratch_path, spread, table
 from threatloom.sources import fileblocks as fb
 
@@ -144,6 +146,27 @@ def det_phishing_full(spark: SparkSession, folder: str) -> DataFrame:
     return flat_verdict(_scored(spark, folder), "msg_id")
 
 
+#: Another rule set than the built-in one: changed and new families, no family of phrases alone, other lists.
+CHANGED = RuleSet(
+    (
+        Family("urgency", (rules.Rule(r"\b(urgent|today|now)\b"), rules.Rule(r"\b(within \d+ hours?)\b")), (), 0.2, 0.5, "Pressure"),
+        Family("lottery", (rules.Rule(r"\b(win(ner|ning)?|prize)\b"), rules.Rule(r"\$\d+")), (), 0.3, 0.45, "Lottery words"),
+        Family("hints", (), ("lunch", "attached", "gift card"), 0.15, 0.3, "Hints"),
+    ),
+    ("google", "example", "spotify"), ("com", "tk"), ("a1b2", "bit.ly"), ("page", "docs", "verify"),
+)
+
+
+@query(with_views(sq.prepared("inbox") + ",\n" + sq.detector(rule_set=CHANGED) + " " + FULL_SQL, "inbox"))
+def det_changed_rules(spark: SparkSession, folder: str) -> DataFrame:
+    """The full verdict by a rule set that is read from a table of two."""
+    path = scratch_path(spark, "rules")
+    rt.rule_table(spark, builtin=rt.DEFAULT, changed=CHANGED).write.parquet(path)
+    loaded = rt.load_rule_set(spark.read.parquet(path), "changed")
+    return flat_verdict(
+        ph.with_phishing_result(fx.inbox(spark, folder), "text", suffixes=fx.DETECTOR_SUFFIXES, rule_set=loaded), "msg_id")
+
+
 @query(with_views("inbox AS (SELECT url_id AS msg_id, url AS text FROM urls),\n" + sq.prepared("inbox") + ",\n" + sq.detector(ml=_ML_SQL)
                   .replace("'sms' ELSE 'email' END AS scan", "'url' ELSE 'url' END AS scan") + " " + FULL_SQL, "urls"))
 def det_scan_url(spark: SparkSession, folder: str) -> DataFrame:

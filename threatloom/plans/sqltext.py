@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from threatloom import rules
 from threatloom.plans.fixtures import DETECTOR_SUFFIXES, _q
+from threatloom.rulesets import DEFAULT, RuleSet
 
 STRIP = r"regexp_replace({0}, '^\s+|\s+$', '', 'g')"
 ASCII = "regexp_replace({0}, '[À-ÿ]', 'x', 'g')"
@@ -146,18 +147,22 @@ LEFT JOIN entropies d ON d.url_id = parts.url_id AND d.kind = 'domain'
 LEFT JOIN entropies u ON u.url_id = parts.url_id AND u.kind = 'url'"""
 
 
-def detector(suffixes=DETECTOR_SUFFIXES, ml: str = "0.5::DOUBLE", transformer: str = "0.5::DOUBLE") -> str:
+def detector(suffixes=DETECTOR_SUFFIXES, ml: str = "0.5::DOUBLE", transformer: str = "0.5::DOUBLE", rule_set: RuleSet = DEFAULT) -> str:
     """CTEs after ``m``: per-URL results (ua), brand (b), rule counts (rc) and everything joined (d)."""
-    fams = {n: family("a", f[0]) for n, f in rules.DETECTOR_FAMILIES.items()}
-    tlds = ", ".join(f"'{x}'" for x in rules.DETECTOR_SUSPICIOUS_TLDS)
+    short = {"urgency": "urg", "credential": "cred", "financial": "fin", "phrases": "phr"}
+    fams = [(short.get(f.name, f.name), f) for f in rule_set.families]
+    counts = ", ".join(f"{family('a', f.rules) if f.rules else contains_count('low', f.phrases)} AS {n}" for n, f in fams)
+    sums = " + ".join(f"least({f.cap}::DOUBLE, {n} * {f.weight}::DOUBLE)" for n, f in fams)
+    found = ", ".join(f"CASE WHEN {n} > 0 THEN {lit(f.label + ' (')} || {n} || '{' patterns' if f.rules else ''})' END" for n, f in fams)
+    tlds = ", ".join(f"'{x}'" for x in rule_set.tlds)
     return rf"""u AS (SELECT msg_id, unnest(urls) AS url, generate_subscripts(urls, 1) AS i FROM m),
 du AS (SELECT DISTINCT url FROM u),
 {split_hosts('du', suffixes, 'url')},
 flags AS (SELECT msg_id, i, u.url, domain || '.' || suffix AS registered, suffix IN ({tlds}) AS tld, suffix,
-    regexp_matches(u.url, '^https?://\d+\.\d+\.\d+\.\d+') AS ip, {has('subdomain', brand(rules.DETECTOR_BRANDS))} AS sub,
-    {contains_any('lower(u.url)', rules.DETECTOR_SHORTENERS)} AS short, contains(u.url, '@') AS at_sign,
+    regexp_matches(u.url, '^https?://\d+\.\d+\.\d+\.\d+') AS ip, {has('subdomain', brand(rule_set.brands))} AS sub,
+    {contains_any('lower(u.url)', rule_set.shorteners)} AS short, contains(u.url, '@') AS at_sign,
     length(u.url) - length(replace(u.url, '.', '')) > 4 AS dots,
-    {contains_count('lower(u.url)', rules.DETECTOR_URL_KEYWORDS)} AS kw
+    {contains_count('lower(u.url)', rule_set.url_keywords)} AS kw
   FROM u JOIN split ON u.url = split.url),
 ua AS (SELECT *, 0::DOUBLE + ip::INT * 0.4::DOUBLE + tld::INT * 0.3::DOUBLE + sub::INT * 0.3::DOUBLE + short::INT * 0.2::DOUBLE
     + at_sign::INT * 0.4::DOUBLE + dots::INT * 0.2::DOUBLE + (kw >= 2)::INT * 0.2::DOUBLE AS raw,
@@ -167,19 +172,13 @@ ua AS (SELECT *, 0::DOUBLE + ip::INT * 0.4::DOUBLE + tld::INT * 0.3::DOUBLE + su
       CASE WHEN kw >= 2 THEN {lit(rules.REASON_KEYWORDS + ' (')} || kw || ')' END) AS reasons FROM flags),
 um AS (SELECT msg_id, max(least(raw, 1)) AS url_score, bool_and(raw >= 0.3::DOUBLE) AS all_bad, bool_or(raw >= 0.3::DOUBLE) AS any_bad,
     bool_or(short) AS any_short, list(DISTINCT {lit(rules.INDICATOR_DOMAIN)} || registered) FILTER (tld) AS domains FROM ua GROUP BY msg_id),
-mentions AS (SELECT msg_id, unnest(regexp_extract_all(low || ' ' || lower(array_to_string(urls, ' ')), {lit(brand(rules.DETECTOR_BRANDS))})) AS brand FROM m),
+mentions AS (SELECT msg_id, unnest(regexp_extract_all(low || ' ' || lower(array_to_string(urls, ' ')), {lit(brand(rule_set.brands))})) AS brand FROM m),
 mc AS (SELECT msg_id, brand, count(*) AS c FROM mentions GROUP BY msg_id, brand),
 tb AS (SELECT msg_id, brand FROM (SELECT *, row_number() OVER (PARTITION BY msg_id ORDER BY c DESC, brand) AS r FROM mc) WHERE r = 1),
 b AS (SELECT tb.msg_id, tb.brand, coalesce(bool_or(NOT contains(lower(registered), tb.brand)), false) AS hit
   FROM tb LEFT JOIN flags USING (msg_id) GROUP BY tb.msg_id, tb.brand),
-rc AS (SELECT msg_id, {fams['urgency']} AS urg, {fams['credential']} AS cred, {fams['financial']} AS fin,
-    {contains_count('low', rules.SUSPICIOUS_PHRASES)} AS phr FROM m),
-rs AS (SELECT *, least(0.25::DOUBLE, urg * 0.1::DOUBLE) + least(0.3::DOUBLE, cred * 0.15::DOUBLE) + least(0.2::DOUBLE, fin * 0.1::DOUBLE)
-    + least(0.25::DOUBLE, phr * 0.08::DOUBLE) AS rule_score,
-    list_filter([CASE WHEN urg > 0 THEN 'Urgency language detected (' || urg || ' patterns)' END,
-      CASE WHEN cred > 0 THEN 'Credential request detected (' || cred || ' patterns)' END,
-      CASE WHEN fin > 0 THEN 'Financial keywords detected (' || fin || ' patterns)' END,
-      CASE WHEN phr > 0 THEN 'Suspicious phrases detected (' || phr || ')' END], lambda x: x IS NOT NULL) AS found FROM rc),
+rc AS (SELECT msg_id, {counts} FROM m),
+rs AS (SELECT *, least(1, {sums}) AS rule_score, list_filter([{found}], lambda x: x IS NOT NULL) AS found FROM rc),
 j AS (SELECT m.msg_id, t, length(t) < 3 AS skip, urls, rule_score, found, coalesce(url_score, 0) AS url_score,
     coalesce(all_bad, false) AS all_bad, coalesce(any_bad, false) AS any_bad, coalesce(hit, false) AS hit, brand,
     list_sort(list_distinct(list_concat(list_concat(found, coalesce(domains, [])), list_filter([
