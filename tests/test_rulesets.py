@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from threatloom import rules
 from threatloom import rulesets as rs
+from threatloom.functions import sql as fs
+from threatloom.functions import text as tx
 from threatloom.operators import phishing as ph
 
 BUILT_IN = [r.pattern for f in rs.DEFAULT.families for r in f.rules] + [
@@ -78,3 +80,14 @@ def test_verdicts_follow_the_table(spark):
     assert got[2]["brand_impersonation"]["brand"] == "a.c+me"              # a literal, not a pattern
     assert got[2]["indicators"] == ["Caps (1 patterns)", "Possible a.c+me impersonation detected"]
     assert got[3]["details"] is None and got[3]["threat_level"] == "NONE"
+
+
+def test_sql_function_equals_the_column_function(spark):
+    quoted = rs.RuleSet((rs.Family("f", (rs.compile_rule(r"\bIt's \d+\b"),), ("50% 'off'", "back\\slash"), 0.3, 0.9, "l"),))
+    texts = spark.createDataFrame([("it's 5 and IT'S 77, 50% 'OFF'",), ("back\\slash",), ("\u2003 \u212aill URGENT, win a pr\u0131ze now $5\u2003",), ("",), (None,)], "t string")
+    for name, rule_set in (("score_a", rs.DEFAULT), ("score_b", quoted)):
+        fs.register_rule_score(spark, rule_set, name)
+        want = F.when(F.col("t").isNotNull(), ph.rule_score(ph.rule_counts(tx.fold(tx.strip(F.col("t"))), rule_set), rule_set))
+        got = texts.select(F.expr(f"{name}(t)").alias("got"), want.alias("want")).collect()
+        assert [r["got"] for r in got] == [r["want"] for r in got]
+        assert any(r["got"] for r in got) and got[-1]["got"] is None

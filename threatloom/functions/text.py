@@ -25,6 +25,8 @@ WHITESPACE = (
     + "\u2028\u2029\u202f\u205f\u3000"
 )
 FLAGS = "(?Ud)"
+# Letters that Unicode matching takes for ASCII ones, and those
+FOLDED, FOLDS = "İıſK", "iisk"
 SPACE = r"[\s\x1c-\x1f]"
 NON_SPACE = r"[^\s\x1c-\x1f]"
 DIGIT = r"[\p{Nd}²³¹⁰⁴-⁹₀-₉①-⑨]"
@@ -67,7 +69,7 @@ def strip(c: Column) -> Column:
 
 def fold(c: Column) -> Column:
     """Lower case plus the folds that Unicode matching applies to ASCII letters."""
-    return F.when(contains_any(c, "İıſK"), F.lower(F.translate(c, "İıſK", "iisk"))).otherwise(F.lower(c))
+    return F.when(contains_any(c, FOLDED), F.lower(F.translate(c, FOLDED, FOLDS))).otherwise(F.lower(c))
 
 
 def quote(value: str) -> str:

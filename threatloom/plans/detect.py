@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from threatloom import rules
 from threatloom import rulesets as rt
+from threatloom.functions import sql as fs
 from threatloom.functions import text as tx
 from threatloom.functions import url as ux
 from threatloom.operators import phishing as ph
@@ -146,6 +147,14 @@ def det_phishing_full(spark: SparkSession, folder: str) -> DataFrame:
     return flat_verdict(_scored(spark, folder), "msg_id")
 
 
+@query(_det("SELECT msg_id, round(rule_score, 9) AS rule_score FROM rs"))
+def sql_rule_score(spark: SparkSession, folder: str) -> DataFrame:
+    """The rule score as a function that SQL users call."""
+    fs.register_rule_score(spark)
+    fx.inbox(spark, folder).createOrReplaceTempView("threatloom_inbox")
+    return spark.sql("SELECT msg_id, round(text_rule_score(text), 9) AS rule_score FROM threatloom_inbox")
+
+
 #: Another rule set than the built-in one: changed and new families, no family of phrases alone, other lists.
 CHANGED = RuleSet(
     (
