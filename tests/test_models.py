@@ -73,3 +73,19 @@ def test_phishing_trees_importances_and_persistence(spark, messages):
     top = md.feature_importance(spark, model, 5).collect()
     assert top and top[0]["importance"] == max(r["importance"] for r in top)
     assert spark.read.parquet(f"{path}/feature_names").count() == len(md.feature_names(model))
+
+
+@pytest.mark.parametrize("name", ["logistic_regression", "random_forest", "random_forest_bounded"])
+def test_predictions_are_not_sent_the_session(parts, name):
+    estimator = md.Estimator(name, trees=2, depth=2, iterations=5)
+    model = md.leaves(md.train_spam(parts[0], "msg_id", estimator=estimator))[-1]
+    assert not model.hasSummary  # it holds the session, and a predicting function holds the model
+
+
+def test_reloaded_classifier_predicts_alike(parts):
+    train, test = parts
+    front = md.fit_vectorizer(train, "msg_id", "terms", tm.SMS_SETTINGS, out="features")
+    fitted = md.Estimator("logistic_regression", iterations=20).build(train.count()).fit(front.transform(train))
+    assert fitted.hasSummary
+    rows = [{r["msg_id"]: r["spam_prob"] for r in md.predict(md.PipelineModel([front, m]), test).collect()} for m in (fitted, md.without_summary(fitted))]
+    assert rows[0] == rows[1]
