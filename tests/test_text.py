@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 import unicodedata
 
 import pytest
@@ -170,3 +171,18 @@ def test_accents_follow_unicode(spark):
     want = [None if t is None else "".join(c for c in unicodedata.normalize("NFKD", t.lower()) if not unicodedata.combining(c)) for t in texts]
     df = spark.createDataFrame([(t,) for t in texts], "t string")
     assert [r[0] for r in df.select(tx.strip_accents(F.col("t"))).collect()] == want
+
+
+def test_strip_accents_of_long_texts(spark):
+    text = "Crème brûlée, sans façon et très légère: ﬁn. " * 2_000
+    df = spark.createDataFrame([(i, text) for i in range(40)], "i int, t string").repartition(4)
+    start = time.monotonic()
+    got = df.select(tx.strip_accents(F.col("t")).alias("p")).distinct().collect()
+    assert [r["p"] for r in got] == ["creme brulee, sans facon et tres legere: fin. " * 2_000]
+    assert time.monotonic() - start < 20  # 3.6 million characters: a minute if each is compared with every ligature
+
+
+def test_character_ranges():
+    chars = tx._unmarked()[2]
+    codes = [int(x, 16) for x in re.findall(r"\\x\{([0-9a-f]+)\}", tx._ranges(chars))][2:]
+    assert {chr(c) for a, b in zip(codes[::2], codes[1::2]) for c in range(a, b + 1)} == set(chars)
