@@ -1,11 +1,15 @@
 """Files read by byte ranges against the same files read whole."""
 
 import random
+import tracemalloc
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from threatloom.operators import threats as th
+from threatloom.plans import ingest
 from threatloom.sources import fileblocks as fb
 from threatloom.sources import readers as rd
 
@@ -57,3 +61,22 @@ def test_shorter_than_listed(spark, tmp_path):
     (tmp_path / "a").write_bytes(b"abc")
     with pytest.raises(Exception, match="shorter than listed"):
         fb.file_hashes(fb.list_files(spark, str(tmp_path)).withColumns({"length": F.lit(9).cast("bigint")})).collect()
+
+
+def test_entropy_takes_little_memory():
+    data = pa.py_buffer(np.arange(32 << 20, dtype=np.uint32).astype(np.uint8))
+    tracemalloc.start()
+    assert th.byte_entropy(data) == 8.0 and th.byte_entropy(pa.py_buffer(b"")) == 0.0
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 16 << 20  # counted in one go, the bytes take eight times their size
+
+
+def test_binary_files_are_many_small_ones(spark, monkeypatch, tmp_path):
+    spark.range(50).selectExpr("id AS doc_id", "repeat('ab\\n', 9) AS text").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    seen = []
+    read = rd.read_binary_files
+    monkeypatch.setattr(ingest.rd, "read_binary_files", lambda spark, path: seen.append(read(spark, path)) or seen[0])
+    monkeypatch.setattr(ingest, "BINARY_FILE_LINES", 3)
+    assert tuple(ingest.src_binary_files(spark, str(tmp_path)).first()) == (50 * 28, 50 * 10, True)
+    assert seen[0].agg(F.max("length")).first()[0] <= 3 * 28

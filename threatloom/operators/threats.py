@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from threatloom import rules
 from threatloom.functions import text as tx
@@ -157,22 +158,31 @@ def with_intrusion_result(df: DataFrame, payload: str) -> DataFrame:
     })
 
 
+#: Bytes counted at once: the counting needs eight times as much for a moment.
+COUNTED = 1 << 20
+
+
+def byte_entropy(data: pa.Buffer) -> float:
+    """Base-2 entropy of the byte values; the bytes are not copied."""
+    if not len(data):
+        return 0.0
+    values = np.frombuffer(data, dtype=np.uint8)
+    counts = np.zeros(256, dtype=np.int64)
+    for at in range(0, len(values), COUNTED):
+        counts += np.bincount(values[at:at + COUNTED], minlength=256)
+    p = counts[counts > 0] / len(values)
+    return float(-(p * np.log2(p)).sum())
+
+
 def with_byte_entropy(df: DataFrame, content: str) -> DataFrame:
     """Append ``byte_entropy`` (base 2) of a BINARY column.
 
     Counting 256 values per file has no built-in form that avoids exploding
-    every byte, so this is an Arrow-batched function over numpy.
+    every byte, so this is an Arrow function over numpy, on the bytes where Arrow has them.
     """
-    @F.pandas_udf("double")
-    def bits(data: pd.Series) -> pd.Series:
-        def one(raw):
-            if not raw:
-                return 0.0
-            counts = np.bincount(np.frombuffer(raw, dtype=np.uint8), minlength=256)
-            p = counts[counts > 0] / len(raw)
-            return float(-(p * np.log2(p)).sum())
-
-        return data.map(one, na_action=None).astype("float64")
+    @F.arrow_udf(T.DoubleType())
+    def bits(data: pa.Array) -> pa.Array:
+        return pa.array([byte_entropy(x.as_buffer()) if x.is_valid else 0.0 for x in data], pa.float64())
 
     return df.withColumns({"byte_entropy": bits(F.col(content))})
 

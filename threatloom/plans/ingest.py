@@ -178,14 +178,18 @@ def src_combined_corpus(spark: SparkSession, folder: str) -> DataFrame:
     return rd.combined_corpus(sms, rd.dialogues(fx.dialogue_rows(spark, folder)))
 
 
+BINARY_FILE_LINES = 2_000
+
+
 @query("""SELECT sum(strlen(text) + 1)::BIGINT AS bytes, sum(strlen(text) - strlen(replace(text, chr(10), '')) + 1)::BIGINT AS lines,
   true AS entropies_fit FROM documents""")
 def src_binary_files(spark: SparkSession, folder: str) -> DataFrame:
     """Whole files as bytes (the part files of a table written for the purpose): totals of size, lines and entropy bounds."""
     path = scratch_path(spark, "files")
-    fx.documents(spark, folder).select("text").write.text(path)
+    # a file is one row: files of so many lines stay small however large the table is
+    fx.documents(spark, folder).select("text").write.option("maxRecordsPerFile", BINARY_FILE_LINES).text(path)
     files = rd.read_binary_files(spark, path)
-    lines = F.length("content") - F.length(F.translate(F.col("content").cast("string"), "\n", "").cast("binary"))
+    lines = F.length("content") - F.octet_length(F.replace(F.col("content").cast("string"), F.lit("\n"), F.lit("")))
     return th.with_byte_entropy(files, "content").agg(
         F.sum("length").alias("bytes"), F.sum(lines).cast("bigint").alias("lines"),
         F.bool_and(F.col("byte_entropy").between(0, 8)).alias("entropies_fit"),
