@@ -60,3 +60,25 @@ def test_empty_table_and_tiny_vectors(spark):
     small = spark.createDataFrame([(1, [1e-200, 1e-200]), (2, [1e200, 1e200]), (None, [1.0, 1.0])], "vec_id bigint, embedding array<double>")
     got = sorted((str(r["key"]), r["n_links"], r["component"]) for r in embeddings.near_duplicates(small).collect())
     assert got == [("1", 2, 1), ("2", 2, 1), ("None", 2, 1)]
+
+
+def test_pairs_of_blocks_shuffle_no_vectors(spark, monkeypatch):
+    plans, kept = {}, embeddings.materialize
+
+    def recorded(df, name):
+        plans[name] = df._jdf.queryExecution().optimizedPlan().toString()
+        return kept(df, name)
+
+    monkeypatch.setattr(embeddings, "materialize", recorded)
+    table = spark.createDataFrame([(i, [float(a) for a in v]) for i, v in enumerate(clustered(5, n=60))], "vec_id bigint, embedding array<float>")
+    embeddings.near_duplicates(table, block=8).count()
+    assert "Join" not in plans["vector-links"] and "Repartition" in plans["vector-links"]
+
+
+def test_links_come_in_bounded_parts(monkeypatch):
+    monkeypatch.setattr(embeddings, "HELD", 100)
+    monkeypatch.setattr(embeddings, "LEAF", 8)
+    a = (np.ones((64, 2)) / 2 ** 0.5, np.zeros((64, 1)))
+    parts = list(embeddings._join_blocks(a, a, True, 0.3, 0.95))
+    assert len(parts) > 10 and max(len(x) for x, _ in parts) < 100 + 8 * 8
+    assert sorted((int(i), int(j)) for x, y in parts for i, j in zip(x, y)) == [(i, j) for i in range(64) for j in range(i + 1, 64)]
