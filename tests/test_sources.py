@@ -2,10 +2,12 @@
 
 import gzip
 import json
+from pathlib import Path
 
 from pyspark.sql import functions as F
 
 from threatloom.operators import dataset as ds
+from threatloom.plans import ingest
 from threatloom.session import scratch_path
 from threatloom.sources import readers as rd
 from threatloom.sources import sinks as sk
@@ -101,3 +103,22 @@ def test_binary_files_and_oversized(spark, tmp_path):
     (tmp_path / "b.bin").write_bytes(b"y" * 100)
     assert rd.read_binary_files(spark, str(tmp_path), 50).count() == 1
     assert rows(rd.oversized_files(spark, str(tmp_path), 50), "length") == [(100,)]
+
+
+def test_large_feed_files_are_written_by_many_tasks(spark, monkeypatch, tmp_path):
+    spark.range(400).selectExpr("id AS doc_id", "concat('text ', id % 40) AS text").write.parquet(str(tmp_path / "documents.parquet"))
+    seen, read = [], ingest.rd.read_feeds
+    monkeypatch.setattr(ingest.rd, "read_feeds", lambda spark, manifest: seen.extend(p for p, *_ in manifest) or read(spark, manifest))
+    setting = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(setting, "false")
+    try:
+        got = ingest.src_ordered_feed_files(spark, str(tmp_path)).collect()
+    finally:
+        spark.conf.unset(setting)
+    assert max(len(list(Path(p.removeprefix("file:")).glob("file=*/part-*"))) for p in seen) > 2
+    rows = sorted((n % 4, d % 5 != 0, n, f"text {d % 40}", "phishing" if d % 7 == 0 else "legitimate")
+                  for d in range(400) for n in range(3 * d, 3 * d + 3))
+    first = {}
+    for feed, _, _, text, label in rows:
+        first.setdefault(text, (text, label, ("phishtank", "openphish", "tranco", "uci_sms")[feed]))
+    assert sorted(map(tuple, got)) == sorted(first.values())

@@ -90,8 +90,8 @@ def src_ordered_feed_files(spark: SparkSession, folder: str) -> DataFrame:
     rows = rows.select("doc_id", "text", (F.col("doc_id") * 3 + F.col("k")).alias("n")).select(
         "text", F.when(F.col("doc_id") % 7 == 0, "spam").otherwise("ham").alias("label"), n, (n % 4).alias("feed"),
         F.when(F.col("doc_id") % 5 == 0, 0).otherwise(1).alias("file"))
-    # one task per file, in line order; file names sort like the file numbers
-    rows.repartition("feed", "file").sortWithinPartitions("feed", "file", "n").drop("n").write.partitionBy("feed", "file").option(
+    # a file of any size is parts in line order, a task each; the names of files and parts sort like their numbers
+    rows.repartitionByRange("feed", "file", "n").sortWithinPartitions("feed", "file", "n").drop("n").write.partitionBy("feed", "file").option(
         "header", True).option("escape", '"').csv(base)
     feeds = rd.read_feeds(spark, [(f"{base}/feed={k}", s, kind, k) for s, kind, k in rules.FEED_SOURCES])
     return ds.aggregate_feeds(feeds).select("text", "label", "source")
