@@ -5,6 +5,7 @@ import re
 import time
 import unicodedata
 
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -186,3 +187,38 @@ def test_character_ranges():
     chars = tx._unmarked()[2]
     codes = [int(x, 16) for x in re.findall(r"\\x\{([0-9a-f]+)\}", tx._ranges(chars))][2:]
     assert {chr(c) for a, b in zip(codes[::2], codes[1::2]) for c in range(a, b + 1)} == set(chars)
+
+
+def test_corpus_statistics_are_the_counts(spark):
+    rows = [(1, ["b", "a", "b"]), (2, []), (3, None), (1, ["b", "a", "b"]), (None, ["é b", "a"])]
+    df = spark.createDataFrame(rows, "k int, terms array<string>")
+    want = sorted(map(tuple, tm.term_statistics(tm.term_counts(df, "k")).collect()))
+    assert sorted(map(tuple, tm.corpus_statistics(df, "terms", 5).collect())) == want == [("a", 3, 3), ("b", 4, 2), ("é b", 1, 1)]
+    assert tm.corpus_statistics(df.limit(0), "terms", 0).collect() == []
+
+
+def test_corpus_statistics_tasks_grow_with_the_rows(spark):
+    df = spark.createDataFrame([(["a"],)], "terms array<string>")
+    plan = tm.corpus_statistics(df, "terms", 333 * tm.TASK_ROWS)._jdf.queryExecution().executedPlan().toString()
+    # no table of terms before the shuffle
+    assert ", 333)" in plan and "Aggregate" not in plan[plan.index("Exchange"):]
+
+
+def test_terms_are_coded_in_parts():
+    lists = pa.array([["a"] * 3, None, ["b"] * 9, [], ["c"], ["d"] * 2], pa.list_(pa.string()))
+    parts = list(tm._parts(lists, 4))
+    assert [len(p) for p in parts] == [2, 1, 3] and [len(p.flatten()) for p in parts] == [3, 9, 3]
+    assert [x for p in parts for x in p.to_pylist()] == lists.to_pylist()
+
+
+def test_long_texts_are_stemmed_in_parts(spark):
+    texts = ["running " * 300_000, None, "cats", "running " * 300_000]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string").coalesce(1)
+    got = [r[0] for r in tm.stem_texts(df, "t", "s").orderBy("i").select("s").collect()]
+    assert got == ["run " * 300_000, None, "cat", "run " * 300_000]
+
+
+def test_clean_skips_no_part(spark):
+    raw = "See WWW.x.y and HTTP://a.b/c, İ@b é  a\u2003b 12345678901 x1\n"
+    assert one(spark, raw, tx.clean(F.col("t"))) == "see and a b x"
+    assert one(spark, "a@b " * 3 + "wwx htp 1234567890", tx.clean(F.col("t"))) == "wwx htp"
