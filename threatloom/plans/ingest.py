@@ -86,13 +86,15 @@ SELECT clean AS text, CASE label WHEN 'spam' THEN 'phishing' ELSE 'legitimate' E
 def src_ordered_feed_files(spark: SparkSession, folder: str) -> DataFrame:
     """Feeds of two unequal files each, every text in three feeds: the first row by source, file and line wins."""
     base, n = scratch_path(spark, "feeds"), F.col("n")
-    rows = fx.documents(spark, folder).select("doc_id", one_line("text").alias("text"), F.explode(F.sequence(F.lit(0), F.lit(2))).alias("k"))
+    # documents are dealt by ranges before a text becomes three rows: a file of any size is parts in line order, a task
+    # each; the names of files and parts sort like their numbers
+    docs = fx.documents(spark, folder).select("doc_id", one_line("text").alias("text")).repartitionByRange("doc_id")
+    rows = docs.select("doc_id", "text", F.explode(F.sequence(F.lit(0), F.lit(2))).alias("k"))
     rows = rows.select("doc_id", "text", (F.col("doc_id") * 3 + F.col("k")).alias("n")).select(
         "text", F.when(F.col("doc_id") % 7 == 0, "spam").otherwise("ham").alias("label"), n, (n % 4).alias("feed"),
         F.when(F.col("doc_id") % 5 == 0, 0).otherwise(1).alias("file"))
-    # a file of any size is parts in line order, a task each; the names of files and parts sort like their numbers
-    rows.repartitionByRange("feed", "file", "n").sortWithinPartitions("feed", "file", "n").drop("n").write.partitionBy("feed", "file").option(
-        "header", True).option("escape", '"').csv(base)
+    rows.sortWithinPartitions("feed", "file", "n").drop("n").write.partitionBy("feed", "file").option("header", True).option(
+        "escape", '"').option("compression", "lz4").csv(base)
     feeds = rd.read_feeds(spark, [(f"{base}/feed={k}", s, kind, k) for s, kind, k in rules.FEED_SOURCES])
     return ds.aggregate_feeds(feeds).select("text", "label", "source")
 
