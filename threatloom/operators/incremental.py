@@ -11,7 +11,7 @@ from math import ceil
 from typing import NamedTuple
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from threatloom import rules
@@ -107,25 +107,25 @@ def ingest_batch(spark: SparkSession, path: str, feeds: DataFrame, batch: int, s
     After batches 0, 1, ... the records are those of ``aggregate_feeds`` over all feeds, earlier batches first: a text
     belongs to the first row with it, and a row with an unknown label still claims its text unless ``strict``. ``order``
     is unique within a batch. A batch is written as its own partition in overwrite mode and looks at earlier ones only,
-    so a failed batch is simply repeated, before the next. The counts are observed by the jobs that write.
+    so a failed batch is simply repeated, before the next. The counts are those of the written tables.
 
     NULL and blank texts are left out, NULL labels are unknown, an empty feed makes an empty batch.
     """
     rows = ds.nonblank(feeds, "text")
     if strict:
         rows = ds.known_labels(rows, "label")
-    key, counted, kept = F.unhex(tx.norm_hash(F.col("text"))), Observation(), Observation()
+    key = F.unhex(tx.norm_hash(F.col("text")))
     firsts = rows.select(key.alias("key"), "order").groupBy("key").agg(F.min("order").alias("first"), F.count("*").alias("n"))
-    firsts = materialize(firsts.observe(counted, F.count("*").alias("texts"), F.sum("n").alias("rows")), "firsts")
-    known = known_keys(firsts, counted.get["texts"], seen_before(spark, path, batch), max_blocks=max_blocks)
-    fresh_seen = Observation()
-    firsts.join(known, "key", "left_anti").select("key", "first").observe(fresh_seen, F.count("*").alias("texts")).write.mode(
-        "overwrite").parquet(f"{path}/seen/batch={batch}")
+    firsts = materialize(firsts, "firsts")
+    counted = firsts.agg(F.count("*").alias("texts"), F.sum("n").alias("rows")).first()
+    known = known_keys(firsts, counted["texts"], seen_before(spark, path, batch), max_blocks=max_blocks)
+    firsts.join(known, "key", "left_anti").select("key", "first").write.mode("overwrite").parquet(f"{path}/seen/batch={batch}")
     fresh = spark.read.schema("first bigint").parquet(f"{path}/seen/batch={batch}")
     records = ds.known_labels(rows.join(fresh, F.col("order") == F.col("first"), "left_semi"), "label")
     classes = [F.count(F.when(F.col("label") == x, 1)).alias(x) for x in (rules.POSITIVE, rules.NEGATIVE)]
-    records.observe(kept, *classes).write.mode("overwrite").parquet(f"{path}/records/batch={batch}")
-    return Ingested(counted.get["rows"] or 0, fresh_seen.get["texts"], kept.get[rules.POSITIVE], kept.get[rules.NEGATIVE])
+    records.write.mode("overwrite").parquet(f"{path}/records/batch={batch}")
+    kept = spark.read.schema("label string").parquet(f"{path}/records/batch={batch}").agg(*classes).first()
+    return Ingested(counted["rows"] or 0, fresh.count(), kept[rules.POSITIVE], kept[rules.NEGATIVE])
 
 
 def aggregate(spark: SparkSession, path: str) -> DataFrame:

@@ -510,7 +510,7 @@ def win_incremental_dedup(spark: SparkSession, folder: str) -> DataFrame:
     FROM seen s LEFT JOIN firsts f ON s.ord = f.ord LEFT JOIN records r ON s.ord = r.key WHERE s.stripped <> '')
   GROUP BY 1""", "records"))
 def agg_incremental_summary(spark: SparkSession, folder: str) -> DataFrame:
-    """What each batch of the incremental ingest brought, as observed by the jobs that wrote it."""
+    """What each batch of the incremental ingest brought, as counted in what it wrote."""
     _, done = _in_batches(spark, folder)
     return spark.createDataFrame([(i, *d) for i, d in enumerate(done)],
                                  "batch int, rows_seen bigint, fresh bigint, phishing bigint, legitimate bigint")
